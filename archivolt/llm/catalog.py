@@ -21,9 +21,30 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_n(table(spark, sf_dir, "evidence_records"), "document_id", "score", "record_id", 3).select("document_id", "record_id")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from archivolt.llm.neighbours import neighbour_pairs
+
+    return neighbour_pairs(table(spark, sf_dir, "embedding_cache"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from archivolt.llm.leaks import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from archivolt.llm.sentences import sentences
+
+    return sentences(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
+    "p5_found": p5_found,
     "p6_found": p6_found,
+    "p8_found": p8_found,
+    "p9_found": p9_found,
 }
 
 SQL: dict[str, str] = {
@@ -41,4 +62,10 @@ SQL: dict[str, str] = {
             SELECT document_id, record_id, row_number() OVER (PARTITION BY document_id ORDER BY score DESC, record_id) AS place
             FROM (SELECT DISTINCT document_id, record_id, score FROM evidence_records WHERE document_id IS NOT NULL AND score IS NOT NULL AND NOT isnan(score)))
         WHERE place <= 3""",
+    "p8_found": r"""
+        WITH doc_words AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+        item_words AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+        doc_runs AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 9], ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 8)) AS i FROM doc_words WHERE len(w) >= 10)),
+        item_runs AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 9], ' ') AS run FROM (SELECT item_id, w, unnest(range(1, len(w) - 8)) AS i FROM item_words WHERE len(w) >= 10))
+        SELECT DISTINCT doc_id, item_id FROM doc_runs JOIN item_runs USING (run)""",
 }

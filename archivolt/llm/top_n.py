@@ -25,7 +25,7 @@ from archivolt.plans.session import width
 FAN_IN = 256
 
 
-def _first_n(n: int):
+def first_n(n: int):
     """Keeps the first n different ids of each group of a sorted stream of (grp, score, id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +130,7 @@ def top_n(df: DataFrame, group: str, score: str, key: str, n: int = 3, fan_in: i
     none. Other columns are not read, whatever their names.
     """
     rows = df.select(F.col(group).cast("string").alias("grp"), F.col(score).cast("double").alias("score"), F.col(key).cast("long").alias("id")).filter("grp is not null and id is not null and score is not null and not isnan(score)")
-    rows = rows.sortWithinPartitions("grp", F.desc("score"), "id").mapInArrow(_first_n(n), "grp string, score double, id long")
+    rows = rows.sortWithinPartitions("grp", F.desc("score"), "id").mapInArrow(first_n(n), "grp string, score double, id long")
     runs = rows.withColumn("run", F.spark_partition_id())
     parts, many = width(df.sparkSession), df.rdd.getNumPartitions()
     while True:
