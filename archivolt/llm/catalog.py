@@ -21,6 +21,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_n(table(spark, sf_dir, "evidence_records"), "document_id", "score", "record_id", 3).select("document_id", "record_id")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from archivolt.llm.names import linked_names
+
+    return linked_names(table(spark, sf_dir, "entities"), table(spark, sf_dir, "extracted_entities"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from archivolt.llm.neighbours import neighbour_pairs
 
@@ -41,6 +47,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
+    "p4_found": p4_found,
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p8_found": p8_found,
