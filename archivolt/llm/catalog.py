@@ -9,6 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from archivolt.sources.tables import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from archivolt.llm.scans import noise
+
+    return noise(table(spark, sf_dir, "page_contents"))
+
+
+def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from archivolt.llm.scans import repaired
+
+    return repaired(table(spark, sf_dir, "page_contents"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from archivolt.llm.near_duplicates import near_duplicate_groups
 
@@ -46,6 +58,8 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_repaired": p1_repaired,
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p5_found": p5_found,
