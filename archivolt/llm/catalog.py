@@ -21,6 +21,12 @@ def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repaired(table(spark, sf_dir, "page_contents"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from archivolt.llm.pairs import defects
+
+    return defects(table(spark, sf_dir, "hybrid_results"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from archivolt.llm.near_duplicates import near_duplicate_groups
 
@@ -60,6 +66,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_repaired": p1_repaired,
+    "p2_found": p2_found,
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p5_found": p5_found,
