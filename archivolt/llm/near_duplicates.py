@@ -38,12 +38,15 @@ COUNTERS = 1 << 16
 HOT = 20_000
 #: Bits of the filter on candidates' ids, a fixed 4 MB.
 SEEN_BITS = 1 << 25
+#: Bits of a set's signature that hold its size; sets of LARGE words and more pass the filters.
+SIZE_BITS = 10
+LARGE = (1 << SIZE_BITS) - 1
 _MIX = 0x9E3779B97F4A7C15
 
 
 def words(text: Column) -> Column:
     """The runs of letters and digits of a text, lower-cased, in order."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"))
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
 @lru_cache(maxsize=4096)
@@ -72,15 +75,20 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Grams:
-    """Turns a batch of word-hash sets into rows (key, sid, sig, open)."""
+    """Turns a batch of word-hash sets into rows (key, sid, sig, pos)."""
 
     def __init__(self, share: np.ndarray, total: int, t: float, expected: float):
         self.t, self.limit = t, math.log(expected / max(total, expected))
-        self.log_share = np.log(np.maximum(share, 1.0) / max(total, 1)).clip(max=0)
-        self.rank = np.argsort(np.lexsort((np.arange(COUNTERS), share))).astype(np.uint64)
+        share = np.maximum(share, 1.0)
+        self.log_share = np.log(share / max(total, 1)).clip(max=0)
+        # rarest first by classes of frequency, within a class by hash: words that always come together
+        # (and so have one frequency) would else stand side by side and make n-grams common
+        self.kind = np.floor(np.log2(share)).astype(np.int64)
+        self.mass = np.bincount(self.kind, share, 64) / max(total, 1)
+        self.below = np.cumsum(self.mass) - self.mass
 
     def __call__(self, sid: np.ndarray, flat: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
-        keys, sids, sigs, opens = [], [], [], []
+        keys, sids, sigs, places = [], [], [], []
         # sets of about the same size together, so that the padded table stays small
         order = np.argsort(n, kind="stable")
         starts = np.concatenate([[0], np.cumsum(n)])
@@ -92,10 +100,10 @@ class Grams:
             chosen = order[at:to]
             at = to
             part = self._rows(sid[chosen], flat, starts[chosen], n[chosen].astype(np.int64))
-            for into, x in zip((keys, sids, sigs, opens), part, strict=True):
+            for into, x in zip((keys, sids, sigs, places), part, strict=True):
                 into.append(x)
         empty = np.empty(0, np.uint64)
-        return tuple(np.concatenate(x) if x else empty for x in (keys, sids, sigs, opens))
+        return tuple(np.concatenate(x) if x else empty for x in (keys, sids, sigs, places))
 
     def _rows(self, sid, flat, starts, n):
         rows, size, t = len(n), int(n.max()), self.t
@@ -103,15 +111,19 @@ class Grams:
         inside = cols < n[:, None]
         table = flat[np.where(inside, starts[:, None] + cols, 0)].astype(np.uint64)
         bucket = (table & np.uint64(COUNTERS - 1)).astype(np.int64)
-        # rarest first; words of one counter by their hash
-        by = (self.rank[bucket] << np.uint64(48)) | (table >> np.uint64(16))
+        by = (self.kind[bucket].astype(np.uint64) << np.uint64(58)) | (_mixed(table) >> np.uint64(6))
         by[~inside] = np.uint64(2**64 - 1)
         turn = np.argsort(by, axis=1)
         table, bucket = np.take_along_axis(table, turn, 1), np.take_along_axis(bucket, turn, 1)
+        mixed = _mixed(table)
+        kind = self.kind[bucket]
+        # how many words of a text are expected to stand before this place of the order
+        before = self.below[kind] + self.mass[kind] * (mixed / 2.0**64)
         logs = np.concatenate([np.zeros((rows, 1)), np.cumsum(np.where(inside, self.log_share[bucket], 0.0), axis=1)], axis=1)
         long = np.zeros((rows, size), np.int64)
         for g in range(1, min(size, 24) + 1):
-            rare = (logs[:, g:] - logs[:, : size + 1 - g] <= self.limit) & inside[:, g - 1 :]
+            between = before[:, g - 1 :] - before[:, : size + 1 - g]
+            rare = (logs[:, g:] - logs[:, : size + 1 - g] - between <= self.limit) & inside[:, g - 1 :]
             head = long[:, : size + 1 - g]
             np.copyto(head, g, where=rare & (head == 0))
             if not (inside[:, g - 1 :] & (head == 0)).any():
@@ -131,18 +143,17 @@ class Grams:
         opened = hits <= most
         emit = end <= np.where(opened, size, prefix)[:, None]
         # keys: a polynomial over the mixed words, as differences of prefix sums
-        mixed = _mixed(table)
         sums = np.zeros((rows, size + 1), np.uint64)
         base = np.uint64(0xD6E8FEB86659FD93)
         for j in range(size):
             sums[:, j + 1] = sums[:, j] * base + mixed[:, j]
         powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(25, base)]), dtype=np.uint64)
-        # parities of the words over 48 bits, and the size
-        bit = np.where(inside, np.uint64(1) << (mixed >> np.uint64(20)) % np.uint64(48), np.uint64(0))
-        sig = (np.bitwise_xor.reduce(bit, axis=1) << np.uint64(15)) | np.minimum(n, 32767).astype(np.uint64)
+        # parities of the words over 54 bits, and the size
+        bit = np.where(inside, np.uint64(1) << (mixed >> np.uint64(20)) % np.uint64(64 - SIZE_BITS), np.uint64(0))
+        sig = (np.bitwise_xor.reduce(bit, axis=1) << np.uint64(SIZE_BITS)) | np.minimum(n, LARGE).astype(np.uint64)
         r, c = np.nonzero(emit)
         g = long[r, c]
-        keys, owners, open_ = [_mixed(sums[r, c + g] - sums[r, c] * powers[g])], [r], [np.zeros(len(r), bool)]
+        keys, owners, places = [_mixed(sums[r, c + g] - sums[r, c] * powers[g])], [r], [c]
         if opened.any():  # short n-grams of certain length, met by open sets only
             for k in np.nonzero(opened)[0]:
                 size_k = int(n[k])
@@ -150,24 +161,25 @@ class Grams:
                     s = np.arange(size_k - g1 + 1)
                     keys.append(_mixed((sums[k, s + g1] - sums[k, s] * powers[g1]) ^ np.uint64(_MIX + g1)))
                     owners.append(np.full(len(s), k))
-                    open_.append(np.ones(len(s), bool))
+                    places.append(s)
         owner = np.concatenate(owners)
-        return np.concatenate(keys), sid[owner], sig[owner], np.concatenate(open_)
+        return np.concatenate(keys), sid[owner], sig[owner], np.concatenate(places).astype(np.int32)
 
 
-def _similar(sig_a: np.ndarray, sig_b: np.ndarray, t: float) -> np.ndarray:
-    """Which pairs pass the filters on length and on the parities of the words."""
-    n, m = (sig_a & np.uint64(32767)).astype(np.int64), (sig_b & np.uint64(32767)).astype(np.int64)
+def _similar(sig_a: np.ndarray, sig_b: np.ndarray, pos_a: np.ndarray, pos_b: np.ndarray, t: float) -> np.ndarray:
+    """Which pairs pass the filters on length, on the places of the n-gram, and on the parities of all words."""
+    odd = np.bitwise_count((sig_a ^ sig_b) >> np.uint64(SIZE_BITS))
+    n, m = (sig_a & np.uint64(LARGE)).astype(np.int64), (sig_b & np.uint64(LARGE)).astype(np.int64)
     o = np.ceil(t * (n + m) / (1 + t) - 1e-9)
-    odd = np.bitwise_count((sig_a ^ sig_b) >> np.uint64(15))
-    fits = (np.minimum(n, m) >= o) & (odd <= n + m - 2 * o)
-    return fits | (np.maximum(n, m) == 32767)
+    # before the n-gram and from it on, the two can't share more words than the one with fewer has there
+    shared = np.minimum(pos_a, pos_b) + np.minimum(n - pos_a, m - pos_b)
+    return ((np.minimum(n, m) >= o) & (shared >= o) & (odd <= n + m - 2 * o)) | (np.maximum(n, m) == LARGE)
 
 
 def _pairs(t: float):
     """Pairs the rows of each n-gram in a stream sorted by (key, sid); rows of n-grams with more than HOT rows pass through."""
 
-    def close(key, sid, sig):
+    def close(key, sid, sig, pos):
         out_a, out_b = [], []
         at = np.arange(len(key) - 1)
         step = 1
@@ -175,7 +187,7 @@ def _pairs(t: float):
             at = at[(at + step) < len(key)]
             at = at[key[at] == key[at + step]]
             a, b = at, at + step
-            ok = (sid[a] != sid[b]) & _similar(sig[a], sig[b], t)
+            ok = (sid[a] != sid[b]) & _similar(sig[a], sig[b], pos[a], pos[b], t)
             out_a.append(np.minimum(sid[a[ok]], sid[b[ok]]))
             out_b.append(np.maximum(sid[a[ok]], sid[b[ok]]))
             step += 1
@@ -192,37 +204,37 @@ def _pairs(t: float):
         held: list[tuple[np.ndarray, ...]] = []
         count, hot = 0, None
         for x in batches:
-            cols = [x.column(c).to_numpy() for c in ("key", "sid", "sig")]
+            cols = [x.column(c).to_numpy() for c in ("key", "sid", "sig", "pos")]
             if not len(cols[0]):
                 continue
-            held.append((cols[0], cols[1], cols[2].view(np.uint64)))
+            held.append((cols[0], cols[1], cols[2].view(np.uint64), cols[3]))
             count += len(cols[0])
             if count < 200_000:
                 continue
-            key, sid, sig = (np.concatenate(c) for c in zip(*held, strict=True))
+            key, sid, sig, pos = (np.concatenate(c) for c in zip(*held, strict=True))
             last = int(np.searchsorted(key, key[-1]))  # the last n-gram may go on
             done = slice(0, last)
-            yield from flush(key[done], sid[done], sig[done], hot)
+            yield from flush(key[done], sid[done], sig[done], pos[done], hot)
             if len(key) - last > HOT or key[-1] == hot:
                 hot = key[-1]
                 yield batch(sid[last:], None, key[last:], sig[last:])
                 held, count = [], 0
                 continue
-            held, count = [(key[last:], sid[last:], sig[last:])], len(key) - last
+            held, count = [(key[last:], sid[last:], sig[last:], pos[last:])], len(key) - last
         if held:
             yield from flush(*(np.concatenate(c) for c in zip(*held, strict=True)), hot)
 
-    def flush(key, sid, sig, hot):
+    def flush(key, sid, sig, pos, hot):
         if not len(key):
             return
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])])  # copies of a set once
-        key, sid, sig = key[new], sid[new], sig[new]
+        key, sid, sig, pos = key[new], sid[new], sig[new], pos[new]
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
         large = np.repeat(np.diff(edge) > HOT, np.diff(edge)) | (key == hot if hot is not None else False)
         if large.any():
             yield batch(sid[large], None, key[large], sig[large])
-            key, sid, sig = key[~large], sid[~large], sig[~large]
-        a, b = close(key, sid, sig)
+            key, sid, sig, pos = key[~large], sid[~large], sig[~large], pos[~large]
+        a, b = close(key, sid, sig, pos)
         for i in range(0, len(a), 100_000):
             yield batch(a[i : i + 100_000], b[i : i + 100_000])
 
@@ -231,12 +243,12 @@ def _pairs(t: float):
 
 def _sets(df: DataFrame, key: str, text: str) -> DataFrame:
     """(id, sid, tokens): the set of word hashes of every row, and one hash of the whole set."""
-    tokens = F.array_sort(F.array_distinct(F.transform(words(F.col(text)), lambda w: F.xxhash64(w))))
+    tokens = F.sort_array(F.array_distinct(F.transform(words(F.col(text)), lambda w: F.xxhash64(w))))
     rows = df.select(F.col(key).cast("long").alias("id"), tokens.alias("tokens")).filter("id is not null and size(tokens) > 0")
     return rows.select("id", F.xxhash64("tokens").alias("sid"), "tokens")
 
 
-def similar_pairs(sets: DataFrame, t: float = 0.8, expected: float = 48.0) -> DataFrame:
+def similar_pairs(sets: DataFrame, t: float = 0.8, expected: float = 128.0) -> DataFrame:
     """(a, b): the pairs of different sets (by sid, a < b) with a Jaccard similarity of at least ``t``, without the pairs
     that links through a third set already join, where one n-gram is shared by more than HOT sets.
 
@@ -244,11 +256,15 @@ def similar_pairs(sets: DataFrame, t: float = 0.8, expected: float = 48.0) -> Da
     the number of n-grams against that of candidates and has no influence on the result.
     """
     spark = sets.sparkSession
-    counted = sets.select(F.explode("tokens").alias("w")).groupBy(F.col("w").bitwiseAND(COUNTERS - 1).alias("c")).agg(F.count("*").alias("n")).collect()  # at most COUNTERS rows
-    total = sets.count()
-    share = np.zeros(COUNTERS)
+    # a word hash of -1 in every set counts the sets themselves
+    held = sets.select(F.explode(F.array_append("tokens", F.lit(-1))).alias("w"))
+    counted = held.groupBy(F.when(F.col("w") == -1, -1).otherwise(F.col("w").bitwiseAND(COUNTERS - 1)).alias("c")).agg(F.count("*").alias("n")).collect()  # at most COUNTERS + 1 rows
+    share, total = np.zeros(COUNTERS), 0
     for c, k in counted:
-        share[c] = k
+        if c < 0:
+            total = k
+        else:
+            share[c] = k
     known = spark.sparkContext.broadcast(share)
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,13 +285,13 @@ def similar_pairs(sets: DataFrame, t: float = 0.8, expected: float = 48.0) -> Da
             col = x.column("tokens")
             n = np.diff(col.offsets.to_numpy())
             flat = col.flatten().to_numpy()
-            key, own, sig, open_ = make(x.column("sid").to_numpy(), flat, n)
+            key, own, sig, pos = make(x.column("sid").to_numpy(), flat, n)
             key = key.view(np.int64)
             for i in range(0, len(key), 200_000):
                 s = slice(i, i + 200_000)
-                yield pa.RecordBatch.from_arrays([pa.array(key[s]), pa.array(own[s]), pa.array(sig[s].view(np.int64))], ["key", "sid", "sig"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[s]), pa.array(own[s]), pa.array(sig[s].view(np.int64)), pa.array(pos[s])], ["key", "sid", "sig", "pos"])
 
-    rows = sets.select("sid", "tokens").mapInArrow(grams, "key long, sid long, sig long")
+    rows = sets.select("sid", "tokens").mapInArrow(grams, "key long, sid long, sig long, pos int")
     met = rows.repartition(width(spark), "key").sortWithinPartitions("key", "sid").mapInArrow(_pairs(t), "key long, a long, b long, sig long")
     met = cut(met)
     pairs = met.filter("b is not null").select("a", "b").distinct()
@@ -309,10 +325,10 @@ def _hot_pairs(sets: DataFrame, hot: DataFrame, t: float) -> DataFrame:
 
 
 def _fits(x: str, y: str, t: float) -> Column:
-    n, m = F.col(x).bitwiseAND(32767), F.col(y).bitwiseAND(32767)
+    n, m = F.col(x).bitwiseAND(LARGE), F.col(y).bitwiseAND(LARGE)
     o = F.ceil(F.lit(t) * (n + m) / (1 + t) - 1e-9)
-    odd = F.bit_count(F.shiftrightunsigned(F.col(x).bitwiseXOR(F.col(y)), 15))
-    return ((F.least(n, m) >= o) & (odd <= n + m - 2 * o)) | (F.greatest(n, m) == 32767)
+    odd = F.bit_count(F.shiftrightunsigned(F.col(x).bitwiseXOR(F.col(y)), SIZE_BITS))
+    return ((F.least(n, m) >= o) & (odd <= n + m - 2 * o)) | (F.greatest(n, m) == LARGE)
 
 
 def _verified(sets: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
