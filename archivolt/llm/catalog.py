@@ -51,6 +51,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbour_pairs(table(spark, sf_dir, "embedding_cache"))
 
 
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from archivolt.llm.containers import containers
+
+    return containers(table(spark, sf_dir, "documents"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from archivolt.llm.leaks import leaks
 
@@ -71,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p6_found": p6_found,
+    "p7_containers": p7_containers,
     "p8_found": p8_found,
     "p9_found": p9_found,
 }
