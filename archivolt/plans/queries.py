@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from archivolt.functions import providers
 from archivolt.functions import text as T
 from archivolt.operators import chunking, entities, evidence, graph, metrics, questions, retrieval
+from archivolt.plans import answering
 from archivolt.sources import files
 from archivolt.sources.tables import table
 
@@ -409,8 +411,35 @@ def v10_interleaved(spark, d):
     return retrieval.interleaved(v1_bm25(spark, d), v3_entity_search(spark, d), 20)
 
 
+@query("v9_multi_hop")
+def v9_multi_hop(spark, d):
+    return answering.multi_hop(asked(spark, d), records(spark, d), people(spark, d), answering.Config(bm25_k=10, entity_k=10, k=10))
+
+
+@query("v6_reranked")
+def v6_reranked(spark, d):
+    """All of a question's registered evidence by the offline scorer."""
+    ranked = evidence.registered(records(spark, d)).filter("content is not null").select("qid", F.col("record_id").alias("chunk"), F.col("seq").alias("rank"))
+    return retrieval.reranked(ranked, asked(spark, d), records(spark, d), "record_id", "content", 30, 20)
+
+
+@query("v2_text_dense")
+def v2_text_dense(spark, d):
+    """Records by the vectors of their texts: questions as the stated set of queries."""
+    vector = lambda c: providers.embedded(F.col(c))
+    ids = asked(spark, d).withColumn("id", F.xxhash64("qid"))
+    rows = records(spark, d).filter("trim(content) <> ''").select(F.col("record_id").alias("id"), vector("content").alias("vector"))
+    found = retrieval.dense(ids.select("id", vector("question").alias("vector")), rows.filter(F.exists("vector", lambda x: x != 0)), 10)
+    return found.join(ids.select(F.col("id").alias("q"), F.col("qid").alias("name")), F.col("qid") == F.col("q")).select(F.col("name").alias("qid"), "chunk", "score", "rank")
+
+
 # --- evidence
 
+@query("x18_answers")
+def x18_answers(spark, d):
+    return answering.answers(asked(spark, d), records(spark, d), people(spark, d))
+
+
 @query("x1_sources")
 def x1_sources(spark, d):
     rows = table(spark, d, "evidence_records").select("source_file", "source_category").distinct()
