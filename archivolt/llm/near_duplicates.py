@@ -21,11 +21,13 @@ pair is then verified once on the words themselves.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,13 +37,16 @@ from archivolt.plans.session import cut, width
 #: Counters of the word frequencies (a table of fixed size, whatever the vocabulary).
 COUNTERS = 1 << 16
 #: Rows of one n-gram that a task pairs at once; n-grams with more are split into blocks over many tasks.
-HOT = 20_000
-#: Bits of the filter on candidates' ids, a fixed 4 MB.
+HOT = 40_000
+#: Bits of the filter on ids, a fixed 4 MB.
 SEEN_BITS = 1 << 25
 #: Bits of a set's signature that hold its size; sets of LARGE words and more pass the filters.
 SIZE_BITS = 10
+#: Bits of a row's key that hold the n-gram's place in its set.
+PLACE_BITS = 10
 LARGE = (1 << SIZE_BITS) - 1
 _MIX = 0x9E3779B97F4A7C15
+_WORD = re.compile(r"[^\W_]+")
 
 
 def words(text: Column) -> Column:
@@ -75,7 +80,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Grams:
-    """Turns a batch of word-hash sets into rows (key, sid, sig, pos)."""
+    """Turns a batch of word-hash sets into rows (key, sid, sig); the last bits of a key are the n-gram's place."""
 
     def __init__(self, share: np.ndarray, total: int, t: float, expected: float):
         self.t, self.limit = t, math.log(expected / max(total, expected))
@@ -88,7 +93,7 @@ class Grams:
         self.below = np.cumsum(self.mass) - self.mass
 
     def __call__(self, sid: np.ndarray, flat: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
-        keys, sids, sigs, places = [], [], [], []
+        keys, sids, sigs = [], [], []
         # sets of about the same size together, so that the padded table stays small
         order = np.argsort(n, kind="stable")
         starts = np.concatenate([[0], np.cumsum(n)])
@@ -100,10 +105,10 @@ class Grams:
             chosen = order[at:to]
             at = to
             part = self._rows(sid[chosen], flat, starts[chosen], n[chosen].astype(np.int64))
-            for into, x in zip((keys, sids, sigs, places), part, strict=True):
+            for into, x in zip((keys, sids, sigs), part, strict=True):
                 into.append(x)
         empty = np.empty(0, np.uint64)
-        return tuple(np.concatenate(x) if x else empty for x in (keys, sids, sigs, places))
+        return tuple(np.concatenate(x) if x else empty for x in (keys, sids, sigs))
 
     def _rows(self, sid, flat, starts, n):
         rows, size, t = len(n), int(n.max()), self.t
@@ -163,7 +168,8 @@ class Grams:
                     owners.append(np.full(len(s), k))
                     places.append(s)
         owner = np.concatenate(owners)
-        return np.concatenate(keys), sid[owner], sig[owner], np.concatenate(places).astype(np.int32)
+        place = np.minimum(np.concatenate(places), (1 << PLACE_BITS) - 1).astype(np.uint64)
+        return (np.concatenate(keys) >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS)) | place, sid[owner], sig[owner]
 
 
 def _similar(sig_a: np.ndarray, sig_b: np.ndarray, pos_a: np.ndarray, pos_b: np.ndarray, t: float) -> np.ndarray:
@@ -173,11 +179,13 @@ def _similar(sig_a: np.ndarray, sig_b: np.ndarray, pos_a: np.ndarray, pos_b: np.
     o = np.ceil(t * (n + m) / (1 + t) - 1e-9)
     # before the n-gram and from it on, the two can't share more words than the one with fewer has there
     shared = np.minimum(pos_a, pos_b) + np.minimum(n - pos_a, m - pos_b)
-    return ((np.minimum(n, m) >= o) & (shared >= o) & (odd <= n + m - 2 * o)) | (np.maximum(n, m) == LARGE)
+    last = (1 << PLACE_BITS) - 1
+    placed = (shared >= o) | (pos_a == last) | (pos_b == last)
+    return ((np.minimum(n, m) >= o) & placed & (odd <= n + m - 2 * o)) | (np.maximum(n, m) == LARGE)
 
 
-def _pairs(t: float):
-    """Pairs the rows of each n-gram in a stream sorted by (key, sid); rows of n-grams with more than HOT rows pass through."""
+def _pairs(t: float, most: int):
+    """Pairs the rows of each n-gram in a stream sorted by (key, sid); rows of n-grams with more than ``most`` rows pass through."""
 
     def close(key, sid, sig, pos):
         out_a, out_b = [], []
@@ -204,10 +212,10 @@ def _pairs(t: float):
         held: list[tuple[np.ndarray, ...]] = []
         count, hot = 0, None
         for x in batches:
-            cols = [x.column(c).to_numpy() for c in ("key", "sid", "sig", "pos")]
+            cols = [x.column(c).to_numpy() for c in ("key", "sid", "sig")]
             if not len(cols[0]):
                 continue
-            held.append((cols[0], cols[1], cols[2].view(np.uint64), cols[3]))
+            held.append((cols[0] >> PLACE_BITS, cols[1], cols[2].view(np.uint64), cols[0] & ((1 << PLACE_BITS) - 1)))
             count += len(cols[0])
             if count < 200_000:
                 continue
@@ -215,7 +223,7 @@ def _pairs(t: float):
             last = int(np.searchsorted(key, key[-1]))  # the last n-gram may go on
             done = slice(0, last)
             yield from flush(key[done], sid[done], sig[done], pos[done], hot)
-            if len(key) - last > HOT or key[-1] == hot:
+            if len(key) - last > most or key[-1] == hot:
                 hot = key[-1]
                 yield batch(sid[last:], None, key[last:], sig[last:])
                 held, count = [], 0
@@ -227,10 +235,10 @@ def _pairs(t: float):
     def flush(key, sid, sig, pos, hot):
         if not len(key):
             return
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])])  # copies of a set once
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (sid[1:] != sid[:-1]) | (pos[1:] != pos[:-1])])  # copies of a set once
         key, sid, sig, pos = key[new], sid[new], sig[new], pos[new]
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-        large = np.repeat(np.diff(edge) > HOT, np.diff(edge)) | (key == hot if hot is not None else False)
+        large = np.repeat(np.diff(edge) > most, np.diff(edge)) | (key == hot if hot is not None else False)
         if large.any():
             yield batch(sid[large], None, key[large], sig[large])
             key, sid, sig, pos = key[~large], sid[~large], sig[~large], pos[~large]
@@ -241,36 +249,93 @@ def _pairs(t: float):
     return run
 
 
-def _sets(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, sid, tokens): the set of word hashes of every row, and one hash of the whole set."""
-    tokens = F.sort_array(F.array_distinct(F.transform(words(F.col(text)), lambda w: F.xxhash64(w))))
-    rows = df.select(F.col(key).cast("long").alias("id"), tokens.alias("tokens")).filter("id is not null and size(tokens) > 0")
-    return rows.select("id", F.xxhash64("tokens").alias("sid"), "tokens")
-
-
-def similar_pairs(sets: DataFrame, t: float = 0.8, expected: float = 128.0) -> DataFrame:
+def _hashed(ids: list[int], texts: list[str], known: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, sids, sizes, tokens) of the texts that hold a word: one hash of each set of words, its size, and its word hashes, sorted."""
+    kept, sids, flat = [], [], []
+    for i, t in zip(ids, texts, strict=True):
+        found = set(_WORD.findall(t.lower()))
+        if not found:
+            continue
+        for w in found.difference(known):
+            known[w] = xxhash.xxh64_intdigest(w) - (1 << 63)
+        tokens = np.array(sorted(map(known.__getitem__, found)), np.int64)
+        kept.append(i)
+        sids.append(xxhash.xxh64_intdigest(tokens.tobytes()) - (1 << 63))
+        flat.append(tokens)
+    if len(known) > 1_000_000:  # bounded; words come again
+        known.clear()
+    sizes = np.array([len(x) for x in flat], np.int64)
+    return np.array(kept, np.int64), np.array(sids, np.int64), sizes, np.concatenate(flat) if flat else np.empty(0, np.int64)
+
+
+def _columns(x: pa.RecordBatch, known: dict[str, int]):
+    return _hashed(x.column("id").to_pylist(), x.column("text").to_pylist(), known)
+
+
+class Texts:
+    """Texts by id, with the hash of each one's set of words, and how often words occur: one pass over them."""
+
+    def __init__(self, df: DataFrame, key: str, text: str):
+        self.rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).filter("id is not null and text is not null")
+
+        def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known, seen = {}, np.zeros(COUNTERS + 1, np.int64)
+            for x in batches:
+                ids, sids, _, tokens = _columns(x, known)
+                if len(ids):
+                    seen[:COUNTERS] += np.bincount(tokens & (COUNTERS - 1), minlength=COUNTERS)
+                    seen[COUNTERS] += len(ids)
+                    none = pa.nulls(len(ids), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sids), none, none], ["id", "sid", "c", "n"])
+            at = np.flatnonzero(seen)
+            none = pa.nulls(len(at), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(at), pa.array(seen[at])], ["id", "sid", "c", "n"])
+
+        both = cut(self.rows.mapInArrow(first, "id long, sid long, c long, n long"))
+        self.ids = both.filter("c is null").select("id", "sid")
+        share = np.zeros(COUNTERS + 1)
+        for c, n in both.filter("c is not null").groupBy("c").agg(F.sum("n")).collect():  # at most COUNTERS + 1 rows
+            share[c] = n
+        self.share, self.total = share[:COUNTERS], int(share[COUNTERS])
+        self.lead = self.ids.groupBy("sid").agg(F.min("id").alias("id"))
+
+    def sets(self, sids: DataFrame) -> DataFrame:
+        """(sid, tokens) of a table of sids: only texts that one of them needs are taken apart and shuffled."""
+        ids = sids.join(self.lead, "sid").select("id")
+        cell = f"pmod(id, {SEEN_BITS})"
+        marks = ids.groupBy(F.expr(f"cast({cell} div 64 as long)").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({cell} % 64 as int))")).alias("bits"))
+        table = np.zeros(SEEN_BITS // 64, np.int64)
+        for w, bits in marks.collect():  # at most SEEN_BITS / 64 rows, however many ids
+            table[w] = bits
+        wanted = self.rows.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+
+        def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known: dict[str, int] = {}
+            for x in batches:
+                at = np.mod(x.column("id").to_numpy(), SEEN_BITS)
+                on = (wanted.value[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1)
+                _, sids, sizes, tokens = _columns(x.filter(pa.array(on.astype(bool))), known)
+                if len(sids):
+                    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(sids), pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens))], ["sid", "tokens"])
+
+        return self.rows.mapInArrow(named, "sid long, tokens array<long>").dropDuplicates(["sid"])
+
+
+def similar_pairs(texts: Texts, t: float = 0.8, expected: float = 128.0, hot: int = HOT) -> DataFrame:
     """(a, b): the pairs of different sets (by sid, a < b) with a Jaccard similarity of at least ``t``, without the pairs
-    that links through a third set already join, where one n-gram is shared by more than HOT sets.
+    that links through a third set already join, where one n-gram is shared by more than ``hot`` sets.
 
     ``expected`` is the number of sets an n-gram is expected to be shared by, by chance: it balances
     the number of n-grams against that of candidates and has no influence on the result.
     """
-    spark = sets.sparkSession
-    # a word hash of -1 in every set counts the sets themselves
-    held = sets.select(F.explode(F.array_append("tokens", F.lit(-1))).alias("w"))
-    counted = held.groupBy(F.when(F.col("w") == -1, -1).otherwise(F.col("w").bitwiseAND(COUNTERS - 1)).alias("c")).agg(F.count("*").alias("n")).collect()  # at most COUNTERS + 1 rows
-    share, total = np.zeros(COUNTERS), 0
-    for c, k in counted:
-        if c < 0:
-            total = k
-        else:
-            share[c] = k
-    known = spark.sparkContext.broadcast(share)
+    spark, total = texts.rows.sparkSession, texts.total
+    share = spark.sparkContext.broadcast(texts.share)
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, seen = Grams(known.value, total, t, expected), set()
+        make, seen, known = Grams(share.value, total, t, expected), set(), {}
         for x in batches:
-            sid = x.column("sid").to_numpy()
+            _, sid, n, flat = _columns(x, known)
             # a set that this task has had gives the same rows again; the memory of it is bounded
             fresh = np.zeros(len(sid), bool)
             for i, s in enumerate(sid.tolist()):
@@ -279,30 +344,27 @@ def similar_pairs(sets: DataFrame, t: float = 0.8, expected: float = 128.0) -> D
                     seen.add(s)
             if len(seen) > 500_000:
                 seen = set()
-            x = x.filter(pa.array(fresh))
-            if not x.num_rows:
+            if not fresh.any():
                 continue
-            col = x.column("tokens")
-            n = np.diff(col.offsets.to_numpy())
-            flat = col.flatten().to_numpy()
-            key, own, sig, pos = make(x.column("sid").to_numpy(), flat, n)
+            flat, sid, n = flat[np.repeat(fresh, n)], sid[fresh], n[fresh]
+            key, own, sig = make(sid, flat, n)
             key = key.view(np.int64)
             for i in range(0, len(key), 200_000):
                 s = slice(i, i + 200_000)
-                yield pa.RecordBatch.from_arrays([pa.array(key[s]), pa.array(own[s]), pa.array(sig[s].view(np.int64)), pa.array(pos[s])], ["key", "sid", "sig", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[s]), pa.array(own[s]), pa.array(sig[s].view(np.int64))], ["key", "sid", "sig"])
 
-    rows = sets.select("sid", "tokens").mapInArrow(grams, "key long, sid long, sig long, pos int")
-    met = rows.repartition(width(spark), "key").sortWithinPartitions("key", "sid").mapInArrow(_pairs(t), "key long, a long, b long, sig long")
+    rows = texts.rows.mapInArrow(grams, "key long, sid long, sig long")
+    met = rows.repartition(width(spark), F.shiftright("key", PLACE_BITS)).sortWithinPartitions("key", "sid").mapInArrow(_pairs(t, hot), "key long, a long, b long, sig long")
     met = cut(met)
     pairs = met.filter("b is not null").select("a", "b").distinct()
-    hot = met.filter("b is null").select("key", F.col("a").alias("sid"), "sig").distinct()
-    found = _verified(sets, pairs, t)
-    if hot.isEmpty():
+    crowded = met.filter("b is null").select("key", F.col("a").alias("sid"), "sig").distinct()
+    found = _verified(texts, pairs, t)
+    if crowded.isEmpty():
         return found
-    return cut(found.unionByName(_hot_pairs(sets, hot, t)))
+    return cut(found.unionByName(_hot_pairs(texts, crowded, t, hot)))
 
 
-def _hot_pairs(sets: DataFrame, hot: DataFrame, t: float) -> DataFrame:
+def _hot_pairs(texts: Texts, hot: DataFrame, t: float, most: int) -> DataFrame:
     """Links among the sets of n-grams that very many share.
 
     First every set is tried against the smallest of its n-gram. Sets that this joins into one
@@ -311,16 +373,16 @@ def _hot_pairs(sets: DataFrame, hot: DataFrame, t: float) -> DataFrame:
     """
     pivot = hot.groupBy("key").agg(F.min_by(F.struct("sid", "sig"), "sid").alias("p"))
     star = hot.join(pivot, "key").filter("sid <> p.sid").filter(_fits("sig", "p.sig", t))
-    first = cut(_verified(sets, star.select(F.least("sid", "p.sid").alias("a"), F.greatest("sid", "p.sid").alias("b")).distinct(), t))
+    first = cut(_verified(texts, star.select(F.least("sid", "p.sid").alias("a"), F.greatest("sid", "p.sid").alias("b")).distinct(), t))
     of = connected_components(first)
     known = hot.join(of, hot.sid == of.node, "left").select("key", "sid", "sig", F.coalesce("component", "sid").alias("component"))
     mixed = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo <> hi")
-    rest = known.join(mixed.select("key", F.ceil(F.col("n") / HOT).cast("int").alias("blocks")), "key")
+    rest = known.join(mixed.select("key", F.ceil(F.col("n") / most).cast("int").alias("blocks")), "key")
     rest = rest.withColumn("mine", F.pmod(F.xxhash64("sid"), F.col("blocks")))
     left = rest.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).withColumn("cell", F.struct(F.least("mine", "other"), F.greatest("mine", "other")))
     x, y = left.alias("x"), left.alias("y")
     near = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.cell") == F.col("y.cell")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.component") != F.col("y.component")) & _fits("x.sig", "y.sig", t))
-    more = _verified(sets, near.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct(), t)
+    more = _verified(texts, near.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct(), t)
     return first.unionByName(more)
 
 
@@ -331,41 +393,27 @@ def _fits(x: str, y: str, t: float) -> Column:
     return ((F.least(n, m) >= o) & (odd <= n + m - 2 * o)) | (F.greatest(n, m) == LARGE)
 
 
-def _verified(sets: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
-    """The pairs whose words really are that similar; only sets that some pair names are shuffled."""
-    spark = sets.sparkSession
+def _verified(texts: Texts, pairs: DataFrame, t: float) -> DataFrame:
+    """The pairs whose words really are that similar; each is looked at once."""
     pairs = cut(pairs)
-    cell = F.pmod(F.col("s"), F.lit(SEEN_BITS))
-    marks = pairs.select(F.explode(F.array("a", "b")).alias("s")).groupBy((cell / 64).cast("long").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(s, {SEEN_BITS}) % 64 as int))")).alias("bits"))
-    table = np.zeros(SEEN_BITS // 64, np.int64)
-    for w, bits in marks.toLocalIterator():  # at most SEEN_BITS / 64 rows, however many pairs
-        table[w] = bits
-    known = spark.sparkContext.broadcast(table.view(np.uint64))
-
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            at = np.mod(x.column("sid").to_numpy(), SEEN_BITS)
-            on = (known.value[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1)
-            yield x.filter(pa.array(on.astype(bool)))
-
-    texts = sets.select("sid", "tokens").mapInArrow(named, "sid long, tokens array<long>").dropDuplicates(["sid"])
-    x, y = texts.select(F.col("sid").alias("a"), F.col("tokens").alias("ta")), texts.select(F.col("sid").alias("b"), F.col("tokens").alias("tb"))
+    sets = texts.sets(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct())
+    x, y = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("sid").alias("b"), F.col("tokens").alias("tb"))
     same = F.size(F.array_intersect("ta", "tb"))
     return pairs.join(x, "a").join(y, "b").filter(same >= F.lit(t) * (F.size("ta") + F.size("tb") - same) - 1e-9).select("a", "b")
 
 
-def near_duplicate_groups(df: DataFrame, key: str, text: str, t: float = 0.8) -> DataFrame:
+def near_duplicate_groups(df: DataFrame, key: str, text: str, t: float = 0.8, hot: int = HOT) -> DataFrame:
     """(key, group_id, links): every row that is near-duplicate of another, with the smallest key of its group.
 
     Rows of one key count once. Texts with the same set of words are one class and near each other;
     ``links`` is the number of other classes that the row's class is linked to directly. Texts that
     are null or hold no word are near nothing. Other columns are not read, whatever their names.
     """
-    sets = _sets(df, key, text)
-    links = cut(similar_pairs(sets, t))
+    texts = Texts(df, key, text)
+    links = cut(similar_pairs(texts, t, hot=hot))
     of = connected_components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("sid")).groupBy("sid").agg(F.count("*").alias("links"))
-    rows = sets.select("id", "sid").distinct()
+    rows = texts.ids.distinct()
     rows = rows.join(of, rows.sid == of.node, "left").select("id", "sid", F.coalesce("component", "sid").alias("root"))
     groups = rows.groupBy("root").agg(F.min("id").alias("group_id"), F.count_distinct("id").alias("n")).filter("n > 1").drop("n")
     found = rows.join(groups, "root").join(degree, "sid", "left")
