@@ -22,8 +22,10 @@ from archivolt.plans.session import cut
 # What is read -> what is meant.
 CONFUSIONS = [
     ("c", "e"), ("1", "i"), ("0", "o"), ("1", "l"), ("ri", "n"), ("cl", "d"), ("ſ", "s"), ("5", "s"), ("ii", "u"), ("b", "h"),
-    ("9", "g"), ("rn", "m"), ("6", "b"), ("vv", "w"), ("h", "li"), ("8", "B"), ("0", "O"), ("1", "I"), ("5", "S"), ("l", "I"), ("m", "rn"),
+    ("9", "g"), ("rn", "m"), ("6", "b"), ("vv", "w"), ("h", "li"), ("8", "B"), ("0", "O"), ("1", "I"), ("5", "S"), ("l", "I"), ("m", "rn"), ("d", "cl"), ("@", "a"), ("+", "t"), ("|", "l"),
 ]
+# Characters that are read for letters, within words and at their ends.
+ODD = "@+|"
 # Letters read for digits, and the digits.
 LETTERS, DIGITS = "lIOSBoiZ|", "110580121"
 HYPHENS = "-‐¬­"
@@ -44,13 +46,17 @@ def _value(text: str) -> int:
 
 
 def _bare(word: str) -> Column:
-    """A word without the marks around it."""
-    return F.regexp_replace(word, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+    """A word without the marks around it; marks that stand for letters stay, if there are letters."""
+    bare = F.regexp_replace(word, rf"^[^\p{{L}}\p{{N}}{ODD}]+|[^\p{{L}}\p{{N}}{ODD}]+$", "")
+    return F.when(bare.rlike(r"[\p{L}\p{N}]"), bare).otherwise("")
 
 
 def _lines(pages: DataFrame) -> DataFrame:
     """(page_id, file, page, line_no, line, top, bottom): all lines; top and bottom count the non-blank ones from either end."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("file_path", F.lit("")).alias("file"), F.coalesce("page_number", F.lit(0)).alias("page"), F.split("text", "\n").alias("lines")).filter("page_id is not null and lines is not null")
+    # several documents may have files of one path
+    owner = F.coalesce(F.col("document_id"), F.lit("")) if "document_id" in pages.columns else F.lit("")
+    file = F.concat(F.coalesce("file_path", F.lit("")), F.lit("#"), owner)
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), file.alias("file"), F.coalesce("page_number", F.lit(0)).alias("page"), F.split("text", "\n").alias("lines")).filter("page_id is not null and lines is not null")
     full = F.expr("filter(sequence(0, size(lines) - 1), i -> trim(regexp_replace(lines[i], '[\\\\s\\\\u00a0]+', ' ')) <> '')")
     rows = rows.withColumn("full", full).select("page_id", "file", "page", "full", F.posexplode("lines").alias("at", "line"))
     place = F.array_position("full", F.col("at")).cast("int")
@@ -60,7 +66,7 @@ def _lines(pages: DataFrame) -> DataFrame:
 def _skeleton(line: Column) -> Column:
     """A line's letters with confusable ones made equal, without a page number at either end."""
     x = F.regexp_replace(line, r"^[^\p{L}\p{N}]*[0-9lIOSB]*[0-9][0-9lIOSB]*[^\p{L}\p{N}]+|[^\p{L}\p{N}]+[0-9lIOSB]*[0-9][0-9lIOSB]*[^\p{L}\p{N}]*$", "")
-    x = F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]", "")
+    x = F.regexp_replace(F.translate(F.lower(x), ODD, "atl"), r"[^\p{L}\p{N}]", "")
     for wrong, right in (("rn", "m"), ("vv", "w"), ("cl", "d"), ("ii", "u"), ("ri", "n"), ("li", "h")):
         x = F.replace(x, F.lit(wrong), F.lit(right))
     return F.translate(x, "10596ecbſi8", "loSgbcchslb")
@@ -89,7 +95,7 @@ def edges(lines: DataFrame) -> DataFrame:
     rest = edge.withColumn("skeleton", _skeleton(F.col("line"))).filter("length(skeleton) >= 6").join(numbered, ["page_id", "line_no"], "left_anti")
     rest = cut(rest.select("page_id", "file", "page", "line_no", "line", "side", "top", "skeleton"))
     again = rest.groupBy("file", "side", "skeleton").agg(F.count_distinct("page").alias("pages")).filter("pages > 1").select("file", "side", F.col("skeleton").alias("known"))
-    title = _skeleton(F.regexp_replace(F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\..*$", ""), "_", " "))
+    title = _skeleton(F.regexp_replace(F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"(\.|#).*$", ""), "_", " "))
     named = rest.filter("page > 1").select("file", "side", title.alias("known")).distinct()
     known = again.withColumn("from", F.lit(0)).unionByName(named.withColumn("from", F.lit(2))).distinct()
     close = (F.levenshtein("skeleton", "known") <= F.greatest(F.lit(1), F.floor(F.length("known") * 0.2))) & (F.col("page") >= F.col("from"))
@@ -97,7 +103,9 @@ def edges(lines: DataFrame) -> DataFrame:
     # the other of two alternating titles may stand on one page only: written like a title, above the text
     capital = F.col("line").rlike(r"\p{Lu}+\s+.*\p{Lu}") & ~F.col("line").rlike(r"\p{Ll}{2}")
     lone = rest.filter(capital & (F.col("top") == 1) & (F.col("page") > 1)).select("page_id", "line_no")
-    running = first.unionByName(lone).distinct()
+    # a number set off from a title by a gap
+    spaced = rest.filter(F.col("line").rlike(rf"^[\[(]?[0-9{LETTERS}]{{1,4}}[\])]?\s{{2,}}\p{{Lu}}.*[^.,;:!?\s]$|^\p{{Lu}}.*[^.,;:!?\s]\s{{2,}}[\[(]?[0-9{LETTERS}]{{1,4}}[\])]?\s*$") & F.col("line").rlike("[0-9]")).select("page_id", "line_no")
+    running = first.unionByName(lone).unionByName(spaced).distinct()
     return running.withColumn("kind", F.lit("running_line")).unionByName(numbered.join(running, ["page_id", "line_no"], "left_anti").withColumn("kind", F.lit("page_number")))
 
 
@@ -122,7 +130,7 @@ def corrections(words: DataFrame, asked: DataFrame) -> DataFrame:
 def _numbers(word: str) -> Column:
     """A number with letters read for digits as digits, else null."""
     n = F.translate(word, LETTERS, DIGITS)
-    return F.when(F.col(word).rlike(r"^[0-9lIOSB.,:\-]+$") & F.col(word).rlike("[0-9]") & F.col(word).rlike("[lIOSB]") & ~F.col(word).rlike("^[lIOSB]-"), n)
+    return F.when(F.col(word).rlike(r"^[0-9lIOSB|.,:\-]+$") & F.col(word).rlike("[0-9]") & F.col(word).rlike("[lIOSB|]") & ~F.col(word).rlike("^[lIOSB]-"), n)
 
 
 class Scans:
@@ -141,11 +149,11 @@ class Scans:
         by = Window.partitionBy("page_id").orderBy("line_no")
         ends = ends.withColumn("next_no", F.lead("line_no").over(by)).withColumn("next", F.lead("line").over(by)).withColumn("first", F.row_number().over(by) == 1)
         heads = ends.filter("first").groupBy("file", F.col("page").alias("page")).agg(F.min(F.struct("page_id", "line_no", "line")).alias("h"))
-        left = F.regexp_extract("line", rf"((?:[\p{{L}}\p{{N}}'’]+[-‐])*[\p{{L}}\p{{N}}]+)[{HYPHENS}]$", 1)
+        left = F.regexp_extract("line", rf"((?:[\p{{L}}\p{{N}}{ODD}'’]+[-‐])*[\p{{L}}\p{{N}}{ODD}]+)[{HYPHENS}]$", 1)
         broken = ends.withColumn("left", left).filter("left rlike '\\\\p{L}'")
         over = broken.filter("next is null").drop("next").join(heads.select("file", (F.col("page") - 1).alias("page"), F.col("h.line").alias("next")), ["file", "page"])
         broken = broken.filter("next is not null").select("page_id", "file", "page", "line_no", "next_no", "left", "next", F.lit(False).alias("over")).unionByName(over.select("page_id", "file", "page", "line_no", "next_no", "left", "next", F.lit(True).alias("over")))
-        right = F.regexp_extract(F.ltrim("next"), r"^[^\p{L}\p{N}\s]*([\p{L}\p{N}]+(?:[-'’‐][\p{L}\p{N}]+)*)", 1)
+        right = F.regexp_extract(F.ltrim("next"), rf"^[^\p{{L}}\p{{N}}\s{ODD}]*([\p{{L}}\p{{N}}{ODD}]+(?:[-'’‐][\p{{L}}\p{{N}}{ODD}]+)*)", 1)
         broken = broken.withColumn("right", right).filter("right rlike '\\\\p{L}'").drop("next")
         broken = cut(broken.withColumn("joined", F.concat("left", "right")).withColumn("hyphened", F.concat("left", F.lit("-"), "right")))
         # halves are no words of their own
@@ -180,7 +188,7 @@ def noise(pages: DataFrame) -> DataFrame:
     """(page_id, line_no, kind, word): what is wrong on the scanned pages.
 
     Only pages whose format says that they are scans are looked at. Null and empty texts have no lines. A page extracted
-    twice gives its rows under each page_id; equal rows count once. A page without a file is one of its own file "".
+    twice gives its rows under each page_id; equal rows count once. Pages belong together by document_id (if there is one) and file_path.
     """
     s = Scans(pages)
     found = s.edges.select("page_id", F.col("line_no").cast("int").alias("line_no"), "kind", F.lit("").alias("word"))

@@ -30,6 +30,12 @@ def test_kinds_of_noise(spark):
     assert got == want
 
 
+def test_files_of_one_path_are_told_apart(spark):
+    rows = [(1, "d1", 1, "7\n\nThe sail."), (2, "d1", 2, "8\n\nThe oar."), (3, "d2", 1, "31\n\nThe mast."), (4, "d2", 2, "32\n\nThe rope."), (5, "d2", 3, "33\n\nThe knot.")]
+    df = spark.createDataFrame([(i, d, "a/x.scan.pdf", "scan_pdf", n, t) for i, d, n, t in rows], "page_id long, document_id string, file_path string, format string, page_number int, text string")
+    assert {(r.page_id, r.kind) for r in noise(df).collect()} == {(i, "page_number") for i in range(1, 6)}
+
+
 def test_repaired_text(spark):
     got = {(r.page_id, r.paragraph_no): r.text for r in repaired(book(spark)).collect() if r.page_id < 100}
     assert got[1, 1] == "The price of salt rose after the winter because the timber of the gate-keeper had 109 casks. The fountain"
