@@ -22,7 +22,7 @@ from archivolt.llm.near_duplicates import words
 from archivolt.plans.session import cut
 
 #: Passages are taken to the shards in blocks of at most about this many words.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 500_000
 #: Free positions between two documents of a shard, so that no match crosses them.
 GAP = 64
 
