@@ -92,6 +92,11 @@ SQL: dict[str, str] = {
         sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
         reach(a, b) AS (SELECT a, b FROM sides UNION SELECT reach.a, sides.b FROM reach JOIN sides ON reach.b = sides.a)
         SELECT a AS record_id, least(a, min(b)) AS group_id FROM reach GROUP BY a""",
+    "p5_found": """
+        WITH v AS (SELECT vec_id, list_transform(vector, lambda x: x::DOUBLE) AS v FROM embedding_cache WHERE len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
+        s AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.v, b.v), 11) AS c FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+        k AS (SELECT a, b FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS place FROM s) WHERE place <= 5)
+        SELECT DISTINCT least(a, b) AS vec_a, greatest(a, b) AS vec_b FROM k""",
     "p6_found": """
         SELECT document_id, record_id FROM (
             SELECT document_id, record_id, row_number() OVER (PARTITION BY document_id ORDER BY score DESC, record_id) AS place

@@ -33,6 +33,8 @@ LEGAL_FORMS = {
 }
 # Words that belong to no name.
 SMALL_WORDS = {"the", "of", "and"}
+#: Longer words are no names that anyone mistypes; they are taken as they stand.
+LONGEST = 64
 #: Letters of a short form of a given name.
 SHORT = 4
 
@@ -103,9 +105,10 @@ def corrected(words: DataFrame, within: list[str], shortest: int) -> DataFrame:
     """(within..., word, right): rare words with the frequent one they are a slip of.
 
     ``words`` has (within..., word, n). A word of at most two occurrences goes to one with at least twice as
-    many, a more frequent one only to one with ten times as many; of several to the most frequent.
+    many, a more frequent one only to one with ten times as many; of several to the most frequent. Words
+    of more than LONGEST letters stay as they are.
     """
-    forms = words.filter(F.length("word") >= shortest).withColumn("form", F.explode(edits("word")))
+    forms = words.filter(F.length("word").between(shortest, LONGEST)).withColumn("form", F.explode(edits("word")))
     x, y = forms.alias("x"), forms.select(*within, F.col("word").alias("right"), F.col("n").alias("m"), "form").alias("y")
     same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in [*within, "form"]]
     enough = F.when(F.col("x.n") <= 2, 2 * F.col("x.n")).otherwise(10 * F.col("x.n")) <= F.col("y.m")

@@ -57,7 +57,10 @@ def words(text: Column) -> Column:
 @lru_cache(maxsize=4096)
 def breaks(n: int, t: float) -> int:
     """The most words that a set of n words and one similar enough can have one without the other."""
-    return max(n + m - 2 * _overlap(n, m, t) for m in range(math.ceil(t * n - 1e-9), int(n / t + 1e-9) + 1))
+    low, high = math.ceil(t * n - 1e-9), int(n / t + 1e-9)
+    # they grow with m but for the rounding, which is less than 2 of them
+    near = math.ceil(2 * (1 + t) / (1 - t)) + 2 if t < 1 else 1
+    return max(n + m - 2 * _overlap(n, m, t) for m in range(max(low, high - near), high + 1))
 
 
 def _overlap(n: int, m: int, t: float) -> int:
@@ -67,7 +70,7 @@ def _overlap(n: int, m: int, t: float) -> int:
 @lru_cache(maxsize=4096)
 def sure_length(n: int, t: float) -> int:
     """The length of n-gram that a set of n words shares for certain with any larger one that is similar enough."""
-    best = 99
+    best, n = 99, min(n, 400)  # it doesn't get shorter for larger sets
     for m in range(n, int(n / t + 1e-9) + 1):
         o = _overlap(n, m, t)
         best = min(best, (o - 1) // (n + m - 2 * o + 1) + 1)

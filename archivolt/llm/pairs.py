@@ -190,8 +190,9 @@ def defect(question: str | None, answer: str | None, ends: dict[str, tuple[int,
     asked, said = _words(question or ""), _words(content)
     if asked and said:
         new = len(said) - Suffixes(asked).copied(said)
-        missing = [w for w in asked if w not in set(said)]
-        strange = [w for w in said if w not in set(asked)]
+        of_asked, of_said = set(asked), set(said)
+        missing = [w for w in asked if w not in of_said]
+        strange = [w for w in said if w not in of_asked]
         # a word of the answer's own must be a slip of one of the question's, or it may tell something
         slips = [w for w in strange if not w[0].isdigit() and any(_slip(w, m) for m in missing)]
         if len(said) <= len(asked) + 2 and len(said) >= 0.6 * len(asked) and new <= max(1, 0.3 * len(said)) and len(strange) == len(slips) <= 2:

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from collections import Counter
@@ -81,6 +82,20 @@ def test_empty_table(spark):
     assert near_duplicate_groups(spark.createDataFrame([], "id long, t string"), "id", "t").count() == 0
 
 
+def test_very_long_texts(spark):
+    words = [f"w{i}" for i in range(30_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[2000:])), (3, " ".join(words[:20_000])), (4, " ".join(words[:10] * 3000)), (5, " ".join(words[:11]))]
+    got = near_duplicate_groups(spark.createDataFrame(rows, "record_id long, content string"), "record_id", "content").collect()
+    assert {(r.record_id, r.group_id) for r in got} == {(1, 1), (2, 1), (4, 4), (5, 4)}
+
+
+def test_bounds_are_those_of_a_full_search():
+    for n in (1, 2, 5, 17, 53, 400, 1001):
+        for t in (0.5, 0.8, 0.9):
+            sizes = range(-(-int(t * n * 1000) // 1000), int(n / t + 1e-9) + 1)
+            assert breaks(n, t) == max(n + m - 2 * math.ceil(t * (n + m) / (1 + t) - 1e-9) for m in sizes if m >= t * n - 1e-9)
+
+
 def test_bounds_hold():
     for n in range(1, 60):
         for m in range(n, 80):
