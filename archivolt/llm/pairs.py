@@ -32,9 +32,10 @@ REFUSALS = [
 STOPWORDS = {
     "en": "the of and to is was were that for with as his her it by from which who what when where why how did does had have not after before until but this are been at how they their there would on",
     "de": "der die das und ist war wurde nicht von mit auf für den dem des ein eine einer einem einen nach bei aus wer was wann wo warum wie hat hatte im zu vor bevor als dass sich kam er sie es auch später trotz über",
-    "fr": "en le la les des du et est était ne pas que qui dans pour par sur avec une un au aux où quand pourquoi comment il elle son sa ses avait été jusqu à derrière ce cette plus avant bien malgré donc",
+    "fr": "je en le la les des du et est était ne pas que qui dans pour par sur avec une un au aux où quand pourquoi comment il elle son sa ses avait été jusqu à derrière ce cette plus avant bien malgré donc",
     "es": "la en el los las del y es era fue no que quien quién en para por con una un al dónde cuándo cómo qué su sus había hasta detrás se lo más antes pese aunque ya cuando",
 }
+_SMALL = {w for words in STOPWORDS.values() for w in words.split()}
 # Answers without content.
 PLACEHOLDERS = {"none", "n/a", "na", "null", "nil", "nan", "no answer", "not available", "tbd", "todo", "empty", "undefined", "unknown answer", "answer", "question", "a", "response", "reply", "output", "assistant", "antwort", "réponse", "respuesta"}
 
@@ -219,8 +220,8 @@ def defect(question: str | None, answer: str | None, ends: dict[str, tuple[int,
         within, before_end = ends.get(last, (0, 0))
         if within + before_end == 0:
             return "truncated"  # no word: the beginning of one
-        name = last[0].isupper() and not any(low in v for v in votes.values())
-        if not name and (len(said) > 3 or any(low in v for v in votes.values())) and within >= 8 and before_end <= 0.002 * within:
+        name = last[0].isupper() and low not in _SMALL
+        if not name and (len(said) > 3 or low in _SMALL) and within >= 8 and before_end <= 0.002 * within:
             return "truncated"  # a word that never ends a sentence
     return None
 
