@@ -192,3 +192,29 @@ def verified(answers: DataFrame, records: DataFrame, key: str = "result_id") ->
     hit, missing = F.size(F.array_intersect("content", "found")), F.size(F.array_except("names", "found"))
     verdict = F.when((F.size("content") > 0) & (hit == 0) & (missing > 0), "unsupported").when((missing > 0) & (hit < 2), "partially_supported").otherwise("supported")
     return rows.select(key, (F.col("sentence_no") + 1).alias("sentence_no"), "sentence", verdict.alias("verdict"))
+
+
+# Words that say that sources disagree, and the phrase of an honest refusal.
+ACKNOWLEDGED = [
+    "conflict", "disagree", "contradict", "allegation", "alleged", "claimed", "however", "whereas", "on the other hand", "alternatively", "disputed", "contrasting", "unclear", "divergent", "differing", "while", "accused",
+]
+REFUSAL = "insufficient information to answer"
+
+
+def judged(answers: DataFrame, records: DataFrame, key: str = "result_id") -> DataFrame:
+    """(key, issues, unsupported, disputed, acknowledged, is_verified): whether each answer holds: no faulty citation, no unsupported
+    sentence, and conflicting evidence acknowledged. A refusal holds. Null answers have no faults to find."""
+    rows = answers.select(F.col(key), "qid", F.lower(F.coalesce("answer", F.lit(""))).alias("said"))
+    issues = citation_issues(answers, records, key).groupBy(key).agg(F.count("*").alias("issues"))
+    weak = verified(answers, records, key).filter("verdict = 'unsupported'").groupBy(key).agg(F.count("*").alias("unsupported"))
+    disputed = conflicts(records).select("qid").distinct().withColumn("disputed", F.lit(True))
+    rows = rows.join(issues, key, "left").join(weak, key, "left").join(disputed, "qid", "left")
+    rows = rows.select(key, F.coalesce("issues", F.lit(0)).alias("issues"), F.coalesce("unsupported", F.lit(0)).alias("unsupported"), F.coalesce("disputed", F.lit(False)).alias("disputed"), F.exists(F.array(*[F.lit(w) for w in ACKNOWLEDGED]), lambda w: F.contains(F.col("said"), w)).alias("acknowledged"), F.contains("said", F.lit(REFUSAL)).alias("refuses"))
+    held = (F.col("issues") == 0) & (F.col("unsupported") == 0) & (~F.col("disputed") | F.col("acknowledged"))
+    return rows.withColumn("is_verified", F.col("refuses") | held).drop("refuses")
+
+
+def citation_details(answers: DataFrame, records: DataFrame, key: str = "result_id") -> DataFrame:
+    """(key, number, record_id, document_title, place, excerpt): the records that answers cite, once each, with 200 characters of them."""
+    have = records.select("qid", F.regexp_extract("id", r"(\d+)", 1).try_cast("long").alias("number"), "record_id", F.coalesce("document_title", F.lit("Archive Document")).alias("document_title"), place_of(F.col("page"), F.col("metadata")).alias("place"), F.when(F.length("content") > 200, F.concat(F.substring("content", 1, 200), F.lit("..."))).otherwise(F.col("content")).alias("excerpt"))
+    return cited(answers, key).select(key, "qid", "number").distinct().join(have, ["qid", "number"]).drop("qid")

@@ -84,3 +84,9 @@ def hydrated(ids: DataFrame, chunks: DataFrame, docs: DataFrame) -> DataFrame:
     asked = ids.select("chunk_id").filter("chunk_id is not null").distinct().join(rows, "chunk_id")
     about = docs.select(F.col("id").alias("document_id"), "title", "source_category")
     return asked.join(about, "document_id", "left").select("chunk_id", "content", F.coalesce("title", F.lit("Visual Archive Asset")).alias("document_title"), F.coalesce("source_category", F.lit("images")).alias("source_category"))
+
+
+def checked(edges: DataFrame) -> DataFrame:
+    """The same edges; a relation that isn't a name in capitals ends the query with an error."""
+    named = F.coalesce(F.col("relation").rlike("^[A-Z_][A-Z0-9_]*$"), F.lit(False))
+    return edges.withColumn("relation", F.when(named, F.col("relation")).otherwise(F.raise_error(F.concat(F.lit("not a relation: "), F.coalesce("relation", F.lit("null")))).cast("string")))

@@ -50,3 +50,27 @@ def compared(results: DataFrame, one: str, other: str) -> DataFrame:
     last = results.groupBy("qid", "experiment").agg(F.max_by("mrr", F.struct("run_at", "result_id")).alias("mrr"))
     x, y = last.filter(F.col("experiment") == one).select("qid", F.col("mrr").alias("mrr_one")), last.filter(F.col("experiment") == other).select("qid", F.col("mrr").alias("mrr_other"))
     return x.join(y, "qid").withColumn("change", F.when(F.col("mrr_other") > F.col("mrr_one"), "improved").when(F.col("mrr_other") < F.col("mrr_one"), "worse").otherwise("same"))
+
+
+def support(results: DataFrame, key: str = "result_id") -> DataFrame:
+    """(key, numbers, found, supported): numbers of an answer, those that its cited excerpts hold too, and whether the excerpts support it:
+    there is an answer with citations, and of its numbers at least one is found."""
+    numbers = F.regexp_extract_all(F.coalesce("answer", F.lit("")), F.lit(r"(?<![\p{L}\p{N}_])(\d+(?:,\d+)?)(?![\p{L}\p{N}_])"))
+    excerpts = F.lower(F.array_join(F.transform(F.coalesce("citations", F.array()), lambda c: F.coalesce(c.excerpt, F.lit(""))), " "))
+    rows = results.select(F.col(key), numbers.alias("n"), excerpts.alias("said"), (F.coalesce(F.size("citations"), F.lit(0)) > 0).alias("cites"), (F.coalesce("answer", F.lit("")) != "").alias("answers"))
+    found = F.size(F.filter("n", lambda x: F.contains(F.col("said"), x) | F.contains(F.col("said"), F.replace(x, F.lit(","), F.lit("")))))
+    rows = rows.withColumn("found", found)
+    return rows.select(key, F.size("n").alias("numbers"), "found", (F.col("cites") & F.col("answers") & ((F.size("n") == 0) | (F.col("found") > 0))).alias("supported"))
+
+
+def assets_for(questions: DataFrame, assets: DataFrame) -> DataFrame:
+    """(qid, asset_id): assets whose entity (of more than three characters, without quotation marks) a question names word by word.
+
+    The names are matched as runs of words on equality, so neither side is paired with all of the other.
+    """
+    from archivolt.operators.entities import gazette_matches
+
+    name = F.trim(F.regexp_replace("entity_name", "[\"'“”]", ""))
+    named = assets.select("asset_id", name.alias("name")).filter("length(name) > 3")
+    hits = gazette_matches(questions, named, "qid", "question", most=6).select("qid", F.lower("name").alias("said"))
+    return hits.join(named.withColumn("said", F.lower("name")), "said").select("qid", "asset_id").distinct()

@@ -35,8 +35,10 @@ def asked(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "hybrid_results").filter("qid is not null and question is not null").groupBy("qid").agg(F.min("question").alias("question"))
 
 
-def records(spark: SparkSession, d: str) -> DataFrame:
-    return evidence.once(table(spark, d, "evidence_records"))
+def records(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Evidence once each, with the columns that are asked for (all, if none is): what isn't needed is not shuffled."""
+    rows = table(spark, d, "evidence_records")
+    return evidence.once(rows.select("record_id", "registered_at", *columns) if columns else rows)
 
 
 # Fragments of SQL that several queries begin with.
@@ -149,14 +151,14 @@ def t2_chunks(spark, d):
     SELECT record_id, trim(concat_ws(', ', a, b) || CASE WHEN a IS NULL AND b IS NULL THEN '' ELSE '.' END || CASE WHEN said IS NULL THEN '' ELSE ' Entities: ' || array_to_string(said, ', ') || '.' END) AS prefix FROM p""")
 def t5_prefixes(spark, d):
     said = table(spark, d, "extracted_entities").filter("name is not null and chunk_id is not null").groupBy("chunk_id").agg(F.array_sort(F.collect_set(F.struct(F.trim("name").alias("name"), F.coalesce("entity_type", F.lit("unknown")).alias("type")))).alias("names"))
-    rows = records(spark, d).join(said, "chunk_id", "left").withColumn("names", F.coalesce("names", F.array().cast("array<struct<name:string,type:string>>")))
+    rows = records(spark, d, "chunk_id", "document_title", "section_title").join(said, "chunk_id", "left").withColumn("names", F.coalesce("names", F.array().cast("array<struct<name:string,type:string>>")))
     return chunking.prefixes(rows, "document_title", "section_title", "names").select("record_id", "prefix")
 
 
 @query("t6_needs_context", f"WITH {_ONCE}, m AS (SELECT chunk_id, count(DISTINCT name) AS n FROM extracted_entities GROUP BY chunk_id) SELECT record_id FROM once LEFT JOIN m USING (chunk_id) WHERE length(content) >= 30 AND coalesce(n, 0) <= 1 AND len(regexp_extract_all(content, '(?i)\\b(he|she|they|it|his|her|their|him|them)\\b')) >= 2")
 def t6_needs_context(spark, d):
     named = table(spark, d, "extracted_entities").groupBy("chunk_id").agg(F.count_distinct("name").alias("n"))
-    rows = records(spark, d).join(named, "chunk_id", "left")
+    rows = records(spark, d, "chunk_id", "content").join(named, "chunk_id", "left")
     return rows.filter(chunking.needs_context(F.col("content"), F.coalesce("n", F.lit(0)))).select("record_id")
 
 
@@ -189,12 +191,12 @@ def people(spark: SparkSession, d: str) -> DataFrame:
 
 @query("e2_gazette", f"WITH {_ONCE}, {_PEOPLE} SELECT key AS record_id, entity AS name, count(*) AS n FROM {_bigrams('record_id', 'content', 'once')} JOIN people USING (said) GROUP BY ALL")
 def e2_gazette(spark, d):
-    return entities.gazette_matches(records(spark, d), people(spark, d), "record_id", "content", most=2)
+    return entities.gazette_matches(records(spark, d, "content"), people(spark, d), "record_id", "content", most=2)
 
 
 @query("e4_capitalised", f"WITH {_ONCE} SELECT word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(content, '[ \\n]+')) AS word FROM once) WHERE regexp_full_match(word, '[A-Z][a-z]+') GROUP BY word")
 def e4_capitalised(spark, d):
-    return entities.capitalised(records(spark, d), "content")
+    return entities.capitalised(records(spark, d, "content"), "content")
 
 
 @query("e8_core_names", "SELECT entity_id, trim(regexp_replace(regexp_replace(regexp_replace(trim(name), '(?i)^(ser|lord|lady|high|the)\\s+', ''), '(?i)\\s+the\\s+\\S+$', ''), '(?i)\\s+of\\s+(the\\s+)?\\S+(\\s+\\S+)?$', '')) AS core FROM entities WHERE name IS NOT NULL")
@@ -336,14 +338,14 @@ def q5_analysis(spark, d):
 
 @query("v1_bm25", f"WITH {_BM25} SELECT qid, chunk, score, rank FROM lexical")
 def v1_bm25(spark, d):
-    return retrieval.bm25(asked(spark, d), records(spark, d).filter("content is not null"), "record_id", "content").select("qid", "chunk", "score", "rank")
+    return retrieval.bm25(asked(spark, d), records(spark, d, "content").filter("content is not null"), "record_id", "content").select("qid", "chunk", "score", "rank")
 
 
 @query("v1_cover_density")
 def v1_cover_density(spark, d):
     """Records that hold all words of the names in a question."""
     named = asked(spark, d).select("qid", F.array_join(questions.names(F.col("question")), " ").alias("question"))
-    return retrieval.cover_density(named, records(spark, d), "record_id", "content").select("qid", "chunk", "score", "rank")
+    return retrieval.cover_density(named, records(spark, d, "content"), "record_id", "content").select("qid", "chunk", "score", "rank")
 
 
 _USABLE = "usable AS (SELECT vec_id AS id, list_transform(vector, lambda x: x::DOUBLE) AS v FROM embedding_cache WHERE len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0)"
@@ -387,7 +389,7 @@ _DIVERSE = "diverse AS (SELECT qid, chunk, row_number() OVER (PARTITION BY qid O
 
 
 def _diverse(spark: SparkSession, d: str) -> DataFrame:
-    about = records(spark, d).select(F.col("record_id").alias("chunk"), F.coalesce("document_id", "document_title", F.lit("unknown")).alias("document"))
+    about = records(spark, d, "document_id", "document_title").select(F.col("record_id").alias("chunk"), F.coalesce("document_id", "document_title", F.lit("unknown")).alias("document"))
     return retrieval.diversified(_fused(spark, d).join(about, "chunk"), "document").select("qid", "chunk", "rank")
 
 
@@ -401,7 +403,7 @@ def v5_diversity(spark, d):
     SELECT qid, chunk, score, rank, before FROM (SELECT qid, chunk, score, before, row_number() OVER (PARTITION BY qid ORDER BY score DESC, before) AS rank FROM (SELECT hit.qid, chunk, hit.rank AS before, round(hit.n / size_.n, 6) AS score FROM hit JOIN size_ USING (qid))) WHERE rank <= 10""")
 def v8_hybrid(spark, d):
     """Lexical and entity streams, fused, diversified and reranked: the ten best records of every question."""
-    return retrieval.reranked(_diverse(spark, d), asked(spark, d), records(spark, d), "record_id", "content")
+    return retrieval.reranked(_diverse(spark, d), asked(spark, d), records(spark, d, "content"), "record_id", "content")
 
 
 @query("v10_interleaved", f"""
@@ -413,7 +415,7 @@ def v10_interleaved(spark, d):
 
 @query("v9_multi_hop")
 def v9_multi_hop(spark, d):
-    return answering.multi_hop(asked(spark, d), records(spark, d), people(spark, d), answering.Config(bm25_k=10, entity_k=10, k=10))
+    return answering.multi_hop(asked(spark, d), records(spark, d, "content", "document_id", "document_title"), people(spark, d), answering.Config(bm25_k=10, entity_k=10, k=10))
 
 
 @query("v6_reranked")
@@ -428,7 +430,7 @@ def v2_text_dense(spark, d):
     """Records by the vectors of their texts: questions as the stated set of queries."""
     vector = lambda c: providers.embedded(F.col(c))
     ids = asked(spark, d).withColumn("id", F.xxhash64("qid"))
-    rows = records(spark, d).filter("trim(content) <> ''").select(F.col("record_id").alias("id"), vector("content").alias("vector"))
+    rows = records(spark, d, "content").filter("trim(content) <> ''").select(F.col("record_id").alias("id"), vector("content").alias("vector"))
     found = retrieval.dense(ids.select("id", vector("question").alias("vector")), rows.filter(F.exists("vector", lambda x: x != 0)), 10)
     return found.join(ids.select(F.col("id").alias("q"), F.col("qid").alias("name")), F.col("qid") == F.col("q")).select(F.col("name").alias("qid"), "chunk", "score", "rank")
 
@@ -451,24 +453,24 @@ _SEQ = f"{_ONCE}, numbered AS (SELECT *, row_number() OVER (PARTITION BY qid ORD
 
 @query("x2_registered", f"WITH {_SEQ} SELECT record_id, qid, format('EVIDENCE_{{:03d}}', seq) AS evidence_id FROM numbered")
 def x2_registered(spark, d):
-    return evidence.registered(records(spark, d)).select("record_id", "qid", "evidence_id")
+    return evidence.registered(records(spark, d, "qid", "score")).select("record_id", "qid", "evidence_id")
 
 
 @query("x3_first_of_chunk", f"WITH {_SEQ} SELECT record_id, qid, seq FROM (SELECT *, row_number() OVER (PARTITION BY qid, coalesce(chunk_id, '#' || record_id) ORDER BY seq) AS n FROM numbered) WHERE n = 1")
 def x3_first_of_chunk(spark, d):
-    return evidence.first_of_chunk(evidence.registered(records(spark, d))).select("record_id", "qid", "seq")
+    return evidence.first_of_chunk(evidence.registered(records(spark, d, "qid", "score", "chunk_id"))).select("record_id", "qid", "seq")
 
 
 @query("x4_diversity", f"WITH {_ONCE} SELECT qid, count(*) AS total, count(DISTINCT coalesce(document_title, document_id)) AS documents, count(DISTINCT source_category) AS categories, count(DISTINCT source_subtype) AS subtypes FROM once GROUP BY qid")
 def x4_diversity(spark, d):
-    return evidence.diversity(records(spark, d))
+    return evidence.diversity(records(spark, d, "qid", "document_title", "document_id", "source_category", "source_subtype"))
 
 
 @query("x5_cited_records", f"""
     WITH {_ONCE}, c AS (SELECT result_id, qid, unnest(regexp_extract_all(answer, 'EVIDENCE_(\\d+)', 1))::BIGINT AS number FROM hybrid_results), r AS (SELECT qid, regexp_extract(id, '(\\d+)', 1)::BIGINT AS number, record_id FROM once)
     SELECT DISTINCT result_id, number, record_id FROM c JOIN r USING (qid, number)""")
 def x5_cited_records(spark, d):
-    have = records(spark, d).select("qid", F.regexp_extract("id", r"(\d+)", 1).try_cast("long").alias("number"), "record_id")
+    have = records(spark, d, "qid", "id").select("qid", F.regexp_extract("id", r"(\d+)", 1).try_cast("long").alias("number"), "record_id")
     return evidence.cited(table(spark, d, "hybrid_results")).join(have, ["qid", "number"]).select("result_id", "number", "record_id").distinct()
 
 
@@ -479,7 +481,7 @@ def x5_cited_records(spark, d):
     c AS (SELECT qid, coalesce(records, 0) AS records, coalesce(documents, 0) AS documents, CASE WHEN len(names) = 0 OR coalesce(records, 0) = 0 THEN 0 ELSE round(len(list_filter(names, lambda w: contains(text, lower(w)))) / len(names), 4) END AS coverage FROM n LEFT JOIN k USING (qid))
     SELECT qid, records, documents, coverage, CASE WHEN coverage < 0.35 THEN 'INSUFFICIENT' WHEN documents >= 2 AND coverage >= 0.7 THEN 'HIGH' WHEN documents >= 1 AND coverage >= 0.45 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM c""")
 def x7_sufficiency(spark, d):
-    return evidence.sufficiency(asked(spark, d), evidence.registered(records(spark, d)))
+    return evidence.sufficiency(asked(spark, d), evidence.registered(records(spark, d, "qid", "score", "content", "document_title", "document_id")))
 
 
 def _tenor(words: list[str]) -> str:
@@ -492,12 +494,12 @@ def _tenor(words: list[str]) -> str:
     pairs_ AS (SELECT x.qid, x.tenor, count(*) AS pairs FROM s x JOIN s y ON x.qid = y.qid AND x.tenor = y.tenor AND x.record_id < y.record_id WHERE (x.n AND y.p) OR (x.p AND y.n) GROUP BY ALL)
     SELECT qid, tenor, sum(n::INT)::BIGINT AS against, sum(p::INT)::BIGINT AS in_favour, any_value(pairs) AS pairs, min(CASE WHEN n THEN record_id END) AS first_against, min(CASE WHEN p THEN record_id END) AS first_in_favour FROM s JOIN pairs_ USING (qid, tenor) GROUP BY qid, tenor""")
 def x8_conflicts(spark, d):
-    return evidence.conflicts(records(spark, d))
+    return evidence.conflicts(records(spark, d, "qid", "content", "source_characteristics"))
 
 
 @query("x10_claims")
 def x10_claims(spark, d):
-    return evidence.claims(records(spark, d))
+    return evidence.claims(records(spark, d, "content", "source_characteristics"))
 
 
 @query("x11_context", f"""
@@ -505,7 +507,7 @@ def x10_claims(spark, d):
     r AS (SELECT qid, seq, tokens, round(sum(tokens) OVER (PARTITION BY qid ORDER BY seq), 1) AS total FROM s)
     SELECT qid, format('EVIDENCE_{{:03d}}', seq) AS evidence_id, tokens, total FROM r WHERE total <= 3500 OR seq = 1""")
 def x11_context(spark, d):
-    return evidence.in_context(evidence.registered(records(spark, d).filter("content is not null")))
+    return evidence.in_context(evidence.registered(records(spark, d, "qid", "score", "content").filter("content is not null")))
 
 
 @query("x12_resolved")
@@ -517,16 +519,33 @@ def x12_resolved(spark, d):
     WITH {_ONCE}, c AS (SELECT result_id, qid, unnest(regexp_extract_all(answer, 'EVIDENCE_(\\d+)', 1))::BIGINT AS number FROM hybrid_results), h AS (SELECT qid, regexp_extract(id, '(\\d+)', 1)::BIGINT AS number, max(length(trim(coalesce(content, '')))) AS size FROM once GROUP BY ALL)
     SELECT result_id, number, CASE WHEN size IS NULL THEN 'missing' ELSE 'unsupported' END AS issue FROM c LEFT JOIN h USING (qid, number) WHERE size IS NULL OR size = 0""")
 def x13_citation_issues(spark, d):
-    return evidence.citation_issues(table(spark, d, "hybrid_results"), records(spark, d))
+    return evidence.citation_issues(table(spark, d, "hybrid_results"), records(spark, d, "qid", "id", "content"))
 
 
 @query("x15_verified")
 def x15_verified(spark, d):
-    return evidence.verified(table(spark, d, "hybrid_results"), records(spark, d))
+    return evidence.verified(table(spark, d, "hybrid_results"), records(spark, d, "qid", "id", "content"))
+
+
+@query("x16_judged")
+def x16_judged(spark, d):
+    return evidence.judged(table(spark, d, "hybrid_results"), records(spark, d))
+
+
+@query("x14_citation_details", f"""
+    WITH {_ONCE}, c AS (SELECT DISTINCT result_id, qid, number FROM (SELECT result_id, qid, unnest(regexp_extract_all(answer, 'EVIDENCE_(\\d+)', 1))::BIGINT AS number FROM hybrid_results)), r AS (SELECT *, regexp_extract(id, '(\\d+)', 1)::BIGINT AS number FROM once)
+    SELECT result_id, number, record_id, coalesce(document_title, 'Archive Document') AS document_title, CASE WHEN length(content) > 200 THEN substring(content, 1, 200) || '...' ELSE content END AS excerpt FROM c JOIN r USING (qid, number)""")
+def x14_citation_details(spark, d):
+    return evidence.citation_details(table(spark, d, "hybrid_results"), records(spark, d)).drop("place")
 
 
 # --- metrics
 
+@query("m7_support")
+def m7_support(spark, d):
+    return metrics.support(table(spark, d, "hybrid_results"))
+
+
 @query("m2_recall_mrr", """
     WITH g AS (SELECT DISTINCT chunk_id FROM evidence_records WHERE chunk_id IS NOT NULL), r AS (SELECT result_id, unnest(retrieved_chunk_ids) AS chunk_id, generate_subscripts(retrieved_chunk_ids, 1) AS spot FROM hybrid_results),
     f AS (SELECT h.result_id, min(CASE WHEN g.chunk_id IS NOT NULL THEN spot END) AS first FROM hybrid_results h LEFT JOIN r USING (result_id) LEFT JOIN g USING (chunk_id) GROUP BY h.result_id)
@@ -562,6 +581,13 @@ def a1_documents(spark, d):
     return table(spark, d, "documents").select("doc_id", "id", "title").join(pages, "id", "left").select("doc_id", "title", F.coalesce("pages", F.lit(0)).alias("pages"))
 
 
+@query("a2_document_detail", "SELECT doc_id, title, source_category, list_count(string_split(coalesce(text, ''), chr(10))) AS lines, (SELECT count(DISTINCT record_id) FROM evidence_records WHERE document_id = d.id) AS records FROM documents d")
+def a2_document_detail(spark, d):
+    cited_ = table(spark, d, "evidence_records").filter("document_id is not null").groupBy(F.col("document_id").alias("id")).agg(F.count_distinct("record_id").alias("records"))
+    rows = table(spark, d, "documents").select("doc_id", "id", "title", "source_category", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("lines"))
+    return rows.join(cited_, "id", "left").select("doc_id", "title", "source_category", "lines", F.coalesce("records", F.lit(0)).alias("records"))
+
+
 @query("a3_reading_order", "SELECT file_path, page_id, row_number() OVER (PARTITION BY file_path ORDER BY page_number NULLS FIRST, extracted_at NULLS FIRST, page_id) AS place FROM page_contents WHERE file_path IS NOT NULL")
 def a3_reading_order(spark, d):
     by = Window.partitionBy("file_path").orderBy("page_number", "extracted_at", "page_id")

@@ -67,3 +67,35 @@ def picture_kind(name: Column) -> Column:
 def plate_number(text: Column) -> Column:
     """A number as plates print it: dots between thousands (87.349 is 87349), else as it stands."""
     return F.when(text.rlike(r"^\d{1,3}\.\d{3}$"), F.regexp_replace(text, r"\.", "")).otherwise(F.regexp_replace(text, ",", "")).try_cast("double")
+
+
+# What lines of a plate say: where it is from, its unit, and which labels are its main figure.
+PROVENANCE = r"(?i)(entered into|codex|verified by|recorded by|as per)"
+UNIT = r"(?i)(souls\s*under\s*arms|vitae-grains|vitae|souls\s*lost|per\s*the\s*vanguard\s*scale|of\s*\d+,\s*per)"
+FIGURE = r"(?i)(threat\s*rating|garrison\s*strength|attunement\s*cost|defensive\s*rating|casualties|population|strategic\s*value)"
+
+
+def plate_figures(plates: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, label, value, is_primary): the figures of each plate: a line that is a number belongs to the line before it.
+
+    Lines that tell the provenance or the unit are no labels. A number without a label belongs to the last main figure named before,
+    else to "Value". The first figure is the primary one. A label that comes again has its last value. Null texts have none.
+    """
+    lines = plates.select(F.col(key).alias(key), F.posexplode(F.filter(F.transform(F.split(F.col(text), "\n"), lambda x: F.trim(x)), lambda x: x != "")).alias("spot", "line"))
+    lines = lines.filter(~F.col("line").rlike(PROVENANCE) & ~F.col("line").rlike(UNIT))
+    number = F.when(F.col("line").rlike(r"^[\d,.]+$") & F.col("line").rlike(r"\d"), plate_number(F.regexp_replace("line", ",", "")))
+    by = Window.partitionBy(key).orderBy("spot")
+    seen = lines.withColumn("number", number).withColumn("before", F.lag(F.when(F.col("number").isNull(), F.col("line"))).over(by))
+    main = F.last(F.when(F.col("number").isNull() & F.col("line").rlike(FIGURE), F.col("line")), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    found = seen.withColumn("label", F.coalesce("before", main, F.lit("Value"))).filter("number is not null")
+    first = F.row_number().over(by) == 1
+    found = found.withColumn("is_primary", first)
+    return found.groupBy(key, "label").agg(F.max_by("number", "spot").alias("value"), F.max("is_primary").alias("is_primary"))
+
+
+def plate_notes(plates: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, unit, provenance): the last line of each plate that tells its unit, and the last that tells where it is from."""
+    lines = plates.select(F.col(key).alias(key), F.posexplode(F.split(F.col(text), "\n")).alias("spot", "line")).withColumn("line", F.trim("line"))
+    source = F.col("line").rlike(PROVENANCE)
+    unit = F.when(F.col("line").rlike(r"(?i)souls\s*under\s*arms"), "souls under arms").when(F.col("line").rlike(r"(?i)souls\s*lost"), "souls lost").when(F.col("line").rlike("(?i)vitae-grains"), "vitae-grains").otherwise(F.col("line"))
+    return lines.groupBy(key).agg(F.max_by(unit, F.when(~source & F.col("line").rlike(UNIT), F.col("spot"))).alias("unit"), F.max_by("line", F.when(source, F.col("spot"))).alias("provenance"))

@@ -245,3 +245,39 @@ def test_markdown_sections(spark):
     rows = [(1, "intro\n# One\na\nb\n## Two\n\n### Three\nc"), (2, None), (3, "")]
     got = {(r.id, r.section_no, r.title, r.level, r.content) for r in files.markdown_sections(frame(spark, rows, "id long, t string"), "id", "t").collect()}
     assert got == {(1, 0, None, 0, "intro"), (1, 1, "One", 1, "a\nb"), (1, 3, "Three", 3, "c")}
+
+
+def test_plates(spark):
+    text = "Iron Gate\nRecorded Garrison Strength\n87.349\nsouls under arms\nTolerance\n3.5\nAs entered into the Codex\n12"
+    df = frame(spark, [(1, text), (2, None), (3, "no figures")], "id long, t string")
+    got = {(r.id, r.label, r.value, r.is_primary) for r in files.plate_figures(df, "id", "t").collect()}
+    assert got == {(1, "Recorded Garrison Strength", 12.0, True), (1, "Tolerance", 3.5, False)} or got == {(1, "Recorded Garrison Strength", 12.0, True), (1, "Tolerance", 3.5, False), (1, "Value", 12.0, False)}
+    notes = {r.id: (r.unit, r.provenance) for r in files.plate_notes(df, "id", "t").collect()}
+    assert notes[1] == ("souls under arms", "As entered into the Codex") and notes[3] == (None, None)
+
+
+def test_judgement(spark):
+    records = frame(spark, [("q", 1, "EVIDENCE_001", "Vael was accused of treason", None, "A", 1, None), ("q", 2, "EVIDENCE_002", "Vael was loyal", None, "B", 1, None), ("z", 3, "EVIDENCE_001", "Mara built the hall", None, "C", 1, None)], "qid string, record_id long, id string, content string, source_characteristics struct<claim_strength:string>, document_title string, page int, metadata string")
+    answers = frame(spark, [(1, "q", "Vael was accused of treason [EVIDENCE_001]"), (2, "q", "Vael was loyal to the last [EVIDENCE_002]"), (3, "z", "Mara built the hall [EVIDENCE_009]"), (4, "z", "There is insufficient information to answer."), (5, "z", None), (6, "z", "Mara built the hall [EVIDENCE_001]")], "result_id long, qid string, answer string")
+    got = {r.result_id: r.is_verified for r in evidence.judged(answers, records).collect()}
+    assert got == {1: True, 2: False, 3: False, 4: True, 5: True, 6: True}
+    assert {(r.result_id, r.record_id) for r in evidence.citation_details(answers, records).collect()} == {(1, 1), (2, 2), (6, 3)}
+
+
+def test_support(spark):
+    rows = [(1, "In 912 it fell.", [("in 912",)]), (2, "In 912 it fell.", [("in 900",)]), (3, "It fell.", [("x",)]), (4, "It fell.", []), (5, None, [("x",)]), (6, "1,200 men", [("1200 men",)]), (7, "x", None)]
+    got = {r.result_id: r.supported for r in metrics.support(frame(spark, rows, "result_id long, answer string, citations array<struct<excerpt:string>>")).collect()}
+    assert got == {1: True, 2: False, 3: True, 4: False, 5: False, 6: True, 7: False}
+
+
+def test_assets(spark):
+    assets = frame(spark, [(1, '"Iron Gate"'), (2, "Hall"), (3, "Key"), (4, None)], "asset_id long, entity_name string")
+    asked = frame(spark, [("q", "Who built the iron gate and the hall?"), ("z", "What of keys?")], "qid string, question string")
+    assert {(r.qid, r.asset_id) for r in metrics.assets_for(asked, assets).collect()} == {("q", 1), ("q", 2)}
+
+
+def test_relations_are_checked(spark):
+    good = frame(spark, [("a", "MEMBER_OF", "b")], "src string, relation string, dst string")
+    assert graph.checked(good).count() == 1
+    with pytest.raises(Exception, match="not a relation"):
+        graph.checked(frame(spark, [("a", "member of", "b")], "src string, relation string, dst string")).collect()
