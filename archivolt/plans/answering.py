@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from archivolt.functions.providers import composed
 from archivolt.operators import evidence, retrieval
 from archivolt.operators.entities import gazette_matches
+from archivolt.plans.session import cut
 
 
 @dataclass(frozen=True)
@@ -30,30 +31,34 @@ class Config:
     entities: bool = True
 
 
-def streams(questions: DataFrame, records: DataFrame, names: DataFrame, c: Config) -> list[DataFrame]:
+def mentioned(records: DataFrame, names: DataFrame) -> DataFrame:
+    """(chunk, name): which names each record holds: computed once for all hops."""
+    return cut(gazette_matches(records.filter("content is not null"), names, "record_id", "content").select(F.col("record_id").alias("chunk"), "name"))
+
+
+def streams(questions: DataFrame, records: DataFrame, names: DataFrame, said: DataFrame, c: Config) -> list[DataFrame]:
     """The ranked lists that are switched on."""
     found = []
     if c.lexical:
         found.append(retrieval.bm25(questions, records, "record_id", "content", c.bm25_k))
     if c.entities:
         named = gazette_matches(questions, names, "qid", "question").select("qid", F.col("name").alias("entity"), F.lit(True).alias("exact"))
-        said = gazette_matches(records, names, "record_id", "content").select(F.col("name").alias("entity"), F.col("record_id").alias("chunk"), F.lit(1.0).alias("confidence"))
-        found.append(retrieval.entity_search(named, said, c.entity_k))
+        found.append(retrieval.entity_search(named, said.select(F.col("name").alias("entity"), "chunk", F.lit(1.0).alias("confidence")), c.entity_k))
     return found
 
 
-def retrieved(questions: DataFrame, records: DataFrame, names: DataFrame, c: Config = Config()) -> DataFrame:
+def retrieved(questions: DataFrame, records: DataFrame, names: DataFrame, c: Config = Config(), said: DataFrame | None = None) -> DataFrame:
     """(qid, chunk, score, rank, before): fused, diversified, reranked. Records that are null in content aren't found."""
     records = records.filter("content is not null")
-    fused = retrieval.fused(streams(questions, records, names, c), c.rrf_k, c.rrf_most)
+    said = mentioned(records, names) if said is None else said
+    fused = retrieval.fused(streams(questions, records, names, said, c), c.rrf_k, c.rrf_most)
     about = records.select(F.col("record_id").alias("chunk"), F.coalesce("document_id", "document_title", F.lit("unknown")).alias("document"))
     diverse = retrieval.diversified(fused.join(about, "chunk"), "document", c.per_document, c.preserve)
     return retrieval.reranked(diverse, questions, records, "record_id", "content", max(c.pool, c.k), c.k)
 
 
-def bridged(questions: DataFrame, first: DataFrame, records: DataFrame, names: DataFrame, c: Config = Config()) -> DataFrame:
+def bridged(questions: DataFrame, first: DataFrame, said: DataFrame, names: DataFrame, c: Config = Config()) -> DataFrame:
     """(qid, question): second-hop questions from the names that the first hop's records hold and the question doesn't: the first few by rank and name."""
-    said = gazette_matches(records, names, "record_id", "content").select(F.col("record_id").alias("chunk"), "name")
     asked = gazette_matches(questions, names, "qid", "question").select("qid", "name")
     new = first.select("qid", "chunk", "rank").join(said, "chunk").join(asked, ["qid", "name"], "left_anti").groupBy("qid", "name").agg(F.min("rank").alias("rank"))
     kept = new.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("rank", "name"))).filter(F.col("n") <= c.bridges)
@@ -63,8 +68,9 @@ def bridged(questions: DataFrame, first: DataFrame, records: DataFrame, names: D
 
 def multi_hop(questions: DataFrame, records: DataFrame, names: DataFrame, c: Config = Config()) -> DataFrame:
     """(qid, chunk, rank): the first hop's records and those of the second hop by turns."""
-    first = retrieved(questions, records, names, c)
-    second = retrieved(bridged(questions, first, records, names, c), records, names, c)
+    said = mentioned(records, names)
+    first = cut(retrieved(questions, records, names, c, said))
+    second = retrieved(bridged(questions, first, said, names, c), records, names, c, said)
     return retrieval.interleaved(first, second, 2 * c.k).filter(F.col("rank") <= c.k)
 
 

@@ -77,7 +77,7 @@ def test_answers_cite_or_decline(spark, tables):
 def test_second_hop_goes_over_a_name(spark, tables):
     asked = spark.createDataFrame([("a", "Where is the key of whom Ser Vael met?")], "qid string, question string")
     first = answering.retrieved(asked, *tables)
-    assert "Mara Oren" in answering.bridged(asked, first, *tables).first().question
+    assert "Mara Oren" in answering.bridged(asked, first, answering.mentioned(*tables), tables[1]).first().question
     assert 3 in {r.chunk for r in answering.multi_hop(asked, *tables).collect()}
 
 
