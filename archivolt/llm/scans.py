@@ -115,9 +115,11 @@ def corrections(words: DataFrame, asked: DataFrame) -> DataFrame:
     for i, (x, y) in enumerate(CONFUSIONS):
         changes.append((x, y, "", "", _value(y) - _value(x)))
         changes += [(x, y, u, v, _value(y) - _value(x) + _value(v) - _value(u)) for u, v in CONFUSIONS[i:]]
-    table = asked.sparkSession.createDataFrame(changes, "x string, y string, u string, v string, gap long")
+    # a fixed list of values in the plan, not a table to be joined
+    table = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip("xyuvg", c, strict=True)]) for c in changes])
     rare = asked.filter("length(word) >= 2 and not word rlike '^[0-9.,-]+$'").withColumn("hash", anagram("word")).filter("hash >= 0")
-    tried = rare.join(F.broadcast(table), F.expr("instr(word, x) > 0 and (u = '' or instr(word, u) > 0)")).withColumn("hash", F.expr("hash + gap"))
+    fits = F.filter(table, lambda c: F.contains(F.col("word"), c.x) & F.contains(F.col("word"), c.u))
+    tried = rare.withColumn("c", F.explode(fits)).select("word", "n", "c.x", "c.y", "c.u", "c.v", (F.col("hash") + F.col("c.g")).alias("hash"))
     frequent = words.filter("length(word) >= 2 and not word rlike '[0-9]'").select(F.col("word").alias("right"), F.col("n").alias("m"), anagram("word").alias("hash"))
     met = tried.join(frequent, "hash").filter(F.expr(f"m >= {RATIO} * n and m > 1 and word <> right"))
     once = "transform(filter(sequence(1, length(word)), i -> substring(word, i, length(x)) = x), i -> concat(substring(word, 1, i - 1), y, substring(word, i + length(x))))"
