@@ -6,10 +6,11 @@ from collections import Counter
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 
 
 def _plain(v) -> str:
-    if v is None or v != v:
+    if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and v != v):
         return "null"
     if isinstance(v, bool):
         return str(v)
