@@ -21,18 +21,20 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Documents that the model is fitted on, at most about; every document is divided.
+#: No bound any more: the model is fitted on every document. Kept for those that import it.
 FIT_DOCS = 8000
 #: Counts of a word's class that are added to its own.
 BACK_OFF = 12
 
 _PARAGRAPH = re.compile(r"\S(?:[^\n]|\n(?![^\S\n]*\n))*")
 _SPAN = re.compile(r"\"[^\"]*\"|“[^“”]*”|„[^„“”]*[“”]|«[^«»]*»|「[^」]*」|『[^』]*』|\([^()]*\)|（[^（）]*）|\[[^\[\]]*\]|(?<!\w)'[^']*?[.!?,]'(?!\w)|(?<!\w)‘[^‘’]*?’(?!\w)")
+_OPENS_SPAN = re.compile(r"[\"“„«「『(（\['‘]")
 _END = "[.!?…。！？．।॥؟۔]"
 _SLOT = re.compile(rf"(?:\s?{_END})+")
 _WORD = re.compile(r"\w[\ẁ-ͯऀ-ॿ฀-๿]*")
@@ -51,10 +53,14 @@ def _right(text: str, at: int) -> str:
     m = _WORD.search(text, at, at + 60)
     if not m or m.start() > at + 6:
         return ""
-    word = m.group()
+    return _token(m.group())
+
+
+def _token(word: str) -> str:
+    """A word as it is counted."""
     if word[0].isdigit():
         return "#"
-    return word[:1] if _CJK.match(word) else word[:24]
+    return word[:1] if word[0] >= "぀" and _CJK.match(word) else word[:24]
 
 
 def _shape(word: str) -> str:
@@ -87,10 +93,20 @@ def _kind(left: str) -> str:
     return ".s" if len(word) <= 3 else ".w"
 
 
+def _spans(text: str, low: int, high: int) -> list[tuple[int, int]]:
+    """What _SPAN finds one after the other; it is tried only where one of its marks stands."""
+    found, done = [], low
+    for o in _OPENS_SPAN.finditer(text, low, high):
+        if o.start() >= done and (m := _SPAN.match(text, o.start(), high)):
+            done = m.end()
+            found.append((m.start(), done))
+    return found
+
+
 def slots(text: str, low: int, high: int) -> list[tuple[int, int, str, str]]:
     """(end, next, left, right) of the slots of the paragraph text[low:high]: where a sentence would end and the next begin."""
     found = []
-    spans = [(m.start(), m.end()) for m in _SPAN.finditer(text, low, high)]
+    spans = _spans(text, low, high)
     k = 0
     for m in _SLOT.finditer(text, low, high):
         at, end = m.start(), m.end()
@@ -283,6 +299,7 @@ def _folded(piece: str) -> bool:
 def _count(texts: Iterator[str]) -> Counter:
     """What the model is estimated from: left sides and those at paragraph ends, words that begin paragraphs and words within."""
     counts: Counter = Counter()
+    within: Counter = Counter()
     for text in texts:
         for m in _PARAGRAPH.finditer(text):
             low, high = m.start(), m.end()
@@ -301,25 +318,21 @@ def _count(texts: Iterator[str]) -> Counter:
                     counts["end", left] += 1
             behind = {nxt for _, nxt, _, _ in here}
             spaced = any(left[:1] == " " for _, _, left, _ in here)
-            words = [w for w in _WORD.finditer(text, low, high)][1:]
-            for w in words:
-                at = w.start()
-                if at in behind or text[at - 1] in "\"“„«「¿¡(":
-                    continue
-                if not spaced or not text[at - 1].isspace():
-                    counts["inner", _right(text, at)] += 1
+            words = islice(_WORD.finditer(text, low, high), 1, None)
+            if spaced:
+                words = (w for w in words if not text[w.start() - 1].isspace())
+            within.update([_token(w.group()) for w in words if w.start() not in behind and text[w.start() - 1] not in "\"“„«「¿¡("])
             if spaced:  # scripts that write words together: what stands behind a digit is within
                 for _, _, left, right in here:
                     if right == "#" or left.endswith("#"):
-                        counts["inner", right] += 1
+                        within[right] += 1
+    counts.update({("inner", word): n for word, n in within.items()})
     return counts
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = FIT_DOCS) -> Model:
-    """The model, from at most about ``most`` documents, picked by a hash of their ids; the counting runs on the cluster."""
-    total = docs.count()
-    share = max(1, total // most)
-    some = docs.filter(F.pmod(F.xxhash64(F.col(key)), F.lit(share)) == 0).select(F.col(text).alias("text")).filter("text is not null")
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
+    """The model, from all documents, whatever their number; the counting runs on the cluster. The driver gets one row per different token."""
+    texts = docs.select(F.col(text).alias("text")).filter("text is not null")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -328,7 +341,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = FI
         if counts:
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts]), pa.array([k[1] for k in counts]), pa.array(list(counts.values()), pa.int64())], ["what", "token", "n"])
 
-    rows = some.mapInArrow(count, "what string, token string, n long").groupBy("what", "token").agg(F.sum("n").alias("n")).collect()
+    rows = texts.mapInArrow(count, "what string, token string, n long").groupBy("what", "token").agg(F.sum("n").alias("n")).collect()
     return Model({(r.what, r.token): r.n for r in rows})
 
 

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from archivolt.llm.sentences import FIT_DOCS, divide, fit, sentences
 
@@ -46,3 +47,12 @@ def test_awkward_rows(spark, model):
     assert {r.doc_id: r["count"] for r in got} == {4: 1, 5: 2, 6: 20_000}
     assert sentences(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert FIT_DOCS > 0
+
+
+def test_every_document_counts(spark):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("The sail was lost. Nobody left.").alias("text"))
+    counted = fit(docs)
+    assert counted.left[".lost"] == counted.left[".left"] == 20_000
+    # an abbreviation of three documents among them
+    rare = docs.withColumn("text", F.when(F.col("doc_id") < 3, F.lit("The sail of Kpt. Oren was lost.")).otherwise(F.col("text")))
+    assert fit(rare).left[".kpt"] == 3
