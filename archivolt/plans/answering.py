@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from archivolt.functions.providers import composed
+from archivolt.functions.providers import composed, embedded
 from archivolt.operators import evidence, retrieval
 from archivolt.operators.entities import gazette_matches
 from archivolt.plans.session import cut
@@ -18,6 +18,7 @@ class Config:
     """What can be set; the defaults are those of the behaviour that is reproduced."""
 
     bm25_k: int = 50
+    dense_k: int = 50
     entity_k: int = 50
     rrf_k: int = 60
     rrf_most: int = 100
@@ -28,6 +29,7 @@ class Config:
     context_tokens: float = 3500.0
     bridges: int = 5
     lexical: bool = True
+    dense: bool = True
     entities: bool = True
 
 
@@ -36,22 +38,37 @@ def mentioned(records: DataFrame, names: DataFrame) -> DataFrame:
     return cut(gazette_matches(records.filter("content is not null"), names, "record_id", "content").select(F.col("record_id").alias("chunk"), "name"))
 
 
-def streams(questions: DataFrame, records: DataFrame, names: DataFrame, said: DataFrame, c: Config) -> list[DataFrame]:
-    """The ranked lists that are switched on."""
+def vectors(records: DataFrame) -> DataFrame:
+    """(id, vector) of the records whose text has one: computed once for all hops."""
+    rows = records.filter("trim(content) <> ''").select(F.col("record_id").alias("id"), embedded(F.col("content")).alias("vector"))
+    return cut(rows.filter(F.exists("vector", lambda x: x != 0)))
+
+
+def by_vector(questions: DataFrame, known: DataFrame, k: int) -> DataFrame:
+    """The k records with the nearest vectors to each question's; a question without words has none."""
+    ids = questions.select("qid", F.xxhash64("qid").alias("id"), embedded(F.col("question")).alias("vector")).filter(F.exists("vector", lambda x: x != 0))
+    found = retrieval.dense(ids.select("id", "vector"), known, k).withColumnRenamed("qid", "id")
+    return found.join(questions.select("qid", F.xxhash64("qid").alias("id")), "id").select("qid", "chunk", "score", "rank")
+
+
+def streams(questions: DataFrame, records: DataFrame, names: DataFrame, said: DataFrame, c: Config, known: DataFrame | None = None) -> list[DataFrame]:
+    """The ranked lists that are switched on; ``known``: the records' vectors, if they are there already."""
     found = []
     if c.lexical:
         found.append(retrieval.bm25(questions, records, "record_id", "content", c.bm25_k))
+    if c.dense:
+        found.append(by_vector(questions, vectors(records) if known is None else known, c.dense_k))
     if c.entities:
         named = gazette_matches(questions, names, "qid", "question").select("qid", F.col("name").alias("entity"), F.lit(True).alias("exact"))
         found.append(retrieval.entity_search(named, said.select(F.col("name").alias("entity"), "chunk", F.lit(1.0).alias("confidence")), c.entity_k))
     return found
 
 
-def retrieved(questions: DataFrame, records: DataFrame, names: DataFrame, c: Config = Config(), said: DataFrame | None = None) -> DataFrame:
+def retrieved(questions: DataFrame, records: DataFrame, names: DataFrame, c: Config = Config(), said: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
     """(qid, chunk, score, rank, before): fused, diversified, reranked. Records that are null in content aren't found."""
     records = records.filter("content is not null")
     said = mentioned(records, names) if said is None else said
-    fused = retrieval.fused(streams(questions, records, names, said, c), c.rrf_k, c.rrf_most)
+    fused = retrieval.fused(streams(questions, records, names, said, c, known), c.rrf_k, c.rrf_most)
     about = records.select(F.col("record_id").alias("chunk"), F.coalesce("document_id", "document_title", F.lit("unknown")).alias("document"))
     diverse = retrieval.diversified(fused.join(about, "chunk"), "document", c.per_document, c.preserve)
     return retrieval.reranked(diverse, questions, records, "record_id", "content", max(c.pool, c.k), c.k)

@@ -406,6 +406,12 @@ def v8_hybrid(spark, d):
     return retrieval.reranked(_diverse(spark, d), asked(spark, d), records(spark, d, "content"), "record_id", "content")
 
 
+@query("v8_whole")
+def v8_whole(spark, d):
+    """Hybrid retrieval at its full depth: 50 of each of the lexical, dense and entity streams, the first 100 fused, 30 reranked, 20 kept."""
+    return answering.retrieved(asked(spark, d), records(spark, d, "content", "document_id", "document_title"), people(spark, d))
+
+
 @query("v10_interleaved", f"""
     WITH {_BM25}, {_ENTITY}, i AS (SELECT qid, chunk, min(struct_pack(rank := rank, stream := stream)) AS first_ FROM (SELECT qid, chunk, rank, 0 AS stream FROM lexical UNION ALL SELECT qid, chunk, rank, 1 FROM entity_list) GROUP BY qid, chunk)
     SELECT qid, chunk, rank FROM (SELECT qid, chunk, row_number() OVER (PARTITION BY qid ORDER BY first_.rank, first_.stream) AS rank FROM i) WHERE rank <= 20""")

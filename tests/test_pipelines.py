@@ -74,6 +74,14 @@ def test_answers_cite_or_decline(spark, tables):
     assert got["b"].answer.startswith("The archive does not hold")
 
 
+def test_dense_stream_and_depth(spark, tables):
+    asked = spark.createDataFrame([("a", "Zorn Quux?"), ("b", "iron")], "qid string, question string")
+    records = spark.createDataFrame([(i, f"d{i}", None, "iron " + "x " * i) for i in range(60)], "record_id long, document_id string, document_title string, content string")
+    # no word and no name of the first stands in a record: only vectors find any
+    got = answering.retrieved(asked, records, tables[1]).groupBy("qid").count().collect()
+    assert {r.qid: r["count"] for r in got} == {"a": 20, "b": 20}
+
+
 def test_second_hop_goes_over_a_name(spark, tables):
     asked = spark.createDataFrame([("a", "Where is the key of whom Ser Vael met?")], "qid string, question string")
     first = answering.retrieved(asked, *tables)
