@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from archivolt.functions.providers import composed, embedded
 from archivolt.operators import evidence, retrieval
 from archivolt.operators.entities import gazette_matches
+from archivolt.operators.questions import sub_questions
 from archivolt.plans.session import cut
 
 
@@ -75,20 +76,28 @@ def retrieved(questions: DataFrame, records: DataFrame, names: DataFrame, c: Con
 
 
 def bridged(questions: DataFrame, first: DataFrame, said: DataFrame, names: DataFrame, c: Config = Config()) -> DataFrame:
-    """(qid, question): second-hop questions from the names that the first hop's records hold and the question doesn't: the first few by rank and name."""
+    """(qid, question): second-hop questions from the names that the first hop's records hold and the question doesn't: the first few by rank and name,
+    then the sub-questions but for the first, or the question if it has none. A question without such names or sub-questions has no second hop."""
     asked = gazette_matches(questions, names, "qid", "question").select("qid", "name")
     new = first.select("qid", "chunk", "rank").join(said, "chunk").join(asked, ["qid", "name"], "left_anti").groupBy("qid", "name").agg(F.min("rank").alias("rank"))
     kept = new.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("rank", "name"))).filter(F.col("n") <= c.bridges)
     more = kept.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "name"))), lambda x: x["name"]), " ").alias("names"))
-    return questions.join(more, "qid").select("qid", F.concat_ws(" ", "names", "question").alias("question"))
+    parts = sub_questions(F.col("question"))
+    rows = questions.join(more, "qid", "left").withColumn("parts", parts).filter("names is not null or size(parts) > 1")
+    rest = F.when(F.size("parts") > 1, F.array_join(F.slice("parts", 2, 9), " ")).otherwise(F.col("question"))
+    return rows.select("qid", F.concat_ws(" ", "names", rest).alias("question"))
 
 
 def multi_hop(questions: DataFrame, records: DataFrame, names: DataFrame, c: Config = Config()) -> DataFrame:
-    """(qid, chunk, rank): the first hop's records and those of the second hop by turns."""
+    """(qid, chunk, rank): the first hop's records and those of the second hop by turns; of more than ``k`` those beyond a document's share go last, but for the first two."""
     said = mentioned(records, names)
-    first = cut(retrieved(questions, records, names, c, said))
-    second = retrieved(bridged(questions, first, said, names, c), records, names, c, said)
-    return retrieval.interleaved(first, second, 2 * c.k).filter(F.col("rank") <= c.k)
+    known = vectors(records) if c.dense else None
+    first = cut(retrieved(questions, records, names, c, said, known))
+    second = retrieved(cut(bridged(questions, first, said, names, c)), records, names, c, said, known)
+    every = retrieval.interleaved(first, second, 2 * c.k).withColumn("turn", F.col("rank")).withColumn("n", F.count("*").over(Window.partitionBy("qid")))
+    about = records.select(F.col("record_id").alias("chunk"), F.coalesce("document_id", "document_title", F.lit("unknown")).alias("document"))
+    diverse = retrieval.diversified(every.join(about, "chunk"), "document", c.per_document, 2)
+    return diverse.select("qid", "chunk", F.when(F.col("n") > c.k, F.col("rank")).otherwise(F.col("turn")).alias("rank")).filter(F.col("rank") <= c.k)
 
 
 def answers(questions: DataFrame, records: DataFrame, names: DataFrame, c: Config = Config()) -> DataFrame:

@@ -421,7 +421,7 @@ def v10_interleaved(spark, d):
 
 @query("v9_multi_hop")
 def v9_multi_hop(spark, d):
-    return answering.multi_hop(asked(spark, d), records(spark, d, "content", "document_id", "document_title"), people(spark, d), answering.Config(bm25_k=10, entity_k=10, k=10))
+    return answering.multi_hop(asked(spark, d), records(spark, d, "content", "document_id", "document_title"), people(spark, d))
 
 
 @query("v6_reranked")

@@ -89,6 +89,18 @@ def test_second_hop_goes_over_a_name(spark, tables):
     assert 3 in {r.chunk for r in answering.multi_hop(asked, *tables).collect()}
 
 
+def test_second_hop_asks_the_other_sub_questions_and_spreads_documents(spark, tables):
+    asked = spark.createDataFrame([("a", "Who founded the hall that holds the iron key today?")], "qid string, question string")
+    rows = [(i, "d" if i < 10 else f"d{i}", None, "iron key holds today" if i < 10 else "hall founded") for i in range(20)]
+    records = spark.createDataFrame(rows, "record_id long, document_id string, document_title string, content string")
+    c = answering.Config(per_document=1, preserve=30, k=5)
+    first = answering.retrieved(asked, records, tables[1], c)
+    assert answering.bridged(asked, first, answering.mentioned(records, tables[1]), tables[1]).first().question == "Who founded the hall that entity?"
+    got = {r.rank: r.chunk for r in answering.multi_hop(asked, records, tables[1], c).collect()}
+    # the first hop finds records of one document only, of which one stays
+    assert set(got) == {1, 2, 3, 4, 5} and [n for n, chunk in got.items() if chunk < 10] == [1]
+
+
 def test_streamed_deliveries(spark, tmp_path):
     day = dt.datetime(2025, 1, 1)
     rows = [(1, "codex", day), (1, "codex", day + dt.timedelta(hours=2)), (2, "wiki", day + dt.timedelta(hours=1)), (None, "wiki", day), (3, "wiki", None)]
