@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from archivolt.llm.top_n import Losers, top_n
+from archivolt.llm.top_n import Losers, first_n, top_n
 
 
 def plain(rows, n):
@@ -31,4 +33,31 @@ def test_empty(spark):
 def test_losers_merge_in_order(k):
     rng = random.Random(k)
     runs = [sorted((rng.randint(0, 9), i) for i in range(rng.randint(0, 12))) for _ in range(k)]
-    assert [x[0] for x in Losers(runs)] == sorted(x[0] for r in runs for x in r)
+    flat = [x for r in runs for x in r]
+    ends = np.cumsum([len(r) for r in runs]).tolist()
+    stretches = list(zip([0, *ends[:-1]], ends, strict=True))
+    scores, ids = np.array([-s for s, _ in flat], float), np.array([i for _, i in flat], np.int64)
+    assert [flat[at] for at in Losers(scores, ids, stretches)] == sorted(flat)
+
+
+def test_a_key_that_comes_again_takes_one_place(spark):
+    rows = [("g", 9.0, 1), ("g", 8.0, 2), ("g", 7.0, 1), ("g", 6.0, 3), ("h", 5.0, 1)]
+    got = top_n(spark.createDataFrame(rows, "g string, s double, k long").coalesce(1), "g", "s", "k", 3)
+    assert {(r.g, r.k, r.s, r.place) for r in got.collect()} == {("g", 1, 9.0, 1), ("g", 2, 8.0, 2), ("g", 3, 6.0, 3), ("h", 1, 5.0, 1)}
+
+
+@pytest.mark.parametrize("size", [1, 2, 5, 1000])
+def test_first_n_over_batches(size):
+    rng = random.Random(size)
+    rows = sorted(((rng.randint(0, 4), -rng.randint(0, 9), rng.randint(0, 6)) for _ in range(300)))
+    batches = []
+    for i in range(0, len(rows), size):
+        g, s, k = zip(*rows[i : i + size], strict=True)
+        batches.append(pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array([float(-x) for x in s]), pa.array(k, pa.int64())], ["grp", "score", "id"]))
+    got = [(r["grp"], r["score"], r["id"]) for b in first_n(3)(iter(batches)) for r in b.to_pylist()]
+    want, seen = [], {}
+    for g, s, k in rows:
+        if k not in seen.setdefault(g, []) and len(seen[g]) < 3:
+            seen[g].append(k)
+            want.append((g, float(-s), k))
+    assert got == want
