@@ -16,6 +16,13 @@ each other on n-grams of fixed, guaranteed length.
 Rows of one n-gram pass the length filter, the positional filter and a filter on the rest of the set
 (a bitmap of word parities, in which different words can't cancel to more bits than there are), each
 pair is then verified once on the words themselves.
+
+What is asked for are groups, so not every pair of a group is needed. An n-gram whose rows make more than
+``PER_ROW`` candidates a row (a template with many variants) gives only those; what is left of its sets once these
+links are known is first tried against the n-gram's smallest set and then, over all such n-grams together, met on
+the parts of a partition of the words, of which two similar sets have one in common, with sets of other components
+only. Representatives stand for components there, and where they don't settle it more rows are tried, so that the
+groups are those that all pairs would give.
 """
 
 from __future__ import annotations
@@ -36,8 +43,10 @@ from archivolt.plans.session import cut, width
 
 #: Counters of the word frequencies (a table of fixed size, whatever the vocabulary).
 COUNTERS = 1 << 16
-#: Rows of one n-gram that a task pairs at once; n-grams with more are split into blocks over many tasks.
-HOT = 40_000
+#: Candidates a row of one n-gram beyond which it is crowded: the rest is done by components.
+PER_ROW = 16
+#: Steps between the rows of one n-gram that are compared before it is crowded in any case.
+LONGEST = 8192
 #: Bits of the filter on ids, a fixed 4 MB.
 SEEN_BITS = 1 << 25
 #: Bits of a set's signature that hold its size; sets of LARGE words and more pass the filters.
@@ -187,25 +196,43 @@ def _similar(sig_a: np.ndarray, sig_b: np.ndarray, pos_a: np.ndarray, pos_b: np.
     return ((np.minimum(n, m) >= o) & placed & (odd <= n + m - 2 * o)) | (np.maximum(n, m) == LARGE)
 
 
-def _pairs(t: float, most: int):
-    """Pairs the rows of each n-gram in a stream sorted by (key, sid); rows of n-grams with more than ``most`` rows pass through."""
+def _pairs(t: float, per_row: int, longest: int):
+    """Pairs the rows of each n-gram in a stream sorted by (key, sid); rows of crowded n-grams pass through as well."""
 
     def close(key, sid, sig, pos):
-        out_a, out_b = [], []
-        at = np.arange(len(key) - 1)
-        step = 1
+        """Batches of candidate pairs, then the rows of crowded n-grams."""
+        begins = np.concatenate([[True], key[1:] != key[:-1]])
+        number = np.cumsum(begins) - 1
+        rows = np.diff(np.append(np.flatnonzero(begins), len(key)))
+        found, crowded = np.zeros(len(rows), np.int64), np.zeros(len(rows), bool)
+        at, step, held, size = np.arange(len(key) - 1), 1, [], 0
         while len(at):
             at = at[(at + step) < len(key)]
-            at = at[key[at] == key[at + step]]
-            a, b = at, at + step
-            ok = (sid[a] != sid[b]) & _similar(sig[a], sig[b], pos[a], pos[b], t)
-            out_a.append(np.minimum(sid[a[ok]], sid[b[ok]]))
-            out_b.append(np.maximum(sid[a[ok]], sid[b[ok]]))
+            at = at[number[at] == number[at + step]]
+            ok = at[(sid[at] != sid[at + step]) & _similar(sig[at], sig[at + step], pos[at], pos[at + step], t)]
+            if len(ok):
+                x, y = sid[ok], sid[ok + step]
+                held.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
+                size += len(ok)
+                np.add.at(found, number[ok], 1)
+            if step % 8 == 0:
+                crowded |= (found > per_row * rows) | (rows > 2 * longest)
+                if step >= longest:
+                    crowded[number[at]] = True
+                at = at[~crowded[number[at]]]
+            if size >= 500_000:
+                yield paired(held)
+                held, size = [], 0
             step += 1
-        if not out_a:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        both = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)], axis=1), axis=0)
-        return both[:, 0], both[:, 1]
+        if held:
+            yield paired(held)
+        if crowded.any():
+            on = crowded[number]
+            yield batch(sid[on], None, key[on], sig[on])
+
+    def paired(held):
+        both = np.unique(np.concatenate(held), axis=0)
+        return batch(both[:, 0], both[:, 1])
 
     def batch(a, b, key=None, sig=None):
         none = pa.nulls(len(a), pa.int64())
@@ -226,7 +253,7 @@ def _pairs(t: float, most: int):
             last = int(np.searchsorted(key, key[-1]))  # the last n-gram may go on
             done = slice(0, last)
             yield from flush(key[done], sid[done], sig[done], pos[done], hot)
-            if len(key) - last > most or key[-1] == hot:
+            if len(key) - last > 2 * longest or key[-1] == hot:  # too long for a task to hold: crowded
                 hot = key[-1]
                 yield batch(sid[last:], None, key[last:], sig[last:])
                 held, count = [], 0
@@ -240,14 +267,12 @@ def _pairs(t: float, most: int):
             return
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (sid[1:] != sid[:-1]) | (pos[1:] != pos[:-1])])  # copies of a set once
         key, sid, sig, pos = key[new], sid[new], sig[new], pos[new]
-        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-        large = np.repeat(np.diff(edge) > most, np.diff(edge)) | (key == hot if hot is not None else False)
-        if large.any():
-            yield batch(sid[large], None, key[large], sig[large])
-            key, sid, sig, pos = key[~large], sid[~large], sig[~large], pos[~large]
-        a, b = close(key, sid, sig, pos)
-        for i in range(0, len(a), 100_000):
-            yield batch(a[i : i + 100_000], b[i : i + 100_000])
+        on = key == hot if hot is not None else np.zeros(len(key), bool)
+        if on.any():
+            yield batch(sid[on], None, key[on], sig[on])
+            key, sid, sig, pos = key[~on], sid[~on], sig[~on], pos[~on]
+        if len(key):
+            yield from close(key, sid, sig, pos)
 
     return run
 
@@ -325,12 +350,12 @@ class Texts:
         return self.rows.mapInArrow(named, "sid long, tokens array<long>").dropDuplicates(["sid"])
 
 
-def similar_pairs(texts: Texts, t: float = 0.8, expected: float = 128.0, hot: int = HOT) -> DataFrame:
-    """(a, b): the pairs of different sets (by sid, a < b) with a Jaccard similarity of at least ``t``, without the pairs
-    that links through a third set already join, where one n-gram is shared by more than ``hot`` sets.
+def linking_pairs(texts: Texts, t: float = 0.8, expected: float = 128.0, per_row: int = PER_ROW, longest: int = LONGEST) -> DataFrame:
+    """(a, b): pairs of different sets (by sid, a < b) with a Jaccard similarity of at least ``t``: enough of them that
+    the sets they join, directly or through others, are those that all such pairs join.
 
     ``expected`` is the number of sets an n-gram is expected to be shared by, by chance: it balances
-    the number of n-grams against that of candidates and has no influence on the result.
+    the number of n-grams against that of candidates; like ``per_row`` and ``longest`` it has no influence on the groups.
     """
     spark, total = texts.rows.sparkSession, texts.total
     share = spark.sparkContext.broadcast(texts.share)
@@ -357,36 +382,139 @@ def similar_pairs(texts: Texts, t: float = 0.8, expected: float = 128.0, hot: in
                 yield pa.RecordBatch.from_arrays([pa.array(key[s]), pa.array(own[s]), pa.array(sig[s].view(np.int64))], ["key", "sid", "sig"])
 
     rows = texts.rows.mapInArrow(grams, "key long, sid long, sig long")
-    met = rows.repartition(width(spark), F.shiftright("key", PLACE_BITS)).sortWithinPartitions("key", "sid").mapInArrow(_pairs(t, hot), "key long, a long, b long, sig long")
+    met = rows.repartition(width(spark), F.shiftright("key", PLACE_BITS)).sortWithinPartitions("key", "sid").mapInArrow(_pairs(t, per_row, longest), "key long, a long, b long, sig long")
     met = cut(met)
-    pairs = met.filter("b is not null").select("a", "b").distinct()
+    found = _verified(texts, met.filter("b is not null").select("a", "b").distinct(), t)
     crowded = met.filter("b is null").select("key", F.col("a").alias("sid"), "sig").distinct()
-    found = _verified(texts, pairs, t)
     if crowded.isEmpty():
         return found
-    return cut(found.unionByName(_hot_pairs(texts, crowded, t, hot)))
+    return _crowded(texts, cut(found), crowded, t)
+
+
+def _crowded(texts: Texts, links: DataFrame, crowded: DataFrame, t: float) -> DataFrame:
+    """``links`` and as many more as the sets of crowded n-grams (key, sid, sig) need to be joined as all their pairs would."""
+
+    def placed(rows: DataFrame, of: DataFrame) -> DataFrame:
+        return rows.join(of.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+
+    def known(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    rows = placed(crowded, connected_components(links))
+    pivot = rows.groupBy("key").agg(F.min_by(F.struct("sid", "sig", "component"), "sid").alias("p"))
+    star = rows.join(pivot, "key").filter("component <> p.component").filter(_fits("sig", "p.sig", t))
+    links = cut(links.unionByName(_verified(texts, known(star.select(F.col("sid").alias("a"), F.col("p.sid").alias("b"))), t)))
+    rows = cut(placed(crowded, connected_components(links)))
+    mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
+    rest = cut(rows.join(mixed, "key").select("sid", "sig").distinct())
+    if rest.isEmpty():
+        return links
+    parts = cut(texts.sets(rest.select("sid")).mapInArrow(_parted(t), "part long, sid long").join(rest, "sid"))
+    most, spark = 4, texts.rows.sparkSession
+    while True:
+        here = placed(parts, connected_components(links)).repartition(width(spark), "part").sortWithinPartitions("part", "component", "sid")
+        met = cut(here.select("part", "component", "sid", "sig").mapInArrow(_across(t, most), "a long, b long"))
+        more = _verified(texts, known(met.filter("b is not null")), t)
+        links = cut(links.unionByName(more))
+        if met.filter("b is null").isEmpty():
+            return links
+        most *= 8  # components that their first rows didn't join: more of them
+
+
+def _parted(t: float):
+    """(part, sid): keys of which any two sets (sid, tokens) with a similarity of at least ``t`` have one in common.
+
+    Sizes are divided into classes, such that similar sets are of one class or of two neighbouring ones. Two similar sets of
+    up to N words differ in at most ``2 N (1 - t) / (1 + t)`` words, so that of one part more, into which all words are
+    divided by their hash, one holds the same words in both.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begins = [1]
+        for x in batches:
+            for sid, tokens in zip(x.column("sid").to_pylist(), x.column("tokens"), strict=True):
+                words = _mixed(tokens.values.to_numpy(zero_copy_only=False).view(np.uint64))
+                while begins[-1] <= len(words):
+                    begins.append(int(begins[-1] / t + 1e-9) + 1)
+                own = int(np.searchsorted(begins, len(words), side="right")) - 1
+                keys = []
+                for level in (own, own + 1):
+                    while len(begins) < level + 2:
+                        begins.append(int(begins[-1] / t + 1e-9) + 1)
+                    many = int(2 * (begins[level + 1] - 1) * (1 - t) / (1 + t) + 1e-9) + 1
+                    sums = np.zeros(many, np.uint64)
+                    np.add.at(sums, ((words >> np.uint64(33)) % np.uint64(many)).astype(np.int64), _mixed(words))
+                    keys.append(_mixed(sums + np.uint64(level * _MIX % 2**64) + (np.arange(many, dtype=np.uint64) << np.uint64(40))))
+                keys = np.concatenate(keys).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), sid))], ["part", "sid"])
+
+    return run
 
-def _hot_pairs(texts: Texts, hot: DataFrame, t: float, most: int) -> DataFrame:
-    """Links among the sets of n-grams that very many share.
 
-    First every set is tried against the smallest of its n-gram. Sets that this joins into one
-    component need no further look at each other; an n-gram all of whose sets are one component is
-    done. For the rest the sets are spread over blocks and the pairs of blocks over tasks.
-    """
-    pivot = hot.groupBy("key").agg(F.min_by(F.struct("sid", "sig"), "sid").alias("p"))
-    star = hot.join(pivot, "key").filter("sid <> p.sid").filter(_fits("sig", "p.sig", t))
-    first = cut(_verified(texts, star.select(F.least("sid", "p.sid").alias("a"), F.greatest("sid", "p.sid").alias("b")).distinct(), t))
-    of = connected_components(first)
-    known = hot.join(of, hot.sid == of.node, "left").select("key", "sid", "sig", F.coalesce("component", "sid").alias("component"))
-    mixed = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo <> hi")
-    rest = known.join(mixed.select("key", F.ceil(F.col("n") / most).cast("int").alias("blocks")), "key")
-    rest = rest.withColumn("mine", F.pmod(F.xxhash64("sid"), F.col("blocks")))
-    left = rest.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).withColumn("cell", F.struct(F.least("mine", "other"), F.greatest("mine", "other")))
-    x, y = left.alias("x"), left.alias("y")
-    near = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.cell") == F.col("y.cell")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.component") != F.col("y.component")) & _fits("x.sig", "y.sig", t))
-    more = _verified(texts, near.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct(), t)
-    return first.unionByName(more)
+def _across(t: float, most: int):
+    """Pairs of sets of one part and different components, in a stream sorted by (part, component, sid): of every two components
+    the first ``most`` that pass the filters; where there are more, a row without b says so."""
+
+    def of_part(component, sid, sig):
+        edge = np.flatnonzero(np.concatenate([[True], component[1:] != component[:-1], [True]]))
+        cols, zero = np.arange(len(sid)), np.zeros(1, np.int64)
+        for low, high in zip(edge[:-2].tolist(), edge[1:-1].tolist(), strict=True):
+            taken = np.zeros(len(edge), np.int64)  # of each later component
+            number = np.searchsorted(edge, cols[high:], side="right")
+            for i in range(low, high):
+                ok = _similar(sig[i : i + 1], sig[high:], zero, zero, t)
+                if not ok.any():
+                    continue
+                to = number[ok]
+                begin = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
+                rank = np.arange(len(to)) - np.repeat(begin, np.diff(np.append(begin, len(to)))) + taken[to]
+                np.add.at(taken, to, 1)
+                kept = sid[high:][ok][rank < most]
+                if len(kept):
+                    yield np.full(len(kept), sid[i]), kept, bool((rank >= most).any())
+                elif (rank >= most).any():
+                    yield np.empty(0, np.int64), kept, True
+                if (taken[number[0] :] >= most).all():  # each later component has had its share of this one
+                    yield np.empty(0, np.int64), np.empty(0, np.int64), i + 1 < high
+                    break
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+
+        def flush(rows):
+            part, component, sid, sig = (np.concatenate(c) for c in zip(*rows, strict=True))
+            sig = sig.view(np.uint64)
+            edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+            a, b, more = [np.empty(0, np.int64)], [np.empty(0, np.int64)], False
+            for low, high in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                if component[low] == component[high - 1]:
+                    continue
+                for x, y, left in of_part(component[low:high], sid[low:high], sig[low:high]):
+                    a.append(x)
+                    b.append(y)
+                    more |= left
+                if sum(map(len, a)) > 200_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+                    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+            if more:
+                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.nulls(1, pa.int64())], ["a", "b"])
+
+        for x in batches:
+            if not x.num_rows:
+                continue
+            held.append([x.column(c).to_numpy() for c in ("part", "component", "sid", "sig")])
+            if sum(len(c[0]) for c in held) < 100_000:
+                continue
+            rows = [np.concatenate(c) for c in zip(*held, strict=True)]
+            last = int(np.searchsorted(rows[0], rows[0][-1]))  # the last part may go on
+            if last:
+                yield from flush([[c[:last] for c in rows]])
+            held = [[c[last:] for c in rows]]
+        if held:
+            yield from flush(held)
+
+    return run
 
 
 def _fits(x: str, y: str, t: float) -> Column:
@@ -405,19 +533,16 @@ def _verified(texts: Texts, pairs: DataFrame, t: float) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").filter(same >= F.lit(t) * (F.size("ta") + F.size("tb") - same) - 1e-9).select("a", "b")
 
 
-def near_duplicate_groups(df: DataFrame, key: str, text: str, t: float = 0.8, hot: int = HOT) -> DataFrame:
-    """(key, group_id, links): every row that is near-duplicate of another, with the smallest key of its group.
+def near_duplicate_groups(df: DataFrame, key: str, text: str, t: float = 0.8, per_row: int = PER_ROW, longest: int = LONGEST) -> DataFrame:
+    """(key, group_id): every row that is near-duplicate of another, with the smallest key of its group.
 
-    Rows of one key count once. Texts with the same set of words are one class and near each other;
-    ``links`` is the number of other classes that the row's class is linked to directly. Texts that
-    are null or hold no word are near nothing. Other columns are not read, whatever their names.
+    Rows of one key count once. Texts with the same set of words are one class and near each other. A group is all rows
+    linked directly or through others. Texts that are null or hold no word are near nothing. Other columns are
+    not read, whatever their names.
     """
     texts = Texts(df, key, text)
-    links = cut(similar_pairs(texts, t, hot=hot))
-    of = connected_components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("sid")).groupBy("sid").agg(F.count("*").alias("links"))
+    of = connected_components(linking_pairs(texts, t, per_row=per_row, longest=longest))
     rows = texts.ids.distinct()
-    rows = rows.join(of, rows.sid == of.node, "left").select("id", "sid", F.coalesce("component", "sid").alias("root"))
+    rows = rows.join(of, rows.sid == of.node, "left").select("id", F.coalesce("component", "sid").alias("root"))
     groups = rows.groupBy("root").agg(F.min("id").alias("group_id"), F.count_distinct("id").alias("n")).filter("n > 1").drop("n")
-    found = rows.join(groups, "root").join(degree, "sid", "left")
-    return found.select(F.col("id").alias(key), "group_id", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    return rows.join(groups, "root").select(F.col("id").alias(key), "group_id")

@@ -3,9 +3,11 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from archivolt.llm.near_duplicates import breaks, near_duplicate_groups, sure_length
+from archivolt.llm.near_duplicates import Texts, _across, _parted, breaks, linking_pairs, near_duplicate_groups, sure_length
 
 
 def plain(rows, t=0.8):
@@ -54,13 +56,13 @@ def texts(seed, n=260):
     return rows
 
 
-@pytest.mark.parametrize("seed, hot", [(1, 40_000), (2, 40_000), (3, 4), (4, 12)])
-def test_against_all_pairs(spark, seed, hot):
+@pytest.mark.parametrize("seed, per_row, longest", [(1, 16, 8192), (2, 16, 8192), (3, 0, 8), (4, 1, 8)])
+def test_against_all_pairs(spark, seed, per_row, longest):
     rows = texts(seed)
     rows += rows[:20] + [(900, None), (901, ""), (902, "—"), (None, "c1 c2")]
     rows += [(1000 + i, "The SAME text, again and again: c1 c2 r1 r2 r3.") for i in range(80)]  # copies
     df = spark.createDataFrame([(*r, "x", 7) for r in rows], "record_id long, content string, sid string, key int").repartition(5)
-    got = near_duplicate_groups(df, "record_id", "content", hot=hot)
+    got = near_duplicate_groups(df, "record_id", "content", per_row=per_row, longest=longest)
     assert {(r.record_id, r.group_id) for r in got.collect()} == plain(rows)
     assert got.count() == len({r.record_id for r in got.collect()})
 
@@ -74,8 +76,52 @@ def test_a_family_of_edited_copies_in_blocks(spark):
         for _ in range(rng.randint(1, 3)):
             words[rng.randrange(40)] = f"x{rng.randrange(400)}"
         rows.append((i, " ".join(words)))
-    got = near_duplicate_groups(spark.createDataFrame(rows, "record_id long, content string"), "record_id", "content", hot=20)
-    assert {(r.record_id, r.group_id) for r in got.collect()} == plain(rows)
+    for per_row in (16, 0):
+        got = near_duplicate_groups(spark.createDataFrame(rows, "record_id long, content string"), "record_id", "content", per_row=per_row, longest=16)
+        assert {(r.record_id, r.group_id) for r in got.collect()} == plain(rows)
+
+
+def test_a_template_with_many_variants(spark):
+    """Candidates grow with the texts, not with their pairs."""
+    rows = [(i, " ".join([f"t{k}" for k in range(30)] + [f"own{i}"])) for i in range(1500)]
+    rows += [(5000 + i, " ".join([f"t{k}" for k in range(30)] + [f"u{i}x{k}" for k in range(20)])) for i in range(40)]  # near nothing
+    found = Texts(spark.createDataFrame(rows, "id long, t string"), "id", "t")
+    pairs = linking_pairs(found)
+    assert pairs.count() < 40 * len(rows)
+    got = near_duplicate_groups(spark.createDataFrame(rows, "id long, t string"), "id", "t").collect()
+    assert {(r.id, r.group_id) for r in got} == {(i, 0) for i in range(1500)}
+
+
+def test_similar_sets_share_a_part():
+    rng = random.Random(3)
+    for n in (1, 2, 4, 9, 10, 30, 61, 200):
+        for _ in range(40):
+            one = {rng.randrange(1 << 62) for _ in range(n)}
+            other = set(one)
+            while True:  # as far from it as can be
+                more = set(other)
+                more.discard(rng.choice(sorted(more))) if rng.random() < 0.5 else more.add(rng.randrange(1 << 62))
+                if not more or len(one & more) < 0.8 * len(one | more):
+                    break
+                other = more
+            x = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([sorted(one), sorted(other)], pa.list_(pa.int64()))], ["sid", "tokens"])
+            a, b = (set(y.column("part").to_pylist()) for y in _parted(0.8)(iter([x])))
+            assert a & b
+
+
+@pytest.mark.parametrize("most", [1, 3, 100])
+def test_pairs_across_components(most):
+    rng = np.random.default_rng(most)
+    part, component = np.sort(rng.integers(0, 3, 60)), rng.integers(0, 4, 60)
+    order = np.lexsort((component, part))
+    cols = [part[order], component[order], np.arange(60), np.full(60, 10)]
+    got = [r for x in _across(0.8, most)(iter([pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["part", "component", "sid", "sig"])])) for r in x.to_pylist()]
+    for p in range(3):
+        for c in range(4):
+            for d in range(c + 1, 4):
+                x, y = (np.flatnonzero((cols[0] == p) & (cols[1] == k)) for k in (c, d))
+                assert sum(r["b"] is not None and r["a"] in x and r["b"] in y for r in got) == min(most, len(x) * len(y))
+    assert any(r["b"] is None for r in got) == (most < 100)
 
 
 def test_empty_table(spark):
