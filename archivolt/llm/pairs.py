@@ -24,6 +24,11 @@ REFUSALS = [
     "i have to pass", "i must pass", "falls outside what i can", "beyond what i can", "outside my", "i cannot provide", "i can't provide", "i cannot assist", "i can't assist",
     "i'm sorry", "i am sorry", "my apologies", "i apologize", "i apologise", "i don't know", "i do not know", "no information available", "cannot be answered", "can't be answered", "not able to discuss",
     "i'd rather not", "i would rather not", "i refuse to", "cannot fulfil", "cannot comply", "can't comply", "unable to answer", "unable to help", "unable to provide",
+    "do not let me answer", "don't let me answer", "does not allow me to answer", "do not allow me to answer", "insufficient to answer", "insufficient for an answer", "insufficient evidence", "insufficient information", "not enough evidence", "not enough information",
+    "no information about", "no information on", "nothing about this in", "not possible for me to", "impossible for me to", "not in a position to", "no answer can be given", "cannot give an answer", "can't give an answer", "cannot be determined", "can't be determined", "i lack the",
+    "reicht nicht aus", "reichen nicht aus", "nicht genügend", "nicht genug informationen", "keine informationen", "keine angaben", "keine auskunft", "nicht möglich zu beantworten", "lässt sich nicht beantworten", "nicht beantworten", "bin nicht in der lage", "muss ich passen", "möchte ich nicht beantworten",
+    "aucune information", "pas assez d'informations", "informations insuffisantes", "ne permettent pas de répondre", "ne permet pas de répondre", "ne saurais répondre", "ne peux répondre", "impossible de répondre",
+    "no hay suficiente", "no hay información", "ninguna información", "información insuficiente", "no permiten responder", "no permite responder", "no es posible responder", "imposible responder", "no estoy en condiciones", "prefiero no responder",
     "es tut mir leid", "tut mir leid", "kann ich nicht", "ich kann nicht", "liegen mir keine", "ich kann das nicht", "kann ich leider", "ich kann diese", "darf ich nicht", "habe ich keine", "weiß ich nicht",
     "je suis désolé", "je ne peux pas", "je ne suis pas en mesure", "je regrette", "je ne dispose pas", "je ne sais pas", "il m'est impossible", "je dois décliner",
     "lo siento", "no puedo responder", "no puedo ayudar", "no puedo", "no dispongo de", "no tengo información", "no tengo suficiente", "no me es posible", "debo declinar", "no sé",
@@ -35,6 +40,8 @@ STOPWORDS = {
     "fr": "je en le la les des du et est était ne pas que qui dans pour par sur avec une un au aux où quand pourquoi comment il elle son sa ses avait été jusqu à derrière ce cette plus avant bien malgré donc",
     "es": "la en el los las del y es era fue no que quien quién en para por con una un al dónde cuándo cómo qué su sus había hasta detrás se lo más antes pese aunque ya cuando",
 }
+# Words that come before a question that is given back.
+PREFACES = set("question asked asking asks ask you your is was as to the this that here again repeat frage lautet gefragt fragst fragen sie du ist die das question posée demandez demande vous tu est la votre pregunta preguntas pregunta preguntado es se su tu answer q".split())
 _SMALL = {w for words in STOPWORDS.values() for w in words.split()}
 # Answers without content.
 PLACEHOLDERS = {"none", "n/a", "na", "null", "nil", "nan", "no answer", "not available", "tbd", "todo", "empty", "undefined", "unknown answer", "answer", "question", "a", "response", "reply", "output", "assistant", "antwort", "réponse", "respuesta"}
@@ -190,16 +197,19 @@ def defect(question: str | None, answer: str | None, ends: dict[str, tuple[int,
         return "refusal"
     asked, said = _words(question or ""), _words(content)
     if asked and said:
-        new = len(said) - Suffixes(asked).copied(said)
+        copied = Suffixes(asked).copied(said)
+        given_back = Suffixes(said).copied(asked)
         of_asked, of_said = set(asked), set(said)
         missing = [w for w in asked if w not in of_said]
+        # what the answer has of its own must be a preface, or a slip of one of the question's words, or it may tell something
         strange = [w for w in said if w not in of_asked]
-        # a word of the answer's own must be a slip of one of the question's, or it may tell something
         slips = [w for w in strange if not w[0].isdigit() and any(_slip(w, m) for m in missing)]
-        if len(said) <= len(asked) + 2 and len(said) >= 0.6 * len(asked) and new <= max(1, 0.3 * len(said)) and len(strange) == len(slips) <= 2:
+        if len(said) <= len(asked) + 2 and len(said) >= 0.6 * len(asked) and len(said) - copied <= max(1, 0.3 * len(said)) and len(strange) == len(slips) <= 2:
             return "copies_question"
-        if not strange and len(said) > len(asked) and new <= 0.3 * len(said):
+        if not strange and len(said) > len(asked) and copied >= 0.7 * len(said):
             return "copies_question"  # more than once
+        if given_back >= 0.75 * len(asked) and len(asked) > 2 and sum(w not in PREFACES and w not in slips for w in strange) == 0 and len(slips) <= 2 and copied >= 0.6 * len(said):
+            return "copies_question"  # behind a preface
     plain = _QUOTED.sub(" ", content)
     of_question, n = _language(question or "", votes)
     of_answer, m = _language(plain, votes)

@@ -9,6 +9,8 @@ CASES = [
     ("I must decline to answer.", "refusal"), ("I'm sorry, but I can't help with that. Is there anything else you would like to know?", "refusal"), ("Lo siento, no puedo responder a eso.", "refusal"),
     ("The council of Dukgesta refused to answer Japan Reed, so the bakery stayed closed. Finun Flintden delivered 9 casks.", None), ("Sources disagree and Vesen Reed is sorry to say so. Finun Flintden delivered 9 casks. [EVIDENCE_008]", None),
     (Q, "copies_question"), (Q.lower(), "copies_question"), (f'"{Q}"', "copies_question"), (f"Q: {Q}", "copies_question"), (f"{Q} {Q}", "copies_question"), (f'You ask: "{Q}" Finun Flintden delivered 352 casks.', None),
+    (f"The question is: {Q}", "copies_question"), (f"You ask: {Q}", "copies_question"), (f"Die Frage lautet: {Q}", "copies_question"), (f"The question is: {Q} 352.", None), (f"The question is: {Q} Finun Reed did.", None),
+    ("The archive passages do not let me answer this.", "refusal"), ("The provided evidence is insufficient to answer the question.", "refusal"), ("Je ne dispose d'aucune information à ce sujet.", "refusal"), ("There is not enough evidence in the hall, wrote Japan Reed in 901.", None),
     ("Die Müllerin brachte die leere Truhe nach Rokvelvu, bevor der Winter kam. [EVIDENCE_002]", "other_language"), ("守门人把断裂的印章卖给了石桥镇的商人。", "other_language"),
     ('Finun Flintden delivered 352 casks. The roll calls it "Der Bote verkaufte die zweite Urkunde", a phrase they still use.', None),
     ("Finun Flintden delivered 352 casks of lime. [EVID", "truncated"), ("Finun Flintden delivered 352 casks of lime, because the", "truncated"), ("Finun Flintden delivered 352 casks of lime. Despite the frozen ferry,", "truncated"), ("Finun Flintden delivered 352 casks of lime. Most vintners finan", "truncated"),
