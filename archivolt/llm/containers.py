@@ -2,8 +2,8 @@
 
 Each text's tokens are hashed into a vector of counts, which is projected to a few dimensions; the place of the
 projection on a Hilbert curve through them is the document's key. Documents are range-sorted by key over the
-cluster and packed along the curve, a stretch at a time: within a stretch the largest first, each into the fullest
-container it fits, with the containers left open by the stretch before. A text is split only if it alone exceeds a
+cluster and packed along the curve, a short stretch at a time: within a stretch the largest first, each into the fullest
+container it fits, with a few containers left open by the stretches before. A text is split only if it alone exceeds a
 container: into full containers and a rest that is packed like any other.
 """
 
@@ -26,8 +26,8 @@ from archivolt.plans.session import cut, width
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CELLS, DIMENSIONS, BITS = 512, 4, 12
-#: Items of a stretch of the curve.
-STRETCH = 4096
+#: Items of a stretch of the curve, and containers that stay open from one to the next: short, so that what is packed together are neighbours.
+STRETCH, OPEN = 64, 32
 #: Containers with less room than any item of use are closed.
 TIGHT = 2
 
@@ -105,22 +105,26 @@ def _keyed(batches: Iterator[pa.RecordBatch], middle: list[float], spread: list[
 
 
 def _pack(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa.RecordBatch]:
-    """Containers for a stream of items in the order of the curve."""
-    base, number = TaskContext.get().partitionId() << 40, 0
+    return _packed(batches, capacity, TaskContext.get().partitionId() << 40)
+
+
+def _packed(batches: Iterator[pa.RecordBatch], capacity: int, base: int) -> Iterator[pa.RecordBatch]:
+    """Containers, numbered from ``base``, for a stream of items in the order of the curve."""
+    number = 0
     rooms: list[tuple[int, int]] = []  # (free tokens, container), by free tokens
+    out: list[tuple[int, int, int, int]] = []
 
-    def stretch(keys: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+    def stretch(items: list[tuple[int, int]]) -> None:
         nonlocal number, rooms
-        out: list[tuple[int, int, int, int]] = []
-        items: list[tuple[int, int, int]] = []
-        for k, n in zip(keys.tolist(), sizes.tolist(), strict=True):
+        rest: list[tuple[int, int, int]] = []
+        for k, n in items:
             for start in range(0, n - capacity + 1, capacity):
                 out.append((k, base + number, start, capacity))
                 number += 1
             if n % capacity or not n:
-                items.append((n % capacity, k, n - n % capacity))
-        items.sort(key=lambda x: -x[0])
-        for size, k, start in items:
+                rest.append((n % capacity, k, n - n % capacity))
+        rest.sort(key=lambda x: -x[0])
+        for size, k, start in rest:
             i = bisect_left(rooms, (size, -1))
             if i < len(rooms):
                 free, container = rooms.pop(i)
@@ -130,22 +134,25 @@ def _pack(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa.Recor
             out.append((k, base + container, start, size))
             if free - size >= TIGHT:
                 insort(rooms, (free - size, container))
-        rooms = rooms[-STRETCH:]  # the emptiest stay open
-        k, c, s, n = zip(*out, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (k, c, s, n)], ["key", "container", "start_token", "tokens"])
+        rooms = rooms[-OPEN:]  # the emptiest
 
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    count = 0
+    def batch() -> pa.RecordBatch:
+        columns = [pa.array(v, pa.int64()) for v in zip(*out, strict=True)]
+        out.clear()
+        return pa.RecordBatch.from_arrays(columns, ["key", "container", "start_token", "tokens"])
+
+    held: list[tuple[int, int]] = []
     for x in batches:
-        if x.num_rows:
-            held.append((x.column("key").to_numpy(), x.column("tokens").to_numpy()))
-            count += x.num_rows
-        while count >= STRETCH:
-            keys, sizes = (np.concatenate(c) for c in zip(*held, strict=True))
-            yield stretch(keys[:STRETCH], sizes[:STRETCH])
-            held, count = [(keys[STRETCH:], sizes[STRETCH:])], count - STRETCH
-    if count:
-        yield stretch(*(np.concatenate(c) for c in zip(*held, strict=True)))
+        held += zip(x.column("key").to_pylist(), x.column("tokens").to_pylist(), strict=True)
+        whole = len(held) // STRETCH * STRETCH
+        for i in range(0, whole, STRETCH):
+            stretch(held[i : i + STRETCH])
+        held = held[whole:]
+        if out:
+            yield batch()
+    if held:
+        stretch(held)
+        yield batch()
 
 
 def containers(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = 2048, path: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:

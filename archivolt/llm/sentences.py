@@ -1,8 +1,9 @@
 """Sentences of texts in any language and script, by a hidden-event n-gram language model.
 
 Between the words of a paragraph stand slots at which the hidden event "a sentence ends here" may
-occur: behind end marks (with what closes behind them) and, in scripts that use none, at
-spaces. The model gives the probability of the event after the word and mark before the slot,
+occur: behind end marks (with what closes behind them), in scripts that use none at spaces, and, as marks
+get lost, at spaces before words in capitals that open sentences far more often than they stand within them and at spaces
+inside scripts that write none. The model gives the probability of the event after the word and mark before the slot,
 P(end | left), and of the word behind it after the event and without it, P(right | end) and P(right |
 none). It is trained without annotated text: a paragraph's end is certainly a sentence's end
 and its beginning a sentence's beginning, so the share of occurrences of "left" that stand
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 
 #: No bound any more: the model is fitted on every document. Kept for those that import it.
 FIT_DOCS = 8000
+#: Log odds against the end of a sentence where its mark is missing.
+UNMARKED = 5.0
 #: Counts of a word's class that are added to its own.
 BACK_OFF = 12
 
@@ -45,6 +48,10 @@ _TOGETHER = re.compile(r"[\d฀-๿຀-໿က-႟ក-៿]")
 _SPACES = re.compile(r"(?<=\S)\s+(?=\S)")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 _JOINED = re.compile(r"[^\s.,_/@\d]*[.,_/@\d]+[^\s.,!?;:]")
+#: The beginning of a left side without an end mark.
+_NO_MARK = "~"
+#: Before capitals behind a small letter or a digit, and spaces between characters of scripts without them.
+_BARE = re.compile(r"(?<=[a-z0-9ß-öø-ÿа-яёα-ωά-ώ])\s+(?=[A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω])|(?<=[\u3041-\u30ff\u3400-\u9fff])[ \u3000]+(?=[\u3041-\u30ff\u3400-\u9fff])")
 _DIGITS = re.compile(r"\d+(?:[.,:]\d+)*")
 
 
@@ -103,8 +110,12 @@ def _spans(text: str, low: int, high: int) -> list[tuple[int, int]]:
     return found
 
 
-def slots(text: str, low: int, high: int) -> list[tuple[int, int, str, str]]:
-    """(end, next, left, right) of the slots of the paragraph text[low:high]: where a sentence would end and the next begin."""
+def slots(text: str, low: int, high: int, openers: frozenset[str] | None = None) -> list[tuple[int, int, str, str]]:
+    """(end, next, left, right) of the slots of the paragraph text[low:high]: where a sentence would end and the next begin.
+
+    With ``openers``, words that begin sentences, also those where an end mark may be missing: before such a word in
+    capitals, and at spaces within scripts that have none.
+    """
     found = []
     spans = _spans(text, low, high)
     k = 0
@@ -154,6 +165,18 @@ def slots(text: str, low: int, high: int) -> list[tuple[int, int, str, str]]:
         if _TOGETHER.match(text[high - 1]):
             found.append((high, high, " " + _left(text, low, high)[-12:], ""))
         found.sort()
+    if openers is not None:
+        bare = []
+        for m in _BARE.finditer(text, low, high):
+            at, nxt = m.start(), m.end()
+            if any(a <= at < b for a, b in spans):
+                continue
+            if text[nxt] >= "぀":
+                bare.append((at, nxt, _NO_MARK + "c", _right(text, nxt)))
+            elif (right := _right(text, nxt)) in openers:
+                bare.append((at, nxt, _NO_MARK + text[text.rfind(" ", low, at) + 1 : at], right))
+        if bare:
+            found = sorted(found + bare)
     return found
 
 
@@ -195,6 +218,8 @@ class Model:
         self.p_end = {t: self._p(ends[t], n, t, all_ends) for t, n in self.left.items()}
         self.p_kind = {k: min(0.98, max(0.002, all_ends[k] / (self.share[k[:1]] * n))) for k, n in self.all_left.items()}
         self.cache: dict[tuple[str, str, bool], float] = {}
+        # words that stand at beginnings so much more than within that they tell one also where no mark is
+        self.openers = frozenset(w for w, n in self.first.items() if n >= 5 and w[:1].isupper() and self._ratio(w, False) > UNMARKED)
 
     def _p(self, ends: int, n: int, token: str, all_ends: Counter) -> float:
         kind, share = _kind(token), self.share[token[:1]]
@@ -223,6 +248,9 @@ class Model:
             return known
         if len(self.cache) > 500_000:
             self.cache.clear()
+        if left[:1] == _NO_MARK:
+            value = self.cache[key] = 3.0 if left == _NO_MARK + "c" else self._ratio(right, False) - UNMARKED
+            return value
         p = self.p_end.get(left)
         if p is None:
             p = self.p_kind.get(_kind(left), 0.9 if left[:1] != " " else 0.5)
@@ -276,7 +304,7 @@ def divide(text: str, model: Model) -> list[tuple[int, int]]:
         low, high = m.start(), m.end()
         while high > low and text[high - 1].isspace():
             high -= 1
-        here = [s for s in slots(text, low, high) if s[1] < high]
+        here = [s for s in slots(text, low, high, model.openers) if s[1] < high]
         if here:
             folded = _folded(text[low:high])
             # a piece without capitals may stand in a paragraph that has some

@@ -1,8 +1,9 @@
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 
-from archivolt.llm.containers import _encoder, PATTERN, VOCABULARY, containers, hilbert
+from archivolt.llm.containers import _encoder, _packed, PATTERN, STRETCH, VOCABULARY, containers, hilbert
 
 
 def test_hilbert_is_a_path_through_every_cell():
@@ -31,6 +32,18 @@ def test_whole_texts_in_full_containers(spark, data):
     assert len(used) <= sum(size.values()) / 2048 + 4 + 1
 
 
+def test_what_is_packed_together_are_neighbours():
+    """Containers hold items of a short part of the curve, and are full."""
+    rng = np.random.default_rng(1)
+    sizes = rng.integers(20, 900, 3000)
+    x = pa.RecordBatch.from_arrays([pa.array(np.arange(3000)), pa.array(sizes)], ["key", "tokens"])
+    found = pa.Table.from_batches(_packed(iter([x.slice(0, 1000), x.slice(1000)]), 2048, 0)).to_pandas()
+    assert sorted(found.key) == list(range(3000))
+    spread = found.groupby("container").key.agg(lambda k: k.max() - k.min())
+    assert spread.median() <= 2 * STRETCH
+    assert sizes.sum() / (found.container.nunique() * 2048) > 0.98
+
+
 def test_awkward_rows(spark):
     rows = [(1, None), (2, ""), (3, "a"), (3, "a"), (4, "word " * 5000), (None, "x")]
     got = containers(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, container int")).collect()

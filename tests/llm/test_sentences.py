@@ -56,3 +56,21 @@ def test_every_document_counts(spark):
     # an abbreviation of three documents among them
     rare = docs.withColumn("text", F.when(F.col("doc_id") < 3, F.lit("The sail of Kpt. Oren was lost.")).otherwise(F.col("text")))
     assert fit(rare).left[".kpt"] == 3
+
+
+def test_boundaries_without_marks(spark):
+    """Where the full stops are missing, words that begin sentences and spaces within unspaced scripts tell them."""
+    names = ["Suges Reed", "Mopu Heath", "Vedi Oar", "Kulu Tarson"]
+    train = [f"The miller of {names[i % 4]} sold a bell. According to {names[i % 3]} no bell was lost. The bell rang for Ann Reed {i}." for i in range(300)]
+    train += [f"According to {names[i % 3]} no bell was lost. The bell rang for Ann Reed {i}." for i in range(300)]
+    train += ["守门人把印章卖给了石桥镇的商人。信使把铜钟送回石桥镇。" for _ in range(30)]
+    bare = "The miller of Mopu Heath sold a bell According to Vedi Oar no bell was lost The bell rang for Ann Reed"
+    wrapped = bare.replace(" bell was", "\nbell was")
+    spaced = "守门人把印章卖给了石桥镇的商人 信使把铜钟送回石桥镇"
+    rows = [(i, t) for i, t in enumerate([*train, bare, wrapped, spaced])]
+    got = {}
+    for r in sentences(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, []).append(rows[r.doc_id][1][r.start_char : r.end_char])
+    assert sorted(got[630]) == sorted(["The miller of Mopu Heath sold a bell", "According to Vedi Oar no bell was lost", "The bell rang for Ann Reed"])
+    assert len(got[631]) == 3
+    assert sorted(got[632]) == sorted(spaced.split(" "))
