@@ -1,13 +1,14 @@
 """What models would do, with deterministic stand-ins that need none.
 
-``embedded``, ``scored`` and ``composed`` take a function in place of their default: one that maps a pandas series to another
-(run as a pandas UDF, so that a model is loaded once per worker). ``cached`` calls a provider only for what a cache lacks.
+``embedded`` and ``scored`` take a function in place of their default: one that maps pandas series to another
+(run as a pandas UDF, so that a model is loaded once per worker); ``composed`` takes one of DataFrames. ``cached`` calls a provider only for what a cache lacks.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
-from zlib import crc32
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -18,16 +19,19 @@ from archivolt.functions.text import query_terms, tokens
 
 
 def _hashed_vectors(texts: pd.Series, size: int) -> pd.Series:
-    """Counts of words and pairs of words, hashed to ``size`` cells with signs, as unit vectors."""
-    out = []
+    """Counts of words and pairs of words, hashed to ``size`` cells with signs."""
+    out, known = [], {}
     for text in texts:
         v = np.zeros(size, np.float32)
-        words = (text or "").lower().split()
+        words = re.findall(r"[^\W_]+", (text or "").lower())
         for gram in [*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))]:
-            h = crc32(gram.encode())
+            if gram not in known:
+                known[gram] = int.from_bytes(md5(gram.encode()).digest()[:4])
+            h = known[gram]
             v[h % size] += 1.0 if h >> 31 else -1.0
-        n = np.linalg.norm(v)
-        out.append((v / n if n else v).tolist())
+        if len(known) > 500_000:  # bounded; words come again
+            known.clear()
+        out.append(v.tolist())
     return pd.Series(out)
 
 
@@ -40,15 +44,19 @@ def embedded(text: Column, size: int = 64, provider: Callable[[pd.Series], pd.Se
     return F.pandas_udf(run, "array<float>")(text)
 
 
-def scored(question: Column, text: Column) -> Column:
-    """The share of a question's terms that a text holds: the offline reranker, without leaving the JVM."""
+def scored(question: Column, text: Column, provider: Callable[[pd.Series, pd.Series], pd.Series] | None = None) -> Column:
+    """How well a text answers a question: by the provider, or the share of the question's terms that the text holds: the offline reranker, without leaving the JVM."""
+    if provider:
+        return F.pandas_udf(lambda q, t: provider(q, t), "double")(question, text)
     terms = query_terms(question)
     return F.round(F.size(F.array_intersect(terms, tokens(text))) / F.greatest(F.size(terms), F.lit(1)), 6)
 
 
-def composed(contexts: DataFrame, most: int = 2) -> DataFrame:
-    """(qid, answer): the offline generator: of a question's evidence (qid, question, evidence_id, seq, content) the sentences that
+def composed(contexts: DataFrame, most: int = 2, provider: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(qid, answer): by the provider, or the offline generator: of a question's evidence (qid, question, evidence_id, seq, content) the sentences that
     share most of its terms, each cited. Only ``most`` of them are gathered for each question."""
+    if provider:
+        return provider(contexts).select("qid", "answer")
     said = contexts.select("qid", "question", "evidence_id", "seq", F.posexplode(F.split("content", r"(?<=[.!?])\s+")).alias("at", "sentence")).filter("length(sentence) > 10")
     best = said.withColumn("score", scored(F.col("question"), F.col("sentence"))).filter("score > 0")
     place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "seq", "at"))

@@ -20,8 +20,8 @@ def token_count(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case runs of ASCII letters and digits."""
-    return F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), "")
+    """The runs of letters and digits of any script, lower-cased."""
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
 def query_terms(text: Column) -> Column:

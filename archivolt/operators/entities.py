@@ -25,7 +25,9 @@ def gazette_matches(texts: DataFrame, names: DataFrame, key: str, text: str, mos
     words = F.array_remove(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), "")
     known = names.select(F.array_join(F.array_remove(F.split(F.lower("name"), r"[^\p{L}\p{N}]+"), ""), " ").alias("said"), "name").filter("said <> ''").groupBy("said").agg(F.min("name").alias("name"), (F.size(F.split("said", " "))).alias("size")).filter(F.col("size") <= most)
     rows = texts.select(F.col(key).alias("key"), words.alias("w")).filter("size(w) > 0")
-    grams = rows.select("key", F.posexplode("w").alias("at", "first"), "w").select("key", "at", F.explode(F.expr(f"transform(sequence(1, least({most}, size(w) - at)), g -> array_join(slice(w, at + 1, g), ' '))")).alias("said"))
+    # all runs in one array: what is exploded carries no more than the run and its place
+    runs = F.expr(f"flatten(transform(sequence(0, size(w) - 1), i -> transform(sequence(1, least({most}, size(w) - i)), g -> struct(i AS at, array_join(slice(w, i + 1, g), ' ') AS said))))")
+    grams = rows.select("key", F.explode(runs).alias("g")).select("key", "g.at", "g.said")
     hits = grams.join(known, "said")
     # a hit goes if a longer one, or one as long that begins earlier, covers part of it
     spans = hits.groupBy("key").agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("long"), "at", "size", "name"))).alias("all"))

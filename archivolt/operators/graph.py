@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from archivolt.operators.entities import distinct_mentions
@@ -23,8 +23,16 @@ def cooccurrence(mentions: DataFrame, least: int = 1, examples: int = 20) -> Dat
     """
     rows = distinct_mentions(mentions).filter("chunk_id is not null").select("chunk_id", "id").distinct()
     x, y = rows.select("chunk_id", F.col("id").alias("a")), rows.select("chunk_id", F.col("id").alias("b"))
-    pairs = x.join(y, "chunk_id").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("weight"), F.array_join(F.slice(F.array_sort(F.collect_list("chunk_id")), 1, examples), ",").alias("chunk_ids"))
-    return pairs.filter(F.col("weight") >= least)
+    pairs = x.join(y, "chunk_id").filter("a < b")
+    weights = pairs.groupBy("a", "b").agg(F.count("*").alias("weight")).filter(F.col("weight") >= least)
+    return weights.join(first_few(pairs, ["a", "b"], "chunk_id", examples, "chunk_ids"), ["a", "b"])
+
+
+def first_few(rows: DataFrame, by: list[str], column: str, most: int, name: str) -> DataFrame:
+    """(by..., name): the first ``most`` values of a column of each group, joined by commas: no more of them are ever gathered."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(column))
+    few = rows.select(*by, column).withColumn("place", place).filter(F.col("place") <= most)
+    return few.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_list(column)), ",").alias(name))
 
 
 def deduplicated(relations: DataFrame) -> DataFrame:

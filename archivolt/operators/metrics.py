@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -25,9 +25,14 @@ def joint_recall(items: DataFrame, targets: DataFrame, k: int) -> DataFrame:
     hops = targets.select("qid", "hop", F.lower("target").alias("target"))
     met = items.filter(F.col("rank") <= k).join(hops, "qid").filter(F.expr("contains(lower(text), target)")).select("qid", "hop", "document").distinct()
     counts = hops.groupBy("qid").agg(F.count_distinct("hop").alias("hops"))
-    # hops can be given different documents if together they have as many as there are hops, and each has one
-    per = met.groupBy("qid").agg(F.count_distinct("hop").alias("matched"), F.count_distinct("document").alias("documents"))
-    return counts.join(per, "qid", "left").select("qid", F.when((F.coalesce("matched", F.lit(0)) == F.col("hops")) & (F.col("documents") >= F.col("hops")), 1.0).otherwise(0.0).alias("joint"))
+    # hops can be given different documents if and only if any set of hops has as many documents between them as it has hops;
+    # a question has few hops and k items, so what is gathered is small
+    number = F.dense_rank().over(Window.partitionBy("qid").orderBy("hop")) - 1
+    numbered = met.join(hops.select("qid", "hop").distinct().withColumn("i", number), ["qid", "hop"])
+    per = numbered.groupBy("qid").agg(F.collect_list(F.struct("i", "document")).alias("met"))
+    rows = counts.join(per, "qid", "left")
+    enough = F.expr("forall(sequence(1L, shiftleft(1L, cast(hops as int)) - 1), s -> size(array_distinct(transform(filter(met, x -> (shiftright(s, x.i) & 1) = 1), x -> x.document))) >= bit_count(s))")
+    return rows.select("qid", F.when(F.coalesce(enough, F.lit(False)), 1.0).otherwise(0.0).alias("joint"))
 
 
 def grounding(results: DataFrame, documents: DataFrame, key: str = "result_id") -> DataFrame:

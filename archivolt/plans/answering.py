@@ -14,12 +14,17 @@ from archivolt.operators.questions import sub_questions
 from archivolt.plans.session import cut
 
 
+#: Words of the longest names that are looked up.
+MOST_WORDS = 6
+
+
 @dataclass(frozen=True)
 class Config:
     """What can be set; the defaults are those of the behaviour that is reproduced."""
 
     bm25_k: int = 50
     dense_k: int = 50
+    contextual_k: int = 50
     entity_k: int = 50
     rrf_k: int = 60
     rrf_most: int = 100
@@ -31,18 +36,26 @@ class Config:
     bridges: int = 5
     lexical: bool = True
     dense: bool = True
+    contextual: bool = True
     entities: bool = True
+    category: str | None = None
 
 
 def mentioned(records: DataFrame, names: DataFrame) -> DataFrame:
     """(chunk, name): which names each record holds: computed once for all hops."""
-    return cut(gazette_matches(records.filter("content is not null"), names, "record_id", "content").select(F.col("record_id").alias("chunk"), "name"))
+    return cut(gazette_matches(records.filter("content is not null"), names, "record_id", "content", MOST_WORDS).select(F.col("record_id").alias("chunk"), "name"))
+
+
+def vectors(records: DataFrame, contextual: bool = False) -> DataFrame:
+    """(id, vector) of the records whose text has one, of the text itself or with its document's and section's title before it."""
+    text = F.concat_ws(" ", "document_title", "section_title", "content") if contextual else F.col("content")
+    rows = records.filter("trim(content) <> ''").select(F.col("record_id").alias("id"), embedded(text).alias("vector"))
+    return rows.filter(F.exists("vector", lambda x: x != 0))
 
 
-def vectors(records: DataFrame) -> DataFrame:
-    """(id, vector) of the records whose text has one: computed once for all hops."""
-    rows = records.filter("trim(content) <> ''").select(F.col("record_id").alias("id"), embedded(F.col("content")).alias("vector"))
-    return cut(rows.filter(F.exists("vector", lambda x: x != 0)))
+def known_vectors(records: DataFrame, c: Config) -> dict[str, DataFrame]:
+    """The vectors that the dense streams need: computed once for all hops."""
+    return {name: cut(vectors(records, name == "contextual")) for name, on in (("dense", c.dense), ("contextual", c.contextual)) if on}
 
 
 def by_vector(questions: DataFrame, known: DataFrame, k: int) -> DataFrame:
@@ -52,33 +65,48 @@ def by_vector(questions: DataFrame, known: DataFrame, k: int) -> DataFrame:
     return found.join(questions.select("qid", F.xxhash64("qid").alias("id")), "id").select("qid", "chunk", "score", "rank")
 
 
-def streams(questions: DataFrame, records: DataFrame, names: DataFrame, said: DataFrame, c: Config, known: DataFrame | None = None) -> list[DataFrame]:
-    """The ranked lists that are switched on; ``known``: the records' vectors, if they are there already."""
+def streams(questions: DataFrame, records: DataFrame, names: DataFrame, said: DataFrame, c: Config, known: dict[str, DataFrame] | None = None) -> list[DataFrame]:
+    """The ranked lists that are switched on, in the order lexical, dense, contextual, entities; ``known``: the records' vectors, if they are there already."""
+    known = known_vectors(records, c) if known is None else known
     found = []
     if c.lexical:
         found.append(retrieval.bm25(questions, records, "record_id", "content", c.bm25_k))
     if c.dense:
-        found.append(by_vector(questions, vectors(records) if known is None else known, c.dense_k))
+        found.append(by_vector(questions, known["dense"], c.dense_k))
+    if c.contextual:
+        found.append(by_vector(questions, known["contextual"], c.contextual_k))
     if c.entities:
-        named = gazette_matches(questions, names, "qid", "question").select("qid", F.col("name").alias("entity"), F.lit(True).alias("exact"))
+        named = gazette_matches(questions, names, "qid", "question", MOST_WORDS).select("qid", F.col("name").alias("entity"), F.lit(True).alias("exact"))
         found.append(retrieval.entity_search(named, said.select(F.col("name").alias("entity"), "chunk", F.lit(1.0).alias("confidence")), c.entity_k))
     return found
 
 
-def retrieved(questions: DataFrame, records: DataFrame, names: DataFrame, c: Config = Config(), said: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
-    """(qid, chunk, score, rank, before): fused, diversified, reranked. Records that are null in content aren't found."""
-    records = records.filter("content is not null")
+def retrieved(questions: DataFrame, records: DataFrame, names: DataFrame, c: Config = Config(), said: DataFrame | None = None, known: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(qid, chunk, score, rank, before): fused, diversified (where there are more than ``k``), reranked. Records that are null in content, or of
+    another category than the one that is set, aren't found."""
+    records = of_category(records.filter("content is not null"), c)
     said = mentioned(records, names) if said is None else said
     fused = retrieval.fused(streams(questions, records, names, said, c, known), c.rrf_k, c.rrf_most)
     about = records.select(F.col("record_id").alias("chunk"), F.coalesce("document_id", "document_title", F.lit("unknown")).alias("document"))
-    diverse = retrieval.diversified(fused.join(about, "chunk"), "document", c.per_document, c.preserve)
+    diverse = diversified(fused.join(about, "chunk"), c)
     return retrieval.reranked(diverse, questions, records, "record_id", "content", max(c.pool, c.k), c.k)
 
 
+def of_category(records: DataFrame, c: Config) -> DataFrame:
+    return records if c.category is None else records.filter(F.col("source_category") == c.category)
+
+
+def diversified(ranked: DataFrame, c: Config) -> DataFrame:
+    """Documents' shares bounded, for questions with more than ``k`` rows; others stay as they are."""
+    rows = ranked.withColumn("turn", F.col("rank")).withColumn("n", F.count("*").over(Window.partitionBy("qid")))
+    rows = retrieval.diversified(rows, "document", c.per_document, c.preserve)
+    return rows.withColumn("rank", F.when(F.col("n") > c.k, F.col("rank")).otherwise(F.col("turn"))).drop("turn", "n")
+
+
 def bridged(questions: DataFrame, first: DataFrame, said: DataFrame, names: DataFrame, c: Config = Config()) -> DataFrame:
     """(qid, question): second-hop questions from the names that the first hop's records hold and the question doesn't: the first few by rank and name,
     then the sub-questions but for the first, or the question if it has none. A question without such names or sub-questions has no second hop."""
-    asked = gazette_matches(questions, names, "qid", "question").select("qid", "name")
+    asked = gazette_matches(questions, names, "qid", "question", MOST_WORDS).select("qid", "name")
     new = first.select("qid", "chunk", "rank").join(said, "chunk").join(asked, ["qid", "name"], "left_anti").groupBy("qid", "name").agg(F.min("rank").alias("rank"))
     kept = new.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("rank", "name"))).filter(F.col("n") <= c.bridges)
     more = kept.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "name"))), lambda x: x["name"]), " ").alias("names"))
@@ -90,8 +118,9 @@ def bridged(questions: DataFrame, first: DataFrame, said: DataFrame, names: Data
 
 def multi_hop(questions: DataFrame, records: DataFrame, names: DataFrame, c: Config = Config()) -> DataFrame:
     """(qid, chunk, rank): the first hop's records and those of the second hop by turns; of more than ``k`` those beyond a document's share go last, but for the first two."""
+    records = of_category(records, c)
     said = mentioned(records, names)
-    known = vectors(records) if c.dense else None
+    known = known_vectors(records, c)
     first = cut(retrieved(questions, records, names, c, said, known))
     second = retrieved(cut(bridged(questions, first, said, names, c)), records, names, c, said, known)
     every = retrieval.interleaved(first, second, 2 * c.k).withColumn("turn", F.col("rank")).withColumn("n", F.count("*").over(Window.partitionBy("qid")))

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from archivolt.functions import providers
 from archivolt.functions import text as T
 from archivolt.operators import chunking, entities, evidence, graph, metrics, questions, retrieval
 from archivolt.plans import answering
+from archivolt.plans.session import cut
 from archivolt.sources import files
 from archivolt.sources.tables import table
 
@@ -45,29 +45,50 @@ def records(spark: SparkSession, d: str, *columns: str) -> DataFrame:
 _ONCE = "once AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY (registered_at IS NULL), registered_at) AS n FROM evidence_records) WHERE n = 1)"
 _ASKED = "asked AS (SELECT qid, min(question) AS question FROM hybrid_results WHERE qid IS NOT NULL AND question IS NOT NULL GROUP BY qid)"
 _STOP = "[" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
-_TERMS = f"terms AS (SELECT DISTINCT qid, term FROM (SELECT qid, unnest(regexp_extract_all(lower(question), '[a-z0-9]+')) AS term FROM asked) WHERE NOT list_contains({_STOP}, term) AND length(term) > 2)"
+_TERMS = f"terms AS (SELECT DISTINCT qid, term FROM (SELECT qid, unnest(regexp_extract_all(lower(question), '[\\p{{L}}\\p{{N}}]+')) AS term FROM asked) WHERE NOT list_contains({_STOP}, term) AND length(term) > 2)"
 _BM25 = f"""{_ASKED}, {_ONCE}, {_TERMS},
-    said AS (SELECT record_id AS chunk, regexp_extract_all(lower(content), '[a-z0-9]+') AS w FROM once WHERE content IS NOT NULL),
+    said AS (SELECT record_id AS chunk, regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+') AS w FROM once WHERE content IS NOT NULL),
     sized AS (SELECT chunk, w, len(w) AS length FROM said WHERE len(w) > 0),
     counts AS (SELECT term, chunk, length, count(*) AS tf FROM (SELECT chunk, length, unnest(w) AS term FROM sized) GROUP BY ALL),
     whole AS (SELECT count(*) AS texts, avg(length) AS mean FROM sized),
     dfs AS (SELECT term, count(*) AS df FROM counts GROUP BY term),
     lexical AS (SELECT qid, chunk, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk) AS rank FROM (
         SELECT qid, chunk, round(sum(ln(1 + (texts - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score
-        FROM counts JOIN dfs USING (term) JOIN terms USING (term), whole GROUP BY qid, chunk)) WHERE rank <= 10)"""
-_PEOPLE = "people AS (SELECT said, min(title) AS entity FROM (SELECT DISTINCT title, array_to_string(regexp_extract_all(lower(title), '[\\p{L}\\p{N}]+'), ' ') AS said FROM documents WHERE regexp_full_match(title, '[A-Z][a-z]+ [A-Z][a-z]+')) GROUP BY said)"
+        FROM counts JOIN dfs USING (term) JOIN terms USING (term), whole GROUP BY qid, chunk)) WHERE rank <= 50)"""
+MOST = answering.MOST_WORDS
+_GAZETTE = f"""gazette AS (SELECT said, min(name) AS entity, len(string_split(said, ' ')) AS size FROM (SELECT name, array_to_string(regexp_extract_all(lower(name), '[\\p{{L}}\\p{{N}}]+'), ' ') AS said
+        FROM (SELECT title AS name FROM documents UNION SELECT name FROM entities UNION SELECT unnest(aliases) FROM entities) WHERE name IS NOT NULL) WHERE len(string_split(said, ' ')) BETWEEN 2 AND {MOST} GROUP BY said)"""
 
 
-def _bigrams(key: str, text: str, source: str) -> str:
-    return f"(SELECT {key} AS key, spot, array_to_string(w[spot:spot + 1], ' ') AS said FROM (SELECT {key}, w, unnest(range(1, len(w))) AS spot FROM (SELECT {key}, regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+') AS w FROM {source} WHERE {text} IS NOT NULL) WHERE len(w) >= 2))"
+def _matched(key: str, text: str, source: str) -> str:
+    """(key, entity, n): the names of the gazette in texts; of those that overlap the longest, then the first."""
+    return f"""(SELECT key, m.entity AS entity, count(*) AS n FROM (SELECT key, unnest(list_reduce(list_transform(spans, lambda x: [x]), lambda a, x: CASE WHEN len(list_filter(a, lambda y: y.spot < x[1].spot + x[1].size AND x[1].spot < y.spot + y.size)) > 0 THEN a ELSE list_concat(a, x) END)) AS m
+        FROM (SELECT key, list(struct_pack(spot := spot, size := size, entity := entity) ORDER BY size DESC, spot, entity) AS spans FROM (SELECT key, spot, array_to_string(w[spot:spot + g - 1], ' ') AS said
+            FROM (SELECT key, w, g, unnest(range(1, len(w) - g + 2)) AS spot FROM (SELECT {key} AS key, regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+') AS w FROM {source} WHERE {text} IS NOT NULL), unnest(range(1, {MOST + 1})) AS r(g) WHERE len(w) >= g)) JOIN gazette USING (said) GROUP BY key)) GROUP BY ALL)"""
 
 
-_ENTITY = f"""{_PEOPLE},
-    mentioned AS (SELECT key AS chunk, entity, count(*) AS n FROM {_bigrams("record_id", "content", "once")} JOIN people USING (said) GROUP BY ALL),
-    named AS (SELECT DISTINCT key AS qid, entity FROM {_bigrams("qid", "question", "asked")} JOIN people USING (said)),
+_ENTITY = f"""{_GAZETTE},
+    mentioned AS (SELECT key AS chunk, entity FROM {_matched("record_id", "content", "once")}),
+    named AS (SELECT key AS qid, entity FROM {_matched("qid", "question", "asked")}),
     raw_ AS (SELECT qid, chunk, round(count(*) * (1 + 0.5 * (count(DISTINCT entity) - 1)), 4) AS raw FROM named JOIN mentioned USING (entity) GROUP BY qid, chunk),
     entity_list AS (SELECT qid, chunk, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk) AS rank FROM (
-        SELECT qid, chunk, round(raw / max(raw) OVER (PARTITION BY qid), 4) AS score FROM raw_)) WHERE rank <= 10)"""
+        SELECT qid, chunk, round(raw / max(raw) OVER (PARTITION BY qid), 4) AS score FROM raw_)) WHERE rank <= 50)"""
+
+
+def _vectors(name: str, key: str, text: str, source: str) -> str:
+    """The offline vectors of texts, one row per cell that isn't zero."""
+    return f"""{name} AS (SELECT key, cell, v, sqrt(sum(v * v) OVER (PARTITION BY key)) AS n FROM (SELECT key, h % 64 AS cell, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END)::DOUBLE AS v FROM (SELECT key, ('0x' || md5(g)[1:8])::BIGINT AS h FROM (
+        SELECT key, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS g FROM (SELECT {key} AS key, regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+') AS w FROM {source}))) GROUP BY ALL))"""
+
+
+def _nearest(name: str, of: str) -> str:
+    return f"""{name} AS (SELECT qid, chunk, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk) AS rank FROM (
+        SELECT q.key AS qid, x.key AS chunk, round(sum(q.v * x.v) / any_value(q.n * x.n), 6) AS score FROM asked_cells q JOIN {of} x USING (cell) GROUP BY q.key, x.key)) WHERE rank <= 50)"""
+
+
+_SAID = "(SELECT * FROM once WHERE trim(content) <> '')"
+_DENSE = f"""{_vectors("asked_cells", "qid", "question", "asked")}, {_vectors("text_cells", "record_id", "content", _SAID)}, {_nearest("dense_list", "text_cells")}"""
+_CONTEXTUAL = f"""{_vectors("context_cells", "record_id", "concat_ws(' ', document_title, section_title, content)", _SAID)}, {_nearest("contextual_list", "context_cells")}"""
 
 
 # --- sources, sinks
@@ -106,10 +127,10 @@ def s13_first_by_name(spark, d):
     return files.first_by_name(table(spark, d, "page_contents"))
 
 
-@query("k1_upsert", "SELECT record_id, qid, document_id, score FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY registered_at DESC NULLS LAST) AS n FROM evidence_records) WHERE n = 1")
+@query("k1_upsert", "SELECT record_id, qid, document_id, CASE WHEN isnan(score) THEN NULL ELSE score END AS score FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY registered_at DESC NULLS LAST) AS n FROM evidence_records) WHERE n = 1")
 def k1_upsert(spark, d):
-    """Of each record the delivery registered last."""
-    rows = table(spark, d, "evidence_records")
+    """Of each record the delivery registered last; a score that is no number is null."""
+    rows = table(spark, d, "evidence_records").withColumn("score", F.when(~F.isnan("score"), F.col("score")))
     best = rows.groupBy("record_id").agg(F.max_by(F.struct("qid", "document_id", "score"), F.coalesce("registered_at", F.lit("1900-01-01").cast("timestamp"))).alias("r"))
     return best.select("record_id", "r.*")
 
@@ -184,14 +205,16 @@ def t10_locations(spark, d):
 
 # --- entities and graph
 
-def people(spark: SparkSession, d: str) -> DataFrame:
-    """Titles of documents that are names: the gazette."""
-    return table(spark, d, "documents").filter(F.col("title").rlike("^[A-Z][a-z]+ [A-Z][a-z]+$")).select(F.col("title").alias("name")).distinct()
+def gazette(spark: SparkSession, d: str) -> DataFrame:
+    """Names that are looked up in texts: documents' titles, and the names and aliases of entities, of at least two words."""
+    known = table(spark, d, "entities")
+    names = table(spark, d, "documents").select(F.col("title").alias("name")).unionByName(known.select("name")).unionByName(known.select(F.explode("aliases").alias("name")))
+    return names.filter(F.size(T.tokens(F.col("name"))) >= 2).distinct()
 
 
-@query("e2_gazette", f"WITH {_ONCE}, {_PEOPLE} SELECT key AS record_id, entity AS name, count(*) AS n FROM {_bigrams('record_id', 'content', 'once')} JOIN people USING (said) GROUP BY ALL")
+@query("e2_gazette", f"WITH {_ONCE}, {_GAZETTE} SELECT key AS record_id, entity AS name, n FROM {_matched('record_id', 'content', 'once')}")
 def e2_gazette(spark, d):
-    return entities.gazette_matches(records(spark, d, "content"), people(spark, d), "record_id", "content", most=2)
+    return entities.gazette_matches(records(spark, d, "content"), gazette(spark, d), "record_id", "content", MOST)
 
 
 @query("e4_capitalised", f"WITH {_ONCE} SELECT word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(content, '[ \\n]+')) AS word FROM once) WHERE regexp_full_match(word, '[A-Z][a-z]+') GROUP BY word")
@@ -361,67 +384,76 @@ def v2_dense(spark, d):
     return retrieval.dense(rows.filter("id % 20 = 0"), rows, 5).select("qid", "chunk", "score", "rank")
 
 
-def _entity_stream(spark: SparkSession, d: str) -> DataFrame:
-    found = entities.gazette_matches(asked(spark, d), people(spark, d), "qid", "question", most=2).select("qid", F.col("name").alias("entity"), F.lit(True).alias("exact"))
-    said = e2_gazette(spark, d).select(F.col("name").alias("entity"), F.col("record_id").alias("chunk"), F.lit(1.0).alias("confidence"))
-    return retrieval.entity_search(found, said)
+@query("v2_text_dense", f"WITH {_ASKED}, {_ONCE}, {_DENSE} SELECT qid, chunk, score, rank FROM dense_list")
+def v2_text_dense(spark, d):
+    """Records by the vectors of their texts: questions as the stated set of queries."""
+    return answering.by_vector(asked(spark, d), answering.vectors(records(spark, d, "content")), 50).select("qid", "chunk", "score", "rank")
+
+
+@query("v2_contextual", f"WITH {_ASKED}, {_ONCE}, {_vectors('asked_cells', 'qid', 'question', 'asked')}, {_CONTEXTUAL} SELECT qid, chunk, score, rank FROM contextual_list")
+def v2_contextual(spark, d):
+    """Records by the vectors of their texts with the titles they stand under."""
+    known = answering.vectors(records(spark, d, "content", "document_title", "section_title"), contextual=True)
+    return answering.by_vector(asked(spark, d), known, 50).select("qid", "chunk", "score", "rank")
+
+
+def _archive(spark: SparkSession, d: str) -> DataFrame:
+    """Evidence with what retrieval reads of it, made unique once for all streams."""
+    return cut(records(spark, d, "content", "document_id", "document_title", "section_title", "source_category"))
 
 
 @query("v3_entity_search", f"WITH {_ASKED}, {_ONCE}, {_ENTITY} SELECT qid, chunk, score, rank FROM entity_list")
 def v3_entity_search(spark, d):
-    return _entity_stream(spark, d).select("qid", "chunk", "score", "rank")
+    only = answering.Config(lexical=False, dense=False, contextual=False)
+    rows, names = records(spark, d, "content"), gazette(spark, d)
+    return answering.streams(asked(spark, d), rows, names, answering.mentioned(rows, names), only)[0].select("qid", "chunk", "score", "rank")
 
 
-_FUSED = """every_ AS (SELECT qid, chunk, rank, 0 AS stream FROM lexical UNION ALL SELECT qid, chunk, rank, 1 FROM entity_list),
-    fused AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, first_.stream, first_.rank, chunk) AS rank FROM (SELECT qid, chunk, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score, count(*) AS streams, min(struct_pack(stream := stream, rank := rank)) AS first_ FROM every_ GROUP BY qid, chunk))"""
+_FUSED = """every_ AS (SELECT qid, chunk, rank, 0 AS stream FROM lexical UNION ALL SELECT qid, chunk, rank, 1 FROM dense_list UNION ALL SELECT qid, chunk, rank, 2 FROM contextual_list UNION ALL SELECT qid, chunk, rank, 3 FROM entity_list),
+    fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, first_.stream, first_.rank, chunk) AS rank FROM (SELECT qid, chunk, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score, count(*) AS streams, min(struct_pack(stream := stream, rank := rank)) AS first_ FROM every_ GROUP BY qid, chunk)) WHERE rank <= 100)"""
+_STREAMS = f"{_BM25}, {_DENSE}, {_CONTEXTUAL}, {_ENTITY}, {_FUSED}"
 
 
-def _fused(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.fused([v1_bm25(spark, d), v3_entity_search(spark, d)])
+def _fused(spark: SparkSession, d: str, rows: DataFrame) -> DataFrame:
+    rows, names = rows.filter("content is not null"), gazette(spark, d)
+    return retrieval.fused(answering.streams(asked(spark, d), rows, names, answering.mentioned(rows, names), answering.Config()))
 
 
-@query("v4_rrf", f"WITH {_BM25}, {_ENTITY}, {_FUSED} SELECT qid, chunk, score, rank, streams FROM fused WHERE rank <= 100")
+@query("v4_rrf", f"WITH {_STREAMS} SELECT qid, chunk, score, rank, streams FROM fused")
 def v4_rrf(spark, d):
-    return _fused(spark, d)
-
+    """The lexical, dense, contextual and entity streams of 50 each, fused."""
+    return _fused(spark, d, _archive(spark, d))
 
-_DIVERSE = "diverse AS (SELECT qid, chunk, row_number() OVER (PARTITION BY qid ORDER BY (NOT kept)::INT, rank) AS rank FROM (SELECT f.qid, f.chunk, f.rank, f.rank <= 3 OR row_number() OVER (PARTITION BY f.qid, coalesce(document_id, document_title, 'unknown') ORDER BY f.rank) <= 3 AS kept FROM fused f JOIN once ON record_id = chunk WHERE f.rank <= 100))"
 
+_DIVERSE = """diverse AS (SELECT qid, chunk, CASE WHEN n > 20 THEN row_number() OVER (PARTITION BY qid ORDER BY (NOT kept)::INT, rank) ELSE rank END AS rank FROM (SELECT f.qid, f.chunk, f.rank, count(*) OVER (PARTITION BY f.qid) AS n,
+        f.rank <= 3 OR row_number() OVER (PARTITION BY f.qid, coalesce(document_id, document_title, 'unknown') ORDER BY f.rank) <= 3 AS kept FROM fused f JOIN once ON record_id = chunk))"""
 
-def _diverse(spark: SparkSession, d: str) -> DataFrame:
-    about = records(spark, d, "document_id", "document_title").select(F.col("record_id").alias("chunk"), F.coalesce("document_id", "document_title", F.lit("unknown")).alias("document"))
-    return retrieval.diversified(_fused(spark, d).join(about, "chunk"), "document").select("qid", "chunk", "rank")
 
-
-@query("v5_diversity", f"WITH {_BM25}, {_ENTITY}, {_FUSED}, {_DIVERSE} SELECT qid, chunk, rank FROM diverse")
+@query("v5_diversity", f"WITH {_STREAMS}, {_DIVERSE} SELECT qid, chunk, rank FROM diverse")
 def v5_diversity(spark, d):
-    return _diverse(spark, d)
+    rows = _archive(spark, d)
+    about = rows.select(F.col("record_id").alias("chunk"), F.coalesce("document_id", "document_title", F.lit("unknown")).alias("document"))
+    return answering.diversified(_fused(spark, d, rows).join(about, "chunk"), answering.Config()).select("qid", "chunk", "rank")
 
 
 @query("v8_hybrid", f"""
-    WITH {_BM25}, {_ENTITY}, {_FUSED}, {_DIVERSE}, size_ AS (SELECT qid, count(*) AS n FROM terms GROUP BY qid), hit AS (SELECT d.qid, d.chunk, d.rank, count(c.term) AS n FROM diverse d JOIN terms t ON t.qid = d.qid LEFT JOIN counts c ON c.term = t.term AND c.chunk = d.chunk WHERE d.rank <= 30 GROUP BY ALL)
-    SELECT qid, chunk, score, rank, before FROM (SELECT qid, chunk, score, before, row_number() OVER (PARTITION BY qid ORDER BY score DESC, before) AS rank FROM (SELECT hit.qid, chunk, hit.rank AS before, round(hit.n / size_.n, 6) AS score FROM hit JOIN size_ USING (qid))) WHERE rank <= 10""")
+    WITH {_STREAMS}, {_DIVERSE}, size_ AS (SELECT qid, count(*) AS n FROM terms GROUP BY qid), hit AS (SELECT d.qid, d.chunk, d.rank, count(c.term) AS n FROM diverse d LEFT JOIN terms t ON t.qid = d.qid LEFT JOIN counts c ON c.term = t.term AND c.chunk = d.chunk WHERE d.rank <= 30 GROUP BY ALL)
+    SELECT qid, chunk, score, rank, before FROM (SELECT qid, chunk, score, before, row_number() OVER (PARTITION BY qid ORDER BY score DESC, before) AS rank FROM (SELECT hit.qid, chunk, hit.rank AS before, round(hit.n / greatest(coalesce(size_.n, 0), 1), 6) AS score FROM hit LEFT JOIN size_ USING (qid))) WHERE rank <= 20""")
 def v8_hybrid(spark, d):
-    """Lexical and entity streams, fused, diversified and reranked: the ten best records of every question."""
-    return retrieval.reranked(_diverse(spark, d), asked(spark, d), records(spark, d, "content"), "record_id", "content")
-
-
-@query("v8_whole")
-def v8_whole(spark, d):
-    """Hybrid retrieval at its full depth: 50 of each of the lexical, dense and entity streams, the first 100 fused, 30 reranked, 20 kept."""
-    return answering.retrieved(asked(spark, d), records(spark, d, "content", "document_id", "document_title"), people(spark, d))
+    """Hybrid retrieval at its full depth: 50 of each of the lexical, dense, contextual and entity streams, the first 100 fused, 30 reranked, 20 kept."""
+    return answering.retrieved(asked(spark, d), _archive(spark, d), gazette(spark, d))
 
 
 @query("v10_interleaved", f"""
     WITH {_BM25}, {_ENTITY}, i AS (SELECT qid, chunk, min(struct_pack(rank := rank, stream := stream)) AS first_ FROM (SELECT qid, chunk, rank, 0 AS stream FROM lexical UNION ALL SELECT qid, chunk, rank, 1 FROM entity_list) GROUP BY qid, chunk)
-    SELECT qid, chunk, rank FROM (SELECT qid, chunk, row_number() OVER (PARTITION BY qid ORDER BY first_.rank, first_.stream) AS rank FROM i) WHERE rank <= 20""")
+    SELECT qid, chunk, rank FROM (SELECT qid, chunk, row_number() OVER (PARTITION BY qid ORDER BY first_.rank, first_.stream) AS rank FROM i) WHERE rank <= 40""")
 def v10_interleaved(spark, d):
-    return retrieval.interleaved(v1_bm25(spark, d), v3_entity_search(spark, d), 20)
+    return retrieval.interleaved(v1_bm25(spark, d), v3_entity_search(spark, d), 40)
 
 
 @query("v9_multi_hop")
 def v9_multi_hop(spark, d):
-    return answering.multi_hop(asked(spark, d), records(spark, d, "content", "document_id", "document_title"), people(spark, d))
+    return answering.multi_hop(asked(spark, d), _archive(spark, d), gazette(spark, d))
 
 
 @query("v6_reranked")
@@ -431,21 +463,11 @@ def v6_reranked(spark, d):
     return retrieval.reranked(ranked, asked(spark, d), records(spark, d), "record_id", "content", 30, 20)
 
 
-@query("v2_text_dense")
-def v2_text_dense(spark, d):
-    """Records by the vectors of their texts: questions as the stated set of queries."""
-    vector = lambda c: providers.embedded(F.col(c))
-    ids = asked(spark, d).withColumn("id", F.xxhash64("qid"))
-    rows = records(spark, d, "content").filter("trim(content) <> ''").select(F.col("record_id").alias("id"), vector("content").alias("vector"))
-    found = retrieval.dense(ids.select("id", vector("question").alias("vector")), rows.filter(F.exists("vector", lambda x: x != 0)), 10)
-    return found.join(ids.select(F.col("id").alias("q"), F.col("qid").alias("name")), F.col("qid") == F.col("q")).select(F.col("name").alias("qid"), "chunk", "score", "rank")
-
-
 # --- evidence
 
 @query("x18_answers")
 def x18_answers(spark, d):
-    return answering.answers(asked(spark, d), records(spark, d), people(spark, d))
+    return answering.answers(asked(spark, d), records(spark, d), gazette(spark, d))
 
 
 @query("x1_sources")
@@ -607,7 +629,8 @@ def a4_top_entities(spark, d):
 
 @query("a5_entity_chunks", f"WITH {_NAMED} SELECT id, count(DISTINCT chunk_id) AS chunks, array_to_string(list_sort(list(DISTINCT chunk_id))[1:20], ',') AS first_chunks FROM named WHERE chunk_id IS NOT NULL GROUP BY id")
 def a5_entity_chunks(spark, d):
-    return entities.links(table(spark, d, "extracted_entities")).groupBy("id").agg(F.count_distinct("chunk_id").alias("chunks"), F.array_join(F.slice(F.array_sort(F.collect_set("chunk_id")), 1, 20), ",").alias("first_chunks"))
+    rows = entities.links(table(spark, d, "extracted_entities")).select("id", "chunk_id").distinct()
+    return rows.groupBy("id").agg(F.count("*").alias("chunks")).join(graph.first_few(rows, ["id"], "chunk_id", 20, "first_chunks"), "id")
 
 
 @query("a8_document_files", """

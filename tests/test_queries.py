@@ -8,7 +8,7 @@ from tests.oracle import of_sql, same
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, data, name):
-    frame = QUERIES[name](spark, data).toPandas()
+    frame = QUERIES[name](spark, data).toArrow()
     if name in SQL:
         same(frame, of_sql(SQL[name], data))
 
