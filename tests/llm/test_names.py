@@ -14,6 +14,31 @@ def test_kinds_of_names(name, kind):
     assert (found and found[0]) == kind
 
 
+TAKEN_APART = [
+    ("Northwind Traders GmbH", "O", ["gmbh", "northwind", "traders"]), ("Acme Ltd", "O", ["acme", "limited"]), ("ACME Limited", "O", ["acme", "limited"]), ("Acme Pty Ltd.", "O", ["acme", "limited"]), ("Banco Sol S.A.", "O", ["banco", "sa", "sol"]),
+    ("Juan de la Cruz", "P", ["juan", "de la cruz"]), ("de la Cruz, Juan", "P", ["juan", "de la cruz"]), ("Cruz, Juan de la", "P", ["juan", "de la cruz"]), ("Maria de la Cruz", "P", ["maria", "de la cruz"]), ("Ludwig van Beethoven", "P", ["ludwig", "van beethoven"]),
+    ("Dr. Anna Maria Reed Jr.", "P", ["anna maria", "reed"]), ("Jean-Paul Oar", "P", ["jean paul", "oar"]), ("Provsot Lubolol Sevelkizo", "P", ["lubolol", "sevelkizo"]), ("Ana Sa", "P", ["ana", "sa"]),
+]
+
+
+@pytest.mark.parametrize("name, kind, parts", TAKEN_APART)
+def test_parts_of_names(name, kind, parts):
+    assert parse(name) == (kind, parts)
+
+
+def test_nicknames_particles_and_forms(spark):
+    entities = [
+        (1, "William Henry Reedson", []), (2, "Bill Reedson", []), (3, "W. H. Reedson", None), (4, "William Reedson", []),
+        (10, "Juan de la Cruz", []), (11, "de la Cruz, Juan", []), (12, "Maria de la Cruz", []), (13, "Johann van Beethoven", []), (14, "Ludwig van Beethoven", []),
+        (20, "Acme Ltd", []), (21, "ACME Limited", []), (22, "Acme GmbH", []), (23, "Northwind Traders GmbH", []), (24, "Northwind Traders G.m.b.H.", []),
+        (30, "Margaret Oarholt", []), (31, "Peggy Oarholt", []), (32, "Robert Oarholt", []),
+    ]
+    got = {r.row_id: r.entity_id for r in linked_names(*frames(spark, entities, [])).collect()}
+    assert got == {2: 1, 3: 1, 4: 1, 11: 10, 21: 20, 24: 23, 31: 30}
+    without = {r.row_id: r.entity_id for r in linked_names(*frames(spark, entities, []), nicknames={}).collect()}
+    assert 31 not in without and without[11] == 10
+
+
 def frames(spark, entities, mentions):
     return spark.createDataFrame([(*e, "x") for e in entities], "entity_id long, name string, aliases array<string>, kind string"), spark.createDataFrame([(*m, 1) for m in mentions], "mention_id long, name string, mentions array<string>, row_id int")
 
