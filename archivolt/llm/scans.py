@@ -28,6 +28,8 @@ CONFUSIONS = [
 ODD = "@+|"
 # Letters read for digits, and the digits.
 LETTERS, DIGITS = "lIOSBoiZ|", "110580121"
+#: Code points are taken modulo this, so that no sum gets too large; what falls together is told apart letter by letter.
+MODULUS = 1021
 HYPHENS = "-‐¬­"
 #: How much more frequent a word must be than what is taken for its misreading.
 RATIO = 5
@@ -37,12 +39,12 @@ _ROMAN = "^m{0,3}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})$"
 
 
 def anagram(word: str) -> Column:
-    """The anagram hash of a column of words; -1 for words with characters beyond the European alphabets."""
-    return F.expr(f"CASE WHEN {word} rlike '[^\\\\u0000-\\\\u03ff]' THEN -1L ELSE aggregate(transform(split({word}, ''), c -> cast(pow(ascii(c), 5) AS bigint)), 0L, (a, x) -> a + x) END")
+    """The anagram hash of a column of words of any script."""
+    return F.expr(f"aggregate(transform(split({word}, ''), c -> cast(pow(ascii(c) % {MODULUS}, 5) AS bigint)), 0L, (a, x) -> a + x)")
 
 
 def _value(text: str) -> int:
-    return sum(ord(c) ** 5 for c in text)
+    return sum((ord(c) % MODULUS) ** 5 for c in text)
 
 
 def _bare(word: str) -> Column:
@@ -51,12 +53,18 @@ def _bare(word: str) -> Column:
     return F.when(bare.rlike(r"[\p{L}\p{N}]"), bare).otherwise("")
 
 
+def _filed(pages: DataFrame) -> DataFrame:
+    """``pages`` with ``file``, a hash of what they belong together by (document and path; a page without either is by itself), and ``title``, what the file's name says."""
+    # several documents may have files of one path
+    owner = F.col("document_id") if "document_id" in pages.columns else F.lit(None).cast("string")
+    alone = F.when(owner.isNull() & F.col("file_path").isNull(), F.col("page_id").cast("string"))
+    title = F.regexp_replace(F.regexp_replace(F.element_at(F.split(F.coalesce("file_path", F.lit("")), "/"), -1), r"\..*$", ""), "_", " ")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.xxhash64(F.coalesce("file_path", F.lit("")), F.coalesce(owner, F.lit("")), F.coalesce(alone, F.lit(""))).alias("file"), _skeleton(title).alias("title"), F.coalesce("page_number", F.lit(0)).alias("page"), "text").filter("page_id is not null and text is not null")
+
+
 def _lines(pages: DataFrame) -> DataFrame:
     """(page_id, file, page, line_no, line, top, bottom): all lines; top and bottom count the non-blank ones from either end."""
-    # several documents may have files of one path
-    owner = F.coalesce(F.col("document_id"), F.lit("")) if "document_id" in pages.columns else F.lit("")
-    file = F.concat(F.coalesce("file_path", F.lit("")), F.lit("#"), owner)
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), file.alias("file"), F.coalesce("page_number", F.lit(0)).alias("page"), F.split("text", "\n").alias("lines")).filter("page_id is not null and lines is not null")
+    rows = pages.withColumn("lines", F.split("text", "\n"))
     full = F.expr("filter(sequence(0, size(lines) - 1), i -> trim(regexp_replace(lines[i], '[\\\\s\\\\u00a0]+', ' ')) <> '')")
     rows = rows.withColumn("full", full).select("page_id", "file", "page", "full", F.posexplode("lines").alias("at", "line"))
     place = F.array_position("full", F.col("at")).cast("int")
@@ -72,12 +80,13 @@ def _skeleton(line: Column) -> Column:
     return F.translate(x, "10596ecbſi8", "loSgbcchslb")
 
 
-def edges(lines: DataFrame) -> DataFrame:
-    """(page_id, line_no, kind): the running lines and page numbers."""
+def edges(lines: DataFrame, files: DataFrame) -> DataFrame:
+    """(page_id, line_no, kind): the running lines and page numbers. ``files`` has (file, title), the skeleton of what a file's name says."""
     edge = lines.filter(f"(top between 1 and {EDGE} or bottom between 1 and {EDGE}) and length(line) < 200").withColumn("side", F.when(F.col("top").between(1, EDGE), 1).otherwise(2))
     edge = edge.withColumn("bare", F.trim(F.regexp_replace("line", r"[^\p{L}\p{N}]+", " ")))
     # page numbers: in step with the pages of the file
     # "Page" and the like may stand before it
+    edge = cut(edge)
     edge = edge.withColumn("said", F.regexp_extract("bare", r"^(\p{L}{1,6}) \S+$", 1)).withColumn("bare", F.regexp_replace("bare", r"^\p{L}{1,6} (?=\S+$)", ""))
     number = edge.filter(r"""bare rlike '^(\\p{L}|\\p{N}){1,9}$' and (said = '' or bare rlike '[0-9]') and not line rlike '[.,;:!?"]\\s*$' and (translate(bare, 'lIOSBoiZ|', '110580121') rlike '^[0-9]{1,5}$' or lower(bare) rlike '%s')""" % _ROMAN)
     roman = F.lower("bare")
@@ -91,18 +100,25 @@ def edges(lines: DataFrame) -> DataFrame:
     steps = number.groupBy("file", "step").agg(F.count_distinct("page").alias("pages")).groupBy("file").agg(F.max(F.struct("pages", "step")).alias("m"))
     decorated = F.trim("line").rlike(r"^[^\p{L}\p{N}\s]+\s*\S+\s*[^\p{L}\p{N}\s]+$")
     numbered = number.join(steps, "file").filter((F.col("step") == F.col("m.step")) & (F.col("m.pages") > 1) | decorated | ((F.col("m.pages") == 1) & F.col("bare").rlike("[0-9]") & (F.levenshtein(F.lower("said"), F.lit("page")).isin(0, 1, 4)))).select("page_id", "line_no").distinct()
+    numbered = cut(numbered)
     # running lines: again on another page of the file
     rest = edge.withColumn("skeleton", _skeleton(F.col("line"))).filter("length(skeleton) >= 6").join(numbered, ["page_id", "line_no"], "left_anti")
     rest = cut(rest.select("page_id", "file", "page", "line_no", "line", "side", "top", "skeleton"))
     again = rest.groupBy("file", "side", "skeleton").agg(F.count_distinct("page").alias("pages")).filter("pages > 1").select("file", "side", F.col("skeleton").alias("known"))
-    title = _skeleton(F.regexp_replace(F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"(\.|#).*$", ""), "_", " "))
-    named = rest.filter("page > 1").select("file", "side", title.alias("known")).distinct()
+    named = files.filter("length(title) > 0").select("file", F.explode(F.array(F.lit(1), F.lit(2))).alias("side"), F.col("title").alias("known"))
     known = again.withColumn("from", F.lit(0)).unionByName(named.withColumn("from", F.lit(2))).distinct()
-    close = (F.levenshtein("skeleton", "known") <= F.greatest(F.lit(1), F.floor(F.length("known") * 0.2))) & (F.col("page") >= F.col("from"))
-    first = rest.join(known, ["file", "side"]).filter(close).select("page_id", "line_no").distinct()
-    # the other of two alternating titles may stand on one page only: written like a title, above the text
+    # of the skeletons of a file, each once
+    most = F.greatest(F.lit(1), F.floor(F.length("known") * 0.2)).cast("int")
+    different = rest.groupBy("file", "side", "skeleton").agg(F.max("page").alias("last"))
+    close = (F.col("last") >= F.col("from")) & (F.abs(F.length("skeleton") - F.length("known")) <= most)
+    alike = different.join(known, ["file", "side"]).filter(close).filter(F.levenshtein("skeleton", "known") <= most).groupBy("file", "side", "skeleton").agg(F.min("from").alias("from"))
+    first = cut(rest.join(alike, ["file", "side", "skeleton"]).filter("page >= from").select("page_id", "line_no", "file", "page", "side").distinct())
+    # the other of two alternating titles may stand on one page only: written like a title, above the text, while all running lines
+    # that are known there stand on pages of the other side of the leaf
     capital = F.col("line").rlike(r"\p{Lu}+\s+.*\p{Lu}") & ~F.col("line").rlike(r"\p{Ll}{2}")
-    lone = rest.filter(capital & (F.col("top") == 1) & (F.col("page") > 1)).select("page_id", "line_no")
+    leaves = first.filter("side = 1").groupBy("file").agg(F.min(F.col("page") % 2).alias("low"), F.max(F.col("page") % 2).alias("high"))
+    lone = rest.filter(capital & (F.col("top") == 1) & (F.col("page") > 1)).join(leaves, "file").filter("low = high and low <> page % 2").select("page_id", "line_no")
+    first = first.select("page_id", "line_no")
     # a number set off from a title by a gap
     spaced = rest.filter(F.col("line").rlike(rf"^[\[(]?[0-9{LETTERS}]{{1,4}}[\])]?\s{{2,}}\p{{Lu}}.*[^.,;:!?\s]$|^\p{{Lu}}.*[^.,;:!?\s]\s{{2,}}[\[(]?[0-9{LETTERS}]{{1,4}}[\])]?\s*$") & F.col("line").rlike("[0-9]")).select("page_id", "line_no")
     running = first.unionByName(lone).unionByName(spaced).distinct()
@@ -117,7 +133,7 @@ def corrections(words: DataFrame, asked: DataFrame) -> DataFrame:
         changes += [(x, y, u, v, _value(y) - _value(x) + _value(v) - _value(u)) for u, v in CONFUSIONS[i:]]
     # a fixed list of values in the plan, not a table to be joined
     table = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip("xyuvg", c, strict=True)]) for c in changes])
-    rare = asked.filter("length(word) >= 2 and not word rlike '^[0-9.,-]+$'").withColumn("hash", anagram("word")).filter("hash >= 0")
+    rare = asked.filter("length(word) >= 2 and not word rlike '^[0-9.,-]+$'").withColumn("hash", anagram("word"))
     fits = F.filter(table, lambda c: F.contains(F.col("word"), c.x) & F.contains(F.col("word"), c.u))
     tried = rare.withColumn("c", F.explode(fits)).select("word", "n", "c.x", "c.y", "c.u", "c.v", (F.col("hash") + F.col("c.g")).alias("hash"))
     frequent = words.filter("length(word) >= 2 and not word rlike '[0-9]'").select(F.col("word").alias("right"), F.col("n").alias("m"), anagram("word").alias("hash"))
@@ -138,14 +154,17 @@ def _numbers(word: str) -> Column:
 class Scans:
     """The findings on a table of pages; each part is a DataFrame."""
 
-    def __init__(self, pages: DataFrame):
-        pages = pages.filter("text is not null")
+    def __init__(self, pages: DataFrame, marks: bool = False):
+        """With ``marks`` the words are kept with the marks around them as well."""
         scanned = F.coalesce(F.col("format").contains("scan"), F.lit(False))
-        lines = _lines(pages.filter(scanned))
-        self.edges = cut(edges(lines))
-        body = lines.join(self.edges, ["page_id", "line_no"], "left_anti").filter("top > 0")
-        tokens = body.select("page_id", "file", "page", "line_no", F.posexplode(F.split(F.trim(F.regexp_replace("line", r"[\s ]+", " ")), " ")).alias("at", "token"))
+        filed = _filed(pages.filter(scanned))
+        lines = cut(_lines(filed))
+        self.edges = cut(edges(lines, filed.select("file", "title").distinct()))
+        body = cut(lines.join(self.edges, ["page_id", "line_no"], "left_anti").filter("top > 0").drop("top", "bottom"))
+        tokens = body.select("page_id", "line_no", F.posexplode(F.split(F.trim(F.regexp_replace("line", r"[\s ]+", " ")), " ")).alias("at", "token"))
         tokens = tokens.withColumn("word", _bare("token"))
+        if not marks:
+            tokens = tokens.drop("token")
         # the lines' ends that break a word, and what follows them
         ends = body.select("page_id", "file", "page", "line_no", F.rtrim("line").alias("line"))
         by = Window.partitionBy("page_id").orderBy("line_no")
@@ -165,7 +184,7 @@ class Scans:
         last = F.max("at").over(Window.partitionBy("page_id", "line_no"))
         tokens = tokens.withColumn("last", last).join(halves, ["page_id", "line_no"], "left")
         self.tokens = cut(tokens.withColumn("half", F.coalesce((F.col("starts") & (F.col("at") == 0)) | (F.col("breaks") & (F.col("at") == F.col("last"))), F.lit(False))).drop("starts", "breaks"))
-        native = pages.filter(~scanned).select(F.explode(F.split("text", r"[\s ]+")).alias("token")).select(_bare("token").alias("word"))
+        native = pages.filter(~scanned & F.col("text").isNotNull()).select(F.explode(F.split("text", r"[\s ]+")).alias("token")).select(_bare("token").alias("word"))
         seen = self.tokens.filter("not half").select("word").unionByName(native).filter("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
         seen = cut(seen)
         wanted = broken.select(F.explode(F.array("joined", "hyphened")).alias("word")).distinct().join(seen, "word", "left_anti").select("word", F.lit(0).cast("long").alias("n"))
@@ -190,7 +209,8 @@ def noise(pages: DataFrame) -> DataFrame:
     """(page_id, line_no, kind, word): what is wrong on the scanned pages.
 
     Only pages whose format says that they are scans are looked at. Null and empty texts have no lines. A page extracted
-    twice gives its rows under each page_id; equal rows count once. Pages belong together by document_id (if there is one) and file_path.
+    twice gives its rows under each page_id; equal rows count once. Pages belong together by document_id (if there is one) and file_path;
+    a page with neither is a file by itself.
     """
     s = Scans(pages)
     found = s.edges.select("page_id", F.col("line_no").cast("int").alias("line_no"), "kind", F.lit("").alias("word"))
@@ -203,7 +223,7 @@ def repaired(pages: DataFrame) -> DataFrame:
 
     Lines are joined; a word that runs on to the next page stands whole on the page where it begins. Pages without text have no rows.
     """
-    s = Scans(pages)
+    s = Scans(pages, marks=True)
     right = s.misread().withColumnRenamed("word", "right")
     tokens = s.tokens.join(right, ["page_id", "line_no", "at"], "left")
     marks = F.regexp_extract("token", r"^([^\p{L}\p{N}]*)", 1), F.regexp_extract("token", r"([^\p{L}\p{N}]*)$", 1)

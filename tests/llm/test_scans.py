@@ -54,3 +54,22 @@ def test_anagram_corrections(spark):
     words = spark.createDataFrame([("timber", 90), ("ledger", 50), ("gallery", 50), ("east", 40), ("cast", 40)], "word string, n long")
     asked = spark.createDataFrame([("tirnber", 1), ("led9er", 1), ("ga11ery", 2), ("cast", 40), ("remibt", 1), ("漢字", 1)], "word string, n long")
     assert {(r.word, r.right) for r in corrections(words, asked).collect()} == {("tirnber", "timber"), ("led9er", "ledger"), ("ga11ery", "gallery")}
+
+
+def test_a_heading_that_stands_once_stays(spark):
+    """Capitals at the top of a page are a running line only as the other of two alternating titles."""
+    words = "dyke harbour lantern vellum bridge orchard kettle compass ribbon cellar".split()
+    body = lambda i: f"the {words[i % 10]} of {words[i % 7]} was never finished\nby the {words[(i * 3) % 10]} and its {words[(i + 4) % 10]}."
+    rows = [(p, "a/roll.pdf", p, f"ANNALS OF VEPLAZA\n\n{body(p)}") for p in (2, 4, 6)] + [(3, "a/roll.pdf", 3, f"LETTER OF TARSON\n\n{body(3)}"), (12, "a/other.pdf", 2, f"THE SECOND BOOK\n\n{body(12)}"), (13, "a/other.pdf", 3, body(15))]
+    # pages of no file are not each other's
+    rows += [(20 + i, None, 2, f"THE THIRD BOOK\n\n{body(1)}") for i in range(4)]
+    df = spark.createDataFrame([(i, p, n, t, "scan_pdf") for i, p, n, t in rows], "page_id long, file_path string, page_number int, text string, format string")
+    got = {r.page_id for r in noise(df).filter("kind = 'running_line'").collect()}
+    assert got == {2, 3, 4, 6}
+
+
+def test_words_of_any_script(spark):
+    """Rare misreadings are found whatever the script of the word."""
+    rows = [(i, f"f{i}", 1, "слово1i дом слово1i дом", "scan_pdf") for i in range(1, 2)] + [(i, f"f{i}", 1, "словоli дом словоli дом словоli", "native") for i in range(2, 30)]
+    df = spark.createDataFrame(rows, "page_id long, file_path string, page_number int, text string, format string")
+    assert {r.word for r in noise(df).filter("kind = 'misread'").collect()} == {"словоli"}
