@@ -18,9 +18,8 @@ Rows of one n-gram pass the length filter, the positional filter and a filter on
 pair is then verified once on the words themselves.
 
 What is asked for are groups, so not every pair of a group is needed. An n-gram whose rows make more than
-``PER_ROW`` candidates a row (a template with many variants) gives only those; what is left of its sets once these
-links are known is first tried against the n-gram's smallest set and then, over all such n-grams together, met on
-the parts of a partition of the words, of which two similar sets have one in common, with sets of other components
+``PER_ROW`` candidates a row (a template with many variants) gives only those, between rows near each other in the order; if its sets
+are not one component once these links are known, they are met, over all such n-grams together, on the parts of a partition of the words, of which two similar sets have one in common, with sets of other components
 only. Representatives stand for components there, and where they don't settle it more rows are tried, so that the
 groups are those that all pairs would give.
 """
@@ -54,6 +53,8 @@ SIZE_BITS = 10
 #: Bits of a row's key that hold the n-gram's place in its set.
 PLACE_BITS = 10
 LARGE = (1 << SIZE_BITS) - 1
+#: 64-bit words of the finer signature by which the sets of crowded n-grams are compared, and rows of a part of which all pairs are.
+FINE, FEW = 2, 64
 _MIX = 0x9E3779B97F4A7C15
 _WORD = re.compile(r"[^\W_]+")
 
@@ -199,12 +200,15 @@ def _similar(sig_a: np.ndarray, sig_b: np.ndarray, pos_a: np.ndarray, pos_b: np.
 def _pairs(t: float, per_row: int, longest: int):
     """Pairs the rows of each n-gram in a stream sorted by (key, sid); rows of crowded n-grams pass through as well."""
 
-    def close(key, sid, sig, pos):
-        """Batches of candidate pairs, then the rows of crowded n-grams."""
+    def close(key, sid, sig, pos, hot):
+        """Batches of candidate pairs, then the rows of crowded n-grams; ``hot`` is one for certain."""
         begins = np.concatenate([[True], key[1:] != key[:-1]])
         number = np.cumsum(begins) - 1
         rows = np.diff(np.append(np.flatnonzero(begins), len(key)))
         found, crowded = np.zeros(len(rows), np.int64), np.zeros(len(rows), bool)
+        large = rows > 2 * longest
+        if hot is not None:
+            large |= key[begins] == hot
         at, step, held, size = np.arange(len(key) - 1), 1, [], 0
         while len(at):
             at = at[(at + step) < len(key)]
@@ -216,7 +220,7 @@ def _pairs(t: float, per_row: int, longest: int):
                 size += len(ok)
                 np.add.at(found, number[ok], 1)
             if step % 8 == 0:
-                crowded |= (found > per_row * rows) | (rows > 2 * longest)
+                crowded |= (found > per_row * rows) | large
                 if step >= longest:
                     crowded[number[at]] = True
                 at = at[~crowded[number[at]]]
@@ -226,6 +230,7 @@ def _pairs(t: float, per_row: int, longest: int):
             step += 1
         if held:
             yield paired(held)
+        crowded |= large
         if crowded.any():
             on = crowded[number]
             yield batch(sid[on], None, key[on], sig[on])
@@ -253,11 +258,10 @@ def _pairs(t: float, per_row: int, longest: int):
             last = int(np.searchsorted(key, key[-1]))  # the last n-gram may go on
             done = slice(0, last)
             yield from flush(key[done], sid[done], sig[done], pos[done], hot)
-            if len(key) - last > 2 * longest or key[-1] == hot:  # too long for a task to hold: crowded
+            if len(key) - last > 2 * longest or key[-1] == hot:  # too long for a task to hold: crowded; a few rows are kept to link what follows
                 hot = key[-1]
-                yield batch(sid[last:], None, key[last:], sig[last:])
-                held, count = [], 0
-                continue
+                yield from flush(key[last:], sid[last:], sig[last:], pos[last:], hot)
+                last = max(last, len(key) - 8)
             held, count = [(key[last:], sid[last:], sig[last:], pos[last:])], len(key) - last
         if held:
             yield from flush(*(np.concatenate(c) for c in zip(*held, strict=True)), hot)
@@ -267,12 +271,7 @@ def _pairs(t: float, per_row: int, longest: int):
             return
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (sid[1:] != sid[:-1]) | (pos[1:] != pos[:-1])])  # copies of a set once
         key, sid, sig, pos = key[new], sid[new], sig[new], pos[new]
-        on = key == hot if hot is not None else np.zeros(len(key), bool)
-        if on.any():
-            yield batch(sid[on], None, key[on], sig[on])
-            key, sid, sig, pos = key[~on], sid[~on], sig[~on], pos[~on]
-        if len(key):
-            yield from close(key, sid, sig, pos)
+        yield from close(key, sid, sig, pos, hot)
 
     return run
 
@@ -300,6 +299,22 @@ def _columns(x: pa.RecordBatch, known: dict[str, int]):
     return _hashed(x.column("id").to_pylist(), x.column("text").to_pylist(), known)
 
 
+def _marked(rows: DataFrame, column: str):
+    """A broadcast bitmap of fixed size of the numbers in a column, modulo its size."""
+    cell = f"pmod({column}, {SEEN_BITS})"
+    marks = rows.groupBy(F.expr(f"cast({cell} div 64 as long)").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({cell} % 64 as int))")).alias("bits"))
+    table = np.zeros(SEEN_BITS // 64, np.int64)
+    for w, bits in marks.collect():  # at most SEEN_BITS / 64 rows, however many numbers
+        table[w] = bits
+    return rows.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+
+
+def _among(x: pa.RecordBatch, column: str, table: np.ndarray) -> pa.RecordBatch:
+    """The rows whose number may be one of those marked."""
+    at = np.mod(x.column(column).to_numpy(), SEEN_BITS)
+    return x.filter(pa.array(((table[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1)).astype(bool)))
+
+
 class Texts:
     """Texts by id, with the hash of each one's set of words, and how often words occur: one pass over them."""
 
@@ -330,19 +345,12 @@ class Texts:
     def sets(self, sids: DataFrame) -> DataFrame:
         """(sid, tokens) of a table of sids: only texts that one of them needs are taken apart and shuffled."""
         ids = sids.join(self.lead, "sid").select("id")
-        cell = f"pmod(id, {SEEN_BITS})"
-        marks = ids.groupBy(F.expr(f"cast({cell} div 64 as long)").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({cell} % 64 as int))")).alias("bits"))
-        table = np.zeros(SEEN_BITS // 64, np.int64)
-        for w, bits in marks.collect():  # at most SEEN_BITS / 64 rows, however many ids
-            table[w] = bits
-        wanted = self.rows.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+        wanted = _marked(ids, "id")
 
         def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known: dict[str, int] = {}
             for x in batches:
-                at = np.mod(x.column("id").to_numpy(), SEEN_BITS)
-                on = (wanted.value[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1)
-                _, sids, sizes, tokens = _columns(x.filter(pa.array(on.astype(bool))), known)
+                _, sids, sizes, tokens = _columns(_among(x, "id", wanted.value), known)
                 if len(sids):
                     ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([pa.array(sids), pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens))], ["sid", "tokens"])
@@ -392,37 +400,35 @@ def linking_pairs(texts: Texts, t: float = 0.8, expected: float = 128.0, per_row
 
 
 def _crowded(texts: Texts, links: DataFrame, crowded: DataFrame, t: float) -> DataFrame:
-    """``links`` and as many more as the sets of crowded n-grams (key, sid, sig) need to be joined as all their pairs would."""
+    """``links`` and as many more as the sets of crowded n-grams (key, sid) need to be joined as all their pairs would."""
 
     def placed(rows: DataFrame, of: DataFrame) -> DataFrame:
         return rows.join(of.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
 
-    def known(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    rows = placed(crowded, connected_components(links))
-    pivot = rows.groupBy("key").agg(F.min_by(F.struct("sid", "sig", "component"), "sid").alias("p"))
-    star = rows.join(pivot, "key").filter("component <> p.component").filter(_fits("sig", "p.sig", t))
-    links = cut(links.unionByName(_verified(texts, known(star.select(F.col("sid").alias("a"), F.col("p.sid").alias("b"))), t)))
-    rows = cut(placed(crowded, connected_components(links)))
+    of = connected_components(links)
+    # an n-gram all of whose sets are one component is done
+    rows = placed(crowded.select("key", "sid"), of)
     mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    rest = cut(rows.join(mixed, "key").select("sid", "sig").distinct())
+    rest = cut(rows.join(mixed, "key").select("sid").distinct())
     if rest.isEmpty():
         return links
-    parts = cut(texts.sets(rest.select("sid")).mapInArrow(_parted(t), "part long, sid long").join(rest, "sid"))
+    # with their components before they are stored, as they are in the order of the join then
+    sets = cut(placed(texts.sets(rest), of))
     most, spark = 4, texts.rows.sparkSession
     while True:
-        here = placed(parts, connected_components(links)).repartition(width(spark), "part").sortWithinPartitions("part", "component", "sid")
-        met = cut(here.select("part", "component", "sid", "sig").mapInArrow(_across(t, most), "a long, b long"))
-        more = _verified(texts, known(met.filter("b is not null")), t)
-        links = cut(links.unionByName(more))
+        parts = sets.select("sid", "component", "tokens").mapInArrow(_parted(t), "part long, component long, sid long, sig long, fine binary")
+        met = cut(parts.repartition(width(spark), "part").sortWithinPartitions("part", "component", "sid").mapInArrow(_across(t, most), "a long, b long"))
+        pairs = met.filter("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = cut(pairs)
+        links = links.unionByName(cut(_alike(pairs, _of(pairs, sets), t)))
         if met.filter("b is null").isEmpty():
             return links
+        sets = cut(placed(sets.drop("component"), connected_components(links)))
         most *= 8  # components that their first rows didn't join: more of them
 
 
 def _parted(t: float):
-    """(part, sid): keys of which any two sets (sid, tokens) with a similarity of at least ``t`` have one in common.
+    """(part, component, sid, sig, fine): keys of which any two sets (sid, component, tokens) with a similarity of at least ``t`` have one in common.
 
     Sizes are divided into classes, such that similar sets are of one class or of two neighbouring ones. Two similar sets of
     up to N words differ in at most ``2 N (1 - t) / (1 + t)`` words, so that of one part more, into which all words are
@@ -432,7 +438,8 @@ def _parted(t: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begins = [1]
         for x in batches:
-            for sid, tokens in zip(x.column("sid").to_pylist(), x.column("tokens"), strict=True):
+            all_keys, sizes, sigs, fine = [], [], [], []
+            for tokens in x.column("tokens"):
                 words = _mixed(tokens.values.to_numpy(zero_copy_only=False).view(np.uint64))
                 while begins[-1] <= len(words):
                     begins.append(int(begins[-1] / t + 1e-9) + 1)
@@ -445,8 +452,16 @@ def _parted(t: float):
                     sums = np.zeros(many, np.uint64)
                     np.add.at(sums, ((words >> np.uint64(33)) % np.uint64(many)).astype(np.int64), _mixed(words))
                     keys.append(_mixed(sums + np.uint64(level * _MIX % 2**64) + (np.arange(many, dtype=np.uint64) << np.uint64(40))))
-                keys = np.concatenate(keys).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), sid))], ["part", "sid"])
+                bits = np.bitwise_xor.reduce(np.uint64(1) << (words >> np.uint64(20)) % np.uint64(64 - SIZE_BITS))
+                finer = np.zeros(FINE, np.uint64)
+                np.bitwise_xor.at(finer, (words & np.uint64(FINE - 1)).astype(np.int64), np.uint64(1) << (words >> np.uint64(8)) % np.uint64(64))
+                fine.append(finer.tobytes())
+                sigs.append((int(bits) << SIZE_BITS) | min(len(words), LARGE))
+                all_keys.append(np.concatenate(keys).view(np.int64))
+                sizes.append(len(all_keys[-1]))
+            if sizes:
+                of = lambda c: pa.array(np.repeat(c, sizes))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(all_keys)), of(x.column("component").to_numpy()), of(x.column("sid").to_numpy()), of(np.array(sigs, np.uint64).view(np.int64)), pa.array(fine, pa.binary()).take(of(np.arange(len(fine))))], ["part", "component", "sid", "sig", "fine"])
 
     return run
 
@@ -455,14 +470,21 @@ def _across(t: float, most: int):
     """Pairs of sets of one part and different components, in a stream sorted by (part, component, sid): of every two components
     the first ``most`` that pass the filters; where there are more, a row without b says so."""
 
-    def of_part(component, sid, sig):
+    zero = np.zeros(1, np.int64)
+
+    def near(sig, fine, x, y):
+        n, m = (sig[x] & np.uint64(LARGE)).astype(np.int64), (sig[y] & np.uint64(LARGE)).astype(np.int64)
+        odd = np.bitwise_count(fine[x] ^ fine[y]).sum(axis=1)
+        return _similar(sig[x], sig[y], zero, zero, t) & ((odd <= n + m - 2 * np.ceil(t * (n + m) / (1 + t) - 1e-9)) | (np.maximum(n, m) == LARGE))
+
+    def of_part(component, sid, sig, fine):
         edge = np.flatnonzero(np.concatenate([[True], component[1:] != component[:-1], [True]]))
-        cols, zero = np.arange(len(sid)), np.zeros(1, np.int64)
+        cols = np.arange(len(sid))
         for low, high in zip(edge[:-2].tolist(), edge[1:-1].tolist(), strict=True):
             taken = np.zeros(len(edge), np.int64)  # of each later component
             number = np.searchsorted(edge, cols[high:], side="right")
             for i in range(low, high):
-                ok = _similar(sig[i : i + 1], sig[high:], zero, zero, t)
+                ok = near(sig, fine, np.full(len(number), i), cols[high:])
                 if not ok.any():
                     continue
                 to = number[ok]
@@ -470,40 +492,47 @@ def _across(t: float, most: int):
                 rank = np.arange(len(to)) - np.repeat(begin, np.diff(np.append(begin, len(to)))) + taken[to]
                 np.add.at(taken, to, 1)
                 kept = sid[high:][ok][rank < most]
-                if len(kept):
-                    yield np.full(len(kept), sid[i]), kept, bool((rank >= most).any())
-                elif (rank >= most).any():
-                    yield np.empty(0, np.int64), kept, True
+                yield np.full(len(kept), sid[i]), kept, bool((rank >= most).any())
                 if (taken[number[0] :] >= most).all():  # each later component has had its share of this one
-                    yield np.empty(0, np.int64), np.empty(0, np.int64), i + 1 < high
+                    yield kept[:0], kept[:0], i + 1 < high
                     break
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
 
+        def pairs(a, b):
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
         def flush(rows):
-            part, component, sid, sig = (np.concatenate(c) for c in zip(*rows, strict=True))
-            sig = sig.view(np.uint64)
+            part, component, sid, sig, fine = (np.concatenate(c) for c in zip(*rows, strict=True))
             edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
-            a, b, more = [np.empty(0, np.int64)], [np.empty(0, np.int64)], False
-            for low, high in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            size = np.diff(edge)
+            # in small parts all pairs, a step at a time over all of them
+            at, step = np.flatnonzero(np.repeat(size <= FEW, size)), 1
+            while len(at):
+                at = at[(at + step) < len(part)]
+                at = at[part[at] == part[at + step]]
+                x = at[component[at] != component[at + step]]
+                x = x[near(sig, fine, x, x + step)]
+                if len(x):
+                    yield pairs(sid[x], sid[x + step])
+                step += 1
+            more = False
+            for low, high in zip(edge[:-1][size > FEW].tolist(), edge[1:][size > FEW].tolist(), strict=True):
                 if component[low] == component[high - 1]:
                     continue
-                for x, y, left in of_part(component[low:high], sid[low:high], sig[low:high]):
-                    a.append(x)
-                    b.append(y)
+                for x, y, left in of_part(component[low:high], sid[low:high], sig[low:high], fine[low:high]):
+                    if len(x):
+                        yield pairs(x, y)
                     more |= left
-                if sum(map(len, a)) > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
-                    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
             if more:
-                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.nulls(1, pa.int64())], ["a", "b"])
+                yield pairs([0], [None])
 
         for x in batches:
             if not x.num_rows:
                 continue
-            held.append([x.column(c).to_numpy() for c in ("part", "component", "sid", "sig")])
+            fine = np.frombuffer(b"".join(x.column("fine").to_pylist()), np.uint64).reshape(-1, FINE)
+            held.append([*(x.column(c).to_numpy() for c in ("part", "component", "sid")), x.column("sig").to_numpy().view(np.uint64), fine])
             if sum(len(c[0]) for c in held) < 100_000:
                 continue
             rows = [np.concatenate(c) for c in zip(*held, strict=True)]
@@ -517,17 +546,19 @@ def _across(t: float, most: int):
     return run
 
 
-def _fits(x: str, y: str, t: float) -> Column:
-    n, m = F.col(x).bitwiseAND(LARGE), F.col(y).bitwiseAND(LARGE)
-    o = F.ceil(F.lit(t) * (n + m) / (1 + t) - 1e-9)
-    odd = F.bit_count(F.shiftrightunsigned(F.col(x).bitwiseXOR(F.col(y)), SIZE_BITS))
-    return ((F.least(n, m) >= o) & (odd <= n + m - 2 * o)) | (F.greatest(n, m) == LARGE)
-
-
 def _verified(texts: Texts, pairs: DataFrame, t: float) -> DataFrame:
     """The pairs whose words really are that similar; each is looked at once."""
     pairs = cut(pairs)
-    sets = texts.sets(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct())
+    return _alike(pairs, texts.sets(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()), t)
+
+
+def _of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the sets that stand in pairs: others needn't be moved."""
+    wanted = _marked(pairs.select(F.explode(F.array("a", "b")).alias("sid")), "sid")
+    return sets.mapInArrow(lambda batches: (_among(x, "sid", wanted.value) for x in batches), sets.schema)
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
     x, y = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("sid").alias("b"), F.col("tokens").alias("tb"))
     same = F.size(F.array_intersect("ta", "tb"))
     return pairs.join(x, "a").join(y, "b").filter(same >= F.lit(t) * (F.size("ta") + F.size("tb") - same) - 1e-9).select("a", "b")

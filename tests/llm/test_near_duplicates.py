@@ -7,7 +7,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from archivolt.llm.near_duplicates import Texts, _across, _parted, breaks, linking_pairs, near_duplicate_groups, sure_length
+from archivolt.llm import near_duplicates
+from archivolt.llm.near_duplicates import FINE, Texts, _across, _parted, breaks, linking_pairs, near_duplicate_groups, sure_length
 
 
 def plain(rows, t=0.8):
@@ -104,18 +105,21 @@ def test_similar_sets_share_a_part():
                 if not more or len(one & more) < 0.8 * len(one | more):
                     break
                 other = more
-            x = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([sorted(one), sorted(other)], pa.list_(pa.int64()))], ["sid", "tokens"])
-            a, b = (set(y.column("part").to_pylist()) for y in _parted(0.8)(iter([x])))
+            x = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([1, 2]), pa.array([sorted(one), sorted(other)], pa.list_(pa.int64()))], ["sid", "component", "tokens"])
+            rows = next(_parted(0.8)(iter([x]))).to_pylist()
+            a, b = ({r["part"] for r in rows if r["sid"] == i} for i in (1, 2))
             assert a & b
 
 
 @pytest.mark.parametrize("most", [1, 3, 100])
-def test_pairs_across_components(most):
+def test_pairs_across_components(most, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "FEW", 0)
     rng = np.random.default_rng(most)
     part, component = np.sort(rng.integers(0, 3, 60)), rng.integers(0, 4, 60)
     order = np.lexsort((component, part))
     cols = [part[order], component[order], np.arange(60), np.full(60, 10)]
-    got = [r for x in _across(0.8, most)(iter([pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["part", "component", "sid", "sig"])])) for r in x.to_pylist()]
+    x = pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array([bytes(8 * FINE)] * 60)], ["part", "component", "sid", "sig", "fine"])
+    got = [r for y in _across(0.8, most)(iter([x])) for r in y.to_pylist()]
     for p in range(3):
         for c in range(4):
             for d in range(c + 1, 4):
