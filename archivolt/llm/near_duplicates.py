@@ -559,9 +559,16 @@ def _of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
+    # parities of the words over 256 bits first: they are small to move, and few pairs are left whose words are
+    parity = [F.expr(f"aggregate(filter(tokens, w -> (w & 3) = {i}), 0L, (acc, w) -> acc ^ shiftleft(1L, cast(shiftright(w, 2) & 63 AS int)))") for i in range(4)]
+    marks = sets.select("sid", F.struct(F.size("tokens").alias("n"), *[p.alias(f"p{i}") for i, p in enumerate(parity)]).alias("m"))
+    met = pairs.join(marks.select(F.col("sid").alias("a"), F.col("m").alias("x")), "a").join(marks.select(F.col("sid").alias("b"), F.col("m").alias("y")), "b")
+    odd = sum((F.bit_count(F.col(f"x.p{i}").bitwiseXOR(F.col(f"y.p{i}"))) for i in range(4)), F.lit(0))
+    both = F.col("x.n") + F.col("y.n")
+    pairs = met.filter(odd <= both - 2 * F.ceil(F.lit(t) * both / (1 + t) - 1e-9)).select("a", "b")
     x, y = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("sid").alias("b"), F.col("tokens").alias("tb"))
     same = F.size(F.array_intersect("ta", "tb"))
-    return pairs.join(x, "a").join(y, "b").filter(same >= F.lit(t) * (F.size("ta") + F.size("tb") - same) - 1e-9).select("a", "b")
+    return pairs.join(y, "b").join(x, "a").filter(same >= F.lit(t) * (F.size("ta") + F.size("tb") - same) - 1e-9).select("a", "b")
 
 
 def near_duplicate_groups(df: DataFrame, key: str, text: str, t: float = 0.8, per_row: int = PER_ROW, longest: int = LONGEST) -> DataFrame:
