@@ -50,8 +50,8 @@ _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 _JOINED = re.compile(r"[^\s.,_/@\d]*[.,_/@\d]+[^\s.,!?;:]")
 #: The beginning of a left side without an end mark.
 _NO_MARK = "~"
-#: Before capitals behind a small letter or a digit, and spaces between characters of scripts without them.
-_BARE = re.compile(r"(?<=[a-z0-9ß-öø-ÿа-яёα-ωά-ώ])\s+(?=[A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω])|(?<=[\u3041-\u30ff\u3400-\u9fff])[ \u3000]+(?=[\u3041-\u30ff\u3400-\u9fff])")
+# Behind a small letter or a digit, before a word; and spaces between characters of scripts without them.
+_BEHIND, _WITHIN = r"\s(?<=[a-z0-9ß-öø-ÿа-яёα-ωά-ώ]\s)\s*", r"[ \u3000](?<=[\u3041-\u30ff\u3400-\u9fff].)[ \u3000]*(?=[\u3041-\u30ff\u3400-\u9fff])"
 _DIGITS = re.compile(r"\d+(?:[.,:]\d+)*")
 
 
@@ -110,11 +110,11 @@ def _spans(text: str, low: int, high: int) -> list[tuple[int, int]]:
     return found
 
 
-def slots(text: str, low: int, high: int, openers: frozenset[str] | None = None) -> list[tuple[int, int, str, str]]:
+def slots(text: str, low: int, high: int, bare: re.Pattern | None = None) -> list[tuple[int, int, str, str]]:
     """(end, next, left, right) of the slots of the paragraph text[low:high]: where a sentence would end and the next begin.
 
-    With ``openers``, words that begin sentences, also those where an end mark may be missing: before such a word in
-    capitals, and at spaces within scripts that have none.
+    With ``bare`` also those that it finds, where an end mark may be missing: before words in capitals that open sentences, and at
+    spaces within scripts that have none.
     """
     found = []
     spans = _spans(text, low, high)
@@ -165,18 +165,15 @@ def slots(text: str, low: int, high: int, openers: frozenset[str] | None = None)
         if _TOGETHER.match(text[high - 1]):
             found.append((high, high, " " + _left(text, low, high)[-12:], ""))
         found.sort()
-    if openers is not None:
-        bare = []
-        for m in _BARE.finditer(text, low, high):
+    if bare is not None:
+        more = []
+        for m in bare.finditer(text, low, high):
             at, nxt = m.start(), m.end()
             if any(a <= at < b for a, b in spans):
                 continue
-            if text[nxt] >= "぀":
-                bare.append((at, nxt, _NO_MARK + "c", _right(text, nxt)))
-            elif (right := _right(text, nxt)) in openers:
-                bare.append((at, nxt, _NO_MARK + text[text.rfind(" ", low, at) + 1 : at], right))
-        if bare:
-            found = sorted(found + bare)
+            more.append((at, nxt, _NO_MARK + ("c" if text[nxt] >= "぀" else "w"), _right(text, nxt)))
+        if more:
+            found = sorted(found + more)
     return found
 
 
@@ -219,7 +216,8 @@ class Model:
         self.p_kind = {k: min(0.98, max(0.002, all_ends[k] / (self.share[k[:1]] * n))) for k, n in self.all_left.items()}
         self.cache: dict[tuple[str, str, bool], float] = {}
         # words that stand at beginnings so much more than within that they tell one also where no mark is
-        self.openers = frozenset(w for w, n in self.first.items() if n >= 5 and w[:1].isupper() and self._ratio(w, False) > UNMARKED)
+        openers = sorted(w for w, n in self.first.items() if n >= 5 and w[:1].isupper() and self._ratio(w, False) > UNMARKED)
+        self.bare = re.compile((rf"{_BEHIND}(?=(?:{'|'.join(map(re.escape, openers))})(?!\w))|" if openers else "") + _WITHIN)
 
     def _p(self, ends: int, n: int, token: str, all_ends: Counter) -> float:
         kind, share = _kind(token), self.share[token[:1]]
@@ -304,7 +302,7 @@ def divide(text: str, model: Model) -> list[tuple[int, int]]:
         low, high = m.start(), m.end()
         while high > low and text[high - 1].isspace():
             high -= 1
-        here = [s for s in slots(text, low, high, model.openers) if s[1] < high]
+        here = [s for s in slots(text, low, high, model.bare) if s[1] < high]
         if here:
             folded = _folded(text[low:high])
             # a piece without capitals may stand in a paragraph that has some
