@@ -44,6 +44,49 @@ def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int =
     return pieces.withColumn("token_count", token_count(F.col("chunk")))
 
 
+def chunks_by_category(docs: DataFrame, key: str = "doc_id", most: int = 512, overlap: int = 100) -> DataFrame:
+    """(key, position, section_title, chunk, token_count, page, line_start, line_end): each document's chunks as its category asks.
+
+    ``docs`` has (key, title, source_category, text). The wiki is cut at headings, and a section into paragraphs only if it has more than ``most`` tokens;
+    chronicles and the codex at headings, each section into paragraphs with overlap; before the codex's sections its tables (rows "| a | b |") stand whole,
+    as chunks "Table: title"; other texts are paragraphs under their title. Positions run through a document; page and line are estimates from the position
+    (lines for the wiki only, else null). Null and blank texts have no chunks. Nothing is shuffled: a document is cut up where it is read.
+    """
+    category = F.lower(F.coalesce("source_category", F.lit("")))
+    paragraphs = lambda t: _fold(F.split(t, "\n\n"), most, overlap)
+    piece = lambda title, t: F.struct(title.alias("section_title"), t.alias("chunk"), t.alias("counted"))
+    none = F.array().cast("array<struct<section_title:string,chunk:string,counted:string>>")
+    sections = F.transform(F.split("text", r"(?m)^(?=#{1,6}\s)"), lambda s: F.struct(F.nullif(F.trim(F.regexp_extract(s, r"^#{1,6}\s+([^\n]*)", 1)), F.lit("")).alias("title"), F.trim(F.regexp_replace(s, r"^#{1,6}\s[^\n]*\n?", "")).alias("body")))
+    sections = F.filter(sections, lambda s: s["body"].rlike(r"\S"))
+    of_section = lambda s: F.transform(paragraphs(s["body"]), lambda c: piece(s["title"], c))
+    whole = lambda s: F.array(piece(s["title"], s["body"]))
+    cells = lambda row: F.array_join(F.transform(F.split(F.regexp_replace(F.trim(row), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c)), " | ")
+    tables = F.transform(F.regexp_extract_all("text", F.lit(r"(?m)((?:^[ \t]*\|[^\n]*\|[ \t]*(?:\n|$))+)")), lambda t: F.array_join(F.transform(F.filter(F.split(t, "\n"), lambda r: r.rlike(r"\S")), cells), "\n"))
+    tabled = F.transform(tables, lambda t: F.struct(F.lit("Data Table").alias("section_title"), F.concat(F.lit("Table: "), F.coalesce("title", F.lit("")), F.lit("\n"), t).alias("chunk"), t.alias("counted")))
+    cut_up = (
+        F.when(category == "wiki", F.flatten(F.transform(sections, lambda s: F.when(token_count(s["body"]) > most, of_section(s)).otherwise(whole(s)))))
+        .when(category == "chronicles", F.flatten(F.transform(sections, of_section)))
+        .when(category == "codex", F.concat(tabled, F.flatten(F.transform(sections, of_section))))
+        .otherwise(F.transform(paragraphs(F.trim("text")), lambda c: piece(F.col("title"), c)))
+    )
+    rows = docs.filter(F.col("text").rlike(r"\S")).select(F.col(key).alias(key), category.alias("category"), F.posexplode(F.coalesce(cut_up, none)).alias("position", "c")).select(key, "category", "position", "c.*")
+    start = F.when(F.col("category") == "wiki", F.col("position") * 25 + 1)
+    lines = F.greatest(F.lit(1), F.size(F.split("chunk", "\n")))
+    return rows.select(key, "position", "section_title", "chunk", token_count(F.col("counted")).alias("token_count"), F.greatest(F.lit(1), F.floor(F.col("position") / 2).cast("int") + 1).alias("page"), start.alias("line_start"), (start + lines).alias("line_end"))
+
+
+def picture_chunk(name: Column, kind: Column, description: Column, figures: Column) -> Column:
+    """A text that stands for a picture in retrieval: whom it shows, its kind, its description and its figures (a map); what is null or empty is left out."""
+    listed = F.array_join(F.transform(F.map_entries(figures), lambda e: F.concat(e["key"], F.lit(": "), e["value"].cast("string"))), ", ")
+    return F.concat_ws(
+        "\n",
+        F.concat(F.lit("Visual Archive Record: "), F.coalesce(F.nullif(name, F.lit("")), F.lit("Artwork"))),
+        F.concat(F.lit("Asset Type: "), F.initcap(F.regexp_replace(kind, "_", " "))),
+        F.concat(F.lit("Description: "), F.nullif(description, F.lit(""))),
+        F.concat(F.lit("Recorded Data: "), F.nullif(listed, F.lit(""))),
+    )
+
+
 def prefixes(chunked: DataFrame, title: str, section: str, names: str) -> DataFrame:
     """Adds ``prefix``: where a chunk stands and who is named in it. ``names`` is an array of struct(name, type); nulls and repetitions are dropped."""
     said = F.array_distinct(F.transform(F.filter(F.col(names), lambda e: e["name"].isNotNull()), lambda e: F.concat(F.trim(e["name"]), F.lit(" ["), F.initcap(F.coalesce(e["type"], F.lit("unknown"))), F.lit("]"))))

@@ -122,6 +122,25 @@ def sufficiency(questions: DataFrame, numbered: DataFrame) -> DataFrame:
     return rows.select("qid", "records", "documents", "coverage", level.alias("level"))
 
 
+def state_sufficiency(states: DataFrame, items: DataFrame) -> DataFrame:
+    """(qid, records, documents, missing, coverage, level): whether what was gathered for a question bears an answer.
+
+    ``states`` has (qid, kind, names, hops): the question's type, the names in it and how many hops found something; ``items`` (qid, rank, document_id,
+    document_title, content). The names must stand in the ten best; composed questions also need two documents and two hops. A question for which nothing
+    was gathered has coverage 0 and is INSUFFICIENT; one without names has none missing.
+    """
+    ten = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("rank") <= 10, F.struct("rank", F.lower(F.concat_ws(" ", "document_title", "content")).alias("t"))))), lambda x: x.t), " ")
+    have = items.groupBy("qid").agg(F.count("*").alias("records"), F.greatest(F.count_distinct("document_id"), F.count_distinct("document_title")).alias("documents"), ten.alias("text"))
+    rows = states.join(have, "qid", "left").withColumn("records", F.coalesce("records", F.lit(0))).withColumn("documents", F.coalesce("documents", F.lit(0)))
+    rows = rows.withColumn("missing", F.size(F.filter("names", lambda n: ~F.contains(F.coalesce("text", F.lit("")), F.lower(n)))))
+    held = 1 - F.col("missing") / F.greatest(F.size("names"), F.lit(1))
+    of = lambda level, coverage: F.struct(F.lit(level).alias("level"), F.lit(coverage).alias("coverage"))
+    composed = F.when((F.col("documents") >= 2) & (held >= 0.8) & (F.col("hops") >= 2), of("HIGH", 0.95)).when((F.col("documents") >= 2) & (held >= 0.5), of("MEDIUM", 0.65)).when((F.col("documents") >= 1) & (held >= 0.5), of("LOW", 0.4)).otherwise(of("INSUFFICIENT", 0.1))
+    plain = F.when(held >= 0.8, of("HIGH", 1.0)).when(held >= 0.5, of("MEDIUM", 0.6)).otherwise(of("LOW", 0.3))
+    said = F.when(F.col("records") == 0, of("INSUFFICIENT", 0.0)).when(F.col("kind") == "multi_hop", composed).otherwise(plain)
+    return rows.withColumn("s", said).select("qid", "records", "documents", "missing", "s.coverage", "s.level")
+
+
 def claims(records: DataFrame, key: str = "record_id", text: str = "content") -> DataFrame:
     """(key, claim_no, subject, predicate, object, strength): what the rules find in each text, numbered by rule and place."""
     rows = records.select(F.col(key), F.col(text).alias("text"), F.coalesce("source_characteristics.claim_strength", F.lit("assertion")).alias("own"))

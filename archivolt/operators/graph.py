@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from archivolt.functions.text import entity_id
 from archivolt.operators.entities import distinct_mentions
 
 # Fields of an information box, their relation, and whether it runs from the page to the field's name.
@@ -56,6 +57,22 @@ def infobox_relations(pages: DataFrame, title: str, text: str) -> DataFrame:
     return met.select(F.when(F.col("forward"), F.col("page")).otherwise(F.col("name")).alias("source"), "relation", F.when(F.col("forward"), F.col("name")).otherwise(F.col("page")).alias("target")).filter("lower(source) <> lower(target)").distinct()
 
 
+def stored(relations: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(source_id, target_id, relation, confidence, seq): relations (source, target, relation, confidence, seq) between the nodes they mean.
+
+    A name means the node that ``found`` (asked, id) says, else the one whose id is made from it. Relations that lack a name, are not a name in capitals, or of
+    which an end is no node (``nodes``: id) are left out. One edge stands per relation and ends: the last by seq, and of equal ones the one most confident.
+    """
+    clean = relations.withColumn("relation", F.upper(F.trim("relation"))).filter("source <> '' and target <> '' and relation rlike '^[A-Z_][A-Z0-9_]*$'")
+    said = found.groupBy("asked").agg(F.min("id").alias("id"))
+    end = lambda df, name: df.join(said.select(F.col("asked").alias(name), F.col("id").alias("met")), name, "left").withColumn(f"{name}_id", F.coalesce("met", entity_id(F.col(name)))).drop("met")
+    rows = end(end(clean, "source"), "target")
+    there = nodes.select("id").distinct()
+    rows = rows.join(there.withColumnRenamed("id", "source_id"), "source_id").join(there.withColumnRenamed("id", "target_id"), "target_id")
+    last = F.struct("seq", "confidence", "source", "target")
+    return rows.groupBy("source_id", "target_id", "relation").agg(F.max(last).alias("r")).select("source_id", "target_id", "relation", "r.confidence", "r.seq")
+
+
 def undirected(edges: DataFrame) -> DataFrame:
     """(edge, a, b) in both directions."""
     return edges.select("edge", F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(edges.select("edge", F.col("dst").alias("a"), F.col("src").alias("b")))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from archivolt.functions import text as T
-from archivolt.operators import chunking, entities, evidence, graph, metrics, questions, retrieval
+from archivolt.operators import chunking, entities, evidence, graph, metrics, naming, questions, retrieval
 from archivolt.plans import answering
 from archivolt.plans.session import cut
 from archivolt.sources import files
@@ -336,13 +336,9 @@ def q2_lexical_query(spark, d):
     return asked(spark, d).select("qid", questions.lexical_query(F.col("question"), questions.names(F.col("question"))).alias("query"))
 
 
-_any = lambda ps: "(?i)" + "|".join(ps).replace("'", "''")
-
-
-@query("q3_composed", f"WITH {_ASKED} SELECT qid, CASE WHEN regexp_matches(question, '{_any(questions.COMPARISON)}') THEN 'comparison' WHEN regexp_matches(question, '{_any(questions.MULTI_HOP)}') THEN 'multi_hop' ELSE 'other' END AS kind FROM asked WHERE regexp_matches(question, '^[ -~]*$')")
+@query("q3_composed")
 def q3_composed(spark, d):
-    kind = questions.kind(F.col("question"), F.array().cast("array<string>"))
-    return asked(spark, d).filter(F.col("question").rlike("^[ -~]*$")).select("qid", F.when(kind == "simple", "other").otherwise(kind).alias("kind"))
+    return asked(spark, d).select("qid", questions.kind(F.col("question"), questions.names(F.col("question"))).alias("kind"))
 
 
 @query("q4_sub_questions")
@@ -641,3 +637,244 @@ def a8_document_files(spark, d):
     first = lambda t, c, n: table(spark, d, t).filter(f"document_id is not null and {c} is not null").groupBy(F.col("document_id").alias("id")).agg(F.min(c).alias(n))
     rows = table(spark, d, "documents").select("doc_id", "id", "source_path").join(first("page_contents", "file_path", "p"), "id", "left").join(first("evidence_records", "source_file", "e"), "id", "left")
     return rows.select("doc_id", F.coalesce("source_path", "p", "e").alias("path"))
+
+
+# --- ingestion: chunks by category, gazette, entities of texts, aliases, stored relations
+
+def _counted(text: str) -> str:
+    return f"greatest(1, floor(len(regexp_extract_all({text}, '\\S+')) * 1.3))::BIGINT"
+
+
+def _folded(paragraphs: str, most: int = 512, overlap: int = 100) -> str:
+    """SQL of a list of paragraphs gathered into chunks, with overlap."""
+    held = "list_transform({}.held, lambda h: h.p)"
+    joined = lambda a: f"array_to_string({held.format(a)}, chr(10) || chr(10))"
+    pieces = f"list_transform(list_filter(list_transform({paragraphs}, lambda p: trim(p)), lambda p: p <> ''), lambda p: struct_pack(held := [struct_pack(p := p, n := {_counted('p')})], size := {_counted('p')}, done := []::VARCHAR[]))"
+    tail = f"a.held[list_min(list_filter(range(1, len(a.held) + 2), lambda i: coalesce(list_sum(list_transform(a.held[i:], lambda h: h.n)), 0) <= {overlap})):]"
+    state = "struct_pack(held := list_concat({0}, x.held), size := (coalesce(list_sum(list_transform({0}, lambda h: h.n)), 0) + x.size)::BIGINT, done := {1})"
+    step = f"CASE WHEN len(a.held) > 0 AND a.size + x.size > {most} THEN {state.format(tail, f'list_append(a.done, {joined("a")})')} ELSE {state.format('a.held', 'a.done')} END"
+    start = "struct_pack(held := []::STRUCT(p VARCHAR, n BIGINT)[], size := 0::BIGINT, done := []::VARCHAR[])"
+    # a list of one is unpacked, so that the fold is computed once
+    return f"list_transform([list_reduce({pieces}, lambda a, x: {step}, {start})], lambda f: CASE WHEN len(f.held) > 0 THEN list_append(f.done, {joined('f')}) ELSE f.done END)[1]"
+
+
+SQL["t2_chunks"] = f"""
+    WITH c AS (SELECT doc_id, {_folded("string_split_regex(text, '\\n\\s*\\n')")} AS c FROM documents WHERE text IS NOT NULL)
+    SELECT doc_id, (position - 1)::INT AS position, chunk, {_counted('chunk')}::INT AS token_count FROM (SELECT doc_id, unnest(c) AS chunk, generate_subscripts(c, 1) AS position FROM c)"""
+
+_PIECES = "list_transform({c}, lambda c: struct_pack(section_title := {t}, chunk := c, counted := c))"
+
+
+@query("t3_chunks_by_category", f"""
+    WITH d AS (SELECT doc_id, title, lower(coalesce(source_category, '')) AS category, text, list_filter(list_transform(string_split(regexp_replace(text, '(?m)^(#{{1,6}}\\s)', chr(1) || '\\1', 'g'), chr(1)), lambda s: struct_pack(title := nullif(trim(regexp_extract(s, '^#{{1,6}}\\s+([^\\n]*)', 1)), ''), body := trim(regexp_replace(s, '^#{{1,6}}\\s[^\\n]*\\n?', '')))), lambda s: regexp_matches(s.body, '\\S')) AS sections,
+        list_transform(regexp_extract_all(text, '(?m)((?:^[ \\t]*\\|[^\\n]*\\|[ \\t]*(?:\\n|$))+)', 1), lambda t: array_to_string(list_transform(list_filter(string_split(t, chr(10)), lambda r: regexp_matches(r, '\\S')), lambda r: array_to_string(list_transform(string_split(regexp_replace(trim(r), '^\\||\\|$', '', 'g'), '|'), lambda c: trim(c)), ' | ')), chr(10))) AS tables FROM documents WHERE regexp_matches(text, '\\S')),
+    p AS (SELECT doc_id, category, CASE category WHEN 'wiki' THEN flatten(list_transform(sections, lambda s: CASE WHEN {_counted('s.body')} > 512 THEN {_PIECES.format(c=_folded("string_split(s.body, chr(10) || chr(10))"), t='s.title')} ELSE [struct_pack(section_title := s.title, chunk := s.body, counted := s.body)] END))
+        WHEN 'chronicles' THEN flatten(list_transform(sections, lambda s: {_PIECES.format(c=_folded("string_split(s.body, chr(10) || chr(10))"), t='s.title')}))
+        WHEN 'codex' THEN list_concat(list_transform(tables, lambda t: struct_pack(section_title := 'Data Table', chunk := 'Table: ' || coalesce(title, '') || chr(10) || t, counted := t)), flatten(list_transform(sections, lambda s: {_PIECES.format(c=_folded("string_split(s.body, chr(10) || chr(10))"), t='s.title')})))
+        ELSE {_PIECES.format(c=_folded("string_split(trim(text), chr(10) || chr(10))"), t='title')} END AS pieces FROM d),
+    u AS (SELECT doc_id, category, unnest(pieces) AS c, (generate_subscripts(pieces, 1) - 1)::INT AS position FROM p)
+    SELECT doc_id, position, c.section_title AS section_title, c.chunk AS chunk, {_counted('c.counted')}::INT AS token_count, greatest(1, position // 2 + 1)::INT AS page, CASE WHEN category = 'wiki' THEN position * 25 + 1 END::INT AS line_start,
+        CASE WHEN category = 'wiki' THEN position * 25 + 1 + len(string_split(c.chunk, chr(10))) END::INT AS line_end FROM u""")
+def t3_chunks_by_category(spark, d):
+    return chunking.chunks_by_category(table(spark, d, "documents"))
+
+
+_SPOKEN = "array_to_string(list_transform(list_filter(string_split({}, '_'), lambda w: w <> ''), lambda w: upper(w[1]) || lower(w[2:])), ' ')"
+_BOXED = " ".join(f"WHEN list_contains([{', '.join(repr(f) for f in fs)}], f) THEN '{t}'" for t, fs in naming.BOX.items())
+
+
+@query("e1_gazette", f"""
+    WITH f AS (SELECT source_path AS path, string_split(source_path, '/')[1] AS folder, regexp_replace(list_extract(string_split(source_path, '/'), -1), '\\.[^.]+$', '') AS stem, lower(regexp_extract(source_path, '\\.([^.]+)$', 1)) AS format, coalesce(text, '') AS text FROM documents WHERE source_path IS NOT NULL),
+    w AS (SELECT path, stem, regexp_extract(stem, '^wiki_(person|faction|place|creature|artifact|event|organization)_', 1) AS kind, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l,
+        list_filter(list_transform(regexp_extract_all(text, '(?m)^[ \\t]*\\|+[ \\t]*([^|\\n]*[^|\\s])', 1), lambda x: lower(x)), lambda f: (CASE {_BOXED} END) IS NOT NULL)[1] AS f FROM f WHERE folder = 'wiki' AND format = 'md'),
+    h AS (SELECT path, {_SPOKEN.format("regexp_replace(stem, '^wiki_(person|faction|place|creature|artifact|event|organization)_', '')")} AS own, coalesce(nullif(upper(kind), ''), CASE {_BOXED} END, 'UNKNOWN') AS t,
+        trim(regexp_replace(CASE WHEN regexp_matches(trim(regexp_replace(l[1], '^[# ]+', '')), '^!\\[.+?\\]') THEN trim(regexp_extract(trim(regexp_replace(l[1], '^[# ]+', '')), '^!\\[(.*?)\\]', 1)) WHEN l[1] LIKE '#%' THEN trim(regexp_replace(l[1], '^[# ]+', '')) WHEN l[2] LIKE '#%' THEN trim(regexp_replace(l[2], '^[# ]+', '')) END, '(?i)\\s*\\((?:faction|character|conflict|location|place)\\)', '', 'g')) AS heading FROM w),
+    n AS (SELECT 1 AS turn, path, unnest([coalesce(nullif(heading, ''), own), own]) AS name, t FROM h UNION ALL SELECT 0, path, {_SPOKEN.format('stem')}, 'DOCUMENT' FROM f WHERE folder = 'codex' AND format = 'pdf'),
+    b AS (SELECT turn, path, name, t FROM n UNION ALL SELECT turn, path, name[5:], t FROM n WHERE turn = 1 AND lower(name) LIKE 'the %')
+    SELECT name, first(t ORDER BY turn, path, t) AS entity_type FROM b WHERE name <> '' GROUP BY name""")
+def e1_gazette(spark, d):
+    return naming.gazette(table(spark, d, "documents").select(F.col("source_path").alias("path"), "text"))
+
+
+_FORMS = "forms AS (SELECT trim(form) AS form, name, entity_type FROM (SELECT name AS form, name, entity_type FROM entities UNION ALL SELECT unnest(aliases), name, entity_type FROM entities UNION ALL SELECT title, title, 'DOCUMENT' FROM documents) WHERE form IS NOT NULL AND name IS NOT NULL AND length(trim(form)) >= 2 AND NOT regexp_matches(trim(form), '^[0-9]+$'))"
+
+
+def _forms(spark: SparkSession, d: str) -> DataFrame:
+    known = table(spark, d, "entities").select(F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("form"), "name", "entity_type")
+    return known.unionByName(table(spark, d, "documents").select(F.col("title").alias("form"), F.col("title").alias("name"), F.lit("DOCUMENT").alias("entity_type")))
+
+
+@query("e3_entities_of_texts", f"""
+    WITH {_ONCE}, {_FORMS}, gazette AS (SELECT said, min(form) AS entity, len(string_split(said, ' ')) AS size FROM (SELECT form, array_to_string(regexp_extract_all(lower(form), '[\\p{{L}}\\p{{N}}]+'), ' ') AS said FROM forms) WHERE said <> '' GROUP BY said),
+    about AS (SELECT form AS entity, arg_min(struct_pack(name := name, entity_type := entity_type), (name, coalesce(entity_type, ''))) AS e FROM forms GROUP BY form),
+    spans AS (SELECT record_id, entity, n FROM (SELECT key AS record_id, entity, n FROM {_matched('record_id', 'content', 'once').replace(f'range(1, {MOST + 1})', 'range(1, 7)')}))
+    SELECT record_id, e.name AS name, min(e.entity_type) AS entity_type, array_to_string(list_sort(list(DISTINCT entity)), '|') AS mentions, sum(n)::BIGINT AS n, 'gazette' AS source, 1.0::DOUBLE AS confidence FROM spans JOIN about USING (entity) GROUP BY record_id, e.name""")
+def e3_entities_of_texts(spark, d):
+    """Entities of each record, by the names and aliases known and the titles of documents."""
+    return naming.entities_of(records(spark, d, "content"), _forms(spark, d), "record_id", "content")
+
+
+_CORE = "lower(trim(regexp_replace(regexp_replace(regexp_replace(trim({0}), '(?i)^(ser|lord|lady|high|the)\\s+', ''), '(?i)\\s+the\\s+\\S+$', ''), '(?i)\\s+of\\s+(the\\s+)?\\S+(\\s+\\S+)?$', '')))"
+_NEAR = "(lower({0}.name) = lower({1}.name) OR ({0}.core <> '' AND {0}.core = {1}.core) OR (length({0}.core) > 4 AND length({1}.core) > 4 AND abs(length({0}.core) - length({1}.core)) <= 2 AND levenshtein({0}.core, {1}.core) <= 2))"
+
+
+@query("e9_resolved", f"""
+    WITH m AS (SELECT trim(name) AS name, max(CASE source WHEN 'gazette' THEN 3 WHEN 'gemini_ner' THEN 2 WHEN 'rules' THEN 1 ELSE 0 END) AS r FROM extracted_entities WHERE trim(name) <> '' GROUP BY 1),
+    g AS (SELECT DISTINCT trim(name) AS name FROM entities WHERE source = 'gazette' AND trim(name) <> ''),
+    rows_ AS (SELECT name, {_CORE.format('name')} AS core, row_number() OVER (ORDER BY -r, length(name), name) AS place FROM m), seeds AS (SELECT name, {_CORE.format('name')} AS core, row_number() OVER (ORDER BY lower(name) LIKE 'the %', length(name), name) - 1000000000 AS place FROM g),
+    heads AS (SELECT unnest(list_reduce((SELECT list([struct_pack(name := name, core := core, place := place)] ORDER BY place) FROM rows_), lambda a, x: CASE WHEN len(list_filter(a, lambda y: {_NEAR.format('x[1]', 'y')})) > 0 THEN a ELSE list_concat(a, x) END,
+        (SELECT coalesce(list(struct_pack(name := name, core := core, place := place) ORDER BY place), []) FROM seeds))) AS h)
+    SELECT r.name AS name, arg_min(h.name, h.place) AS canonical FROM rows_ r JOIN heads ON {_NEAR.format('r', 'h')} AND h.place <= r.place GROUP BY r.name""")
+def e9_resolved(spark, d):
+    """Which name stands for each of the extracted ones; names of entities from the gazette come first."""
+    return naming.resolved(table(spark, d, "extracted_entities"), table(spark, d, "entities").filter("source = 'gazette'"))
+
+
+def _beside(spark: SparkSession, d: str) -> DataFrame:
+    """Relations of the archive: names that are mentioned in one chunk."""
+    rows = entities.distinct_mentions(table(spark, d, "extracted_entities")).filter("chunk_id is not null")
+    x, y = rows.select("chunk_id", F.col("mention_id").alias("x"), F.col("name").alias("source"), F.col("confidence").alias("cx")), rows.select("chunk_id", F.col("mention_id").alias("y"), F.col("name").alias("target"), F.col("confidence").alias("cy"))
+    return x.join(y, "chunk_id").filter("x < y").select("source", "target", F.lit("MENTIONED_WITH").alias("relation"), F.least("cx", "cy").alias("confidence"), (F.col("x") * 10000000 + F.col("y")).alias("seq"))
+
+
+_BESIDE = f"{_NAMED}, beside AS (SELECT x.name AS source, y.name AS target, 'MENTIONED_WITH' AS relation, least(x.confidence, y.confidence) AS confidence, x.mention_id * 10000000 + y.mention_id AS seq FROM named x JOIN named y ON x.chunk_id = y.chunk_id AND x.mention_id < y.mention_id)"
+_BEARERS = """f AS (SELECT entity_id, coalesce(mention_count, 0) AS m, lower(name) AS said, 1 AS exact FROM entities UNION ALL SELECT entity_id, coalesce(mention_count, 0), lower(unnest(aliases)), 0 FROM entities),
+    bearers AS (SELECT said, e.id AS id FROM (SELECT said, first(entity_id ORDER BY exact DESC, m DESC, entity_id) AS entity_id FROM f WHERE said IS NOT NULL GROUP BY said) JOIN entities e USING (entity_id))"""
+_STORED = f"""{_BESIDE}, {_BEARERS}, stored AS (SELECT source_id, target_id, relation, arg_max(confidence, (seq, coalesce(confidence, -1))) AS confidence, max(seq) AS seq FROM (SELECT a.id AS source_id, b.id AS target_id, relation, confidence, seq FROM beside JOIN bearers a ON a.said = lower(source) JOIN bearers b ON b.said = lower(target)) GROUP BY ALL)"""
+
+
+@query("r5_mentioned_together", f"WITH {_BESIDE} SELECT source, target, relation, confidence, seq FROM (SELECT *, row_number() OVER (PARTITION BY lower(source), lower(target), relation ORDER BY seq) AS n FROM beside WHERE lower(source) <> lower(target)) WHERE n = 1")
+def r5_mentioned_together(spark, d):
+    return graph.deduplicated(_beside(spark, d))
+
+
+def _stored(spark: SparkSession, d: str) -> DataFrame:
+    known = table(spark, d, "entities")
+    found = entities.looked_up(table(spark, d, "extracted_entities"), known).join(known.select("entity_id", "id"), "entity_id").select("asked", "id")
+    return graph.stored(_beside(spark, d), found, known)
+
+
+@query("r6_stored", f"WITH {_STORED} SELECT * FROM stored")
+def r6_stored(spark, d):
+    """Relations between known entities, resolved by name or alias; the last of each kind and pair stands."""
+    return _stored(spark, d)
+
+
+@query("r9_by_type", "SELECT upper(coalesce(entity_type, 'UNKNOWN')) AS entity_type, entity_id, name, row_number() OVER (PARTITION BY upper(coalesce(entity_type, 'UNKNOWN')) ORDER BY coalesce(mention_count, 0) DESC, entity_id) AS rank FROM entities")
+def r9_by_type(spark, d):
+    """The entities of every type, those mentioned most first."""
+    kind = F.upper(F.coalesce("entity_type", F.lit("UNKNOWN")))
+    rank = F.row_number().over(Window.partitionBy("entity_type").orderBy(F.coalesce("mention_count", F.lit(0)).desc(), "entity_id"))
+    return table(spark, d, "entities").select(kind.alias("entity_type"), "entity_id", "name", "mention_count").withColumn("rank", rank).drop("mention_count")
+
+
+_GRAPH = f"""{_STORED}, edges AS (SELECT source_id || '>' || target_id AS edge, source_id AS src, target_id AS dst FROM stored WHERE source_id <> target_id), both_ AS (SELECT edge, src AS a, dst AS b FROM edges UNION ALL SELECT edge, dst, src FROM edges)"""
+
+
+def _entity_edges(spark: SparkSession, d: str) -> DataFrame:
+    return _stored(spark, d).filter("source_id <> target_id").select(F.concat_ws(">", "source_id", "target_id").alias("edge"), F.col("source_id").alias("src"), F.col("target_id").alias("dst"))
+
+
+@query("r11_related_entities", f"WITH {_GRAPH} SELECT DISTINCT a AS node, b AS neighbour FROM both_")
+def r11_related_entities(spark, d):
+    return graph.related(_entity_edges(spark, d), table(spark, d, "entities").select(F.col("id").alias("node")))
+
+
+_ENTITY_TRAILS = f"t(seed, node, hops, path, used) AS (SELECT id, id, 0, id, []::VARCHAR[] FROM entities UNION ALL SELECT seed, b, hops + 1, path || ' > ' || b, list_append(used, edge) FROM t JOIN both_ ON node = a WHERE hops < 2 AND NOT list_contains(used, edge))"
+
+
+@query("r13_entity_trails", f"WITH RECURSIVE {_GRAPH}, {_ENTITY_TRAILS} SELECT seed, node, hops, path FROM t WHERE seed <> node")
+def r13_entity_trails(spark, d):
+    """Trails of two hops from every entity."""
+    return graph.trails(_entity_edges(spark, d), table(spark, d, "entities").select(F.col("id").alias("node")), 2)
+
+
+@query("r14_reached_entities", f"WITH RECURSIVE {_GRAPH}, {_ENTITY_TRAILS} SELECT seed, node, min(hops) AS hops, count(DISTINCT path) AS paths FROM t WHERE seed <> node GROUP BY seed, node")
+def r14_reached_entities(spark, d):
+    return graph.reached(r13_entity_trails(spark, d))
+
+
+# --- SQL of what is asked of questions: names, lexical queries, types, sub-questions
+
+def _re(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+# Spark's word boundaries know letters of any script, DuckDB's only those of ASCII: other words are blotted out before patterns with boundaries.
+_LEADS = _re("^(" + "|".join(questions.LEADS) + ")")
+_PARTS = f"""{_ASKED}, blotted AS (SELECT qid, question, regexp_replace(regexp_replace(question, '[^\\p{{L}}\\p{{N}}\\x00-\\x7F]', chr(1), 'g'), '[\\p{{L}}\\p{{N}}_]*[^\\x00-\\x7F][\\p{{L}}\\p{{N}}_]*', chr(2), 'g') AS plain FROM asked),
+    parts AS (SELECT qid, question, plain, regexp_extract_all(plain, {_re(questions.WORDS)}, 1) AS words, list_concat(list_filter(list_transform(regexp_extract_all(question, {_re(questions.QUOTED)}, 1), lambda x: trim(x)), lambda x: length(x) > 2), regexp_extract_all(plain, {_re(questions.TITLED)}, 1),
+        list_filter(regexp_extract_all(plain, {_re(questions.EPITHET)}, 1), lambda x: NOT regexp_matches(lower(x), {_LEADS}) AND length(x) > 3), list_filter(regexp_extract_all(plain, {_re(questions.CAPITALS)}, 1), lambda x: NOT regexp_matches(lower(x), {_LEADS}) AND length(x) > 3)) AS said FROM blotted),
+    firsts AS (SELECT *, list_reduce(list_transform(said, lambda x: [x]), lambda a, x: CASE WHEN len(list_filter(a, lambda y: lower(y) = lower(x[1]))) > 0 THEN a ELSE list_concat(a, x) END, []::VARCHAR[]) AS firsts FROM parts),
+    names_ AS (SELECT qid, question, plain, words, list_reduce(list_transform(list_filter(words[2:], lambda w: regexp_matches(w, '^[A-Z]') AND NOT list_contains({_STOP}, lower(w)) AND length(w) > 3), lambda w: [w]), lambda a, w: CASE WHEN len(list_filter(a, lambda y: contains(lower(y), lower(w[1])))) > 0 THEN a ELSE list_concat(a, w) END, firsts) AS names FROM firsts),
+    kinds AS (SELECT *, CASE WHEN regexp_matches(plain, {_re("(?i)" + "|".join(questions.COMPARISON))}) THEN 'comparison' WHEN regexp_matches(plain, {_re("(?i)" + "|".join(questions.MULTI_HOP))}) THEN 'multi_hop' WHEN len(names) >= 2 THEN 'multi_entity' ELSE 'simple' END AS kind,
+        coalesce(nullif(trim(concat_ws(' ', nullif(array_to_string(names, ' '), ''), nullif(array_to_string(list_filter(words, lambda t: NOT list_contains({_STOP}, lower(t)) AND NOT contains(lower(array_to_string(names, ' ')), lower(t)) AND length(t) > 2), ' '), ''))), ''), question) AS query FROM names_)"""
+
+
+def _said(pattern: str, template: str) -> str:
+    """SQL of a template of sub-questions, filled with the groups of its pattern."""
+    parts, rest = [], template
+    while "{" in rest:
+        before, _, rest = rest.partition("{")
+        name, _, rest = rest.partition("}")
+        group = f"trim(regexp_extract(q, {_re('(?i)' + pattern)}, {name.strip('!')}))"
+        parts += [_re(before), f"upper({group}[1]) || lower({group}[2:])" if name.endswith("!") else group]
+    return " || ".join(parts + [_re(rest)])
+
+
+_HEAD, _TAIL = (f"trim(regexp_extract(q, {_re('(?i)' + questions.SPLIT)}, {i}))" for i in (1, 3))
+_SUB = f"""subs AS (SELECT *, CASE WHEN q = '' THEN []::VARCHAR[] {" ".join(f"WHEN regexp_matches(q, {_re('(?i)' + p)}) THEN [{_said(p, one)}, {_said(p, two)}]" for p, one, two in questions.TEMPLATES)}
+    WHEN regexp_matches(q, {_re("(?i)" + questions.SPLIT)}) AND regexp_matches(q, '(?i)which|what|who|where|whose') AND len(string_split_regex({_HEAD}, '\\s+')) >= 3 AND len(string_split_regex({_TAIL}, '\\s+')) >= 3 THEN ['Which entity ' || {_TAIL} || '?', {_HEAD} || ' that entity?'] ELSE [q] END AS subs FROM (SELECT *, trim(question) AS q FROM kinds))"""
+SQL["q1_names"] = f"WITH {_PARTS} SELECT qid, array_to_string(names, '|') AS names FROM names_"
+SQL["q2_lexical_query"] = f"WITH {_PARTS} SELECT qid, query FROM kinds"
+SQL["q3_composed"] = f"WITH {_PARTS} SELECT qid, kind FROM kinds"
+SQL["q4_sub_questions"] = f"WITH {_PARTS}, {_SUB} SELECT qid, (generate_subscripts(subs, 1) - 1)::INT AS no, unnest(subs) AS question FROM subs"
+SQL["q5_analysis"] = f"WITH {_PARTS}, {_SUB} SELECT qid, kind, len(names)::INT AS names, query, CASE WHEN kind = 'multi_hop' THEN array_to_string(subs, '|') ELSE '' END AS sub_questions FROM subs"
+
+
+@query("x6_state_sufficiency", f"""
+    WITH {_PARTS}, {_SEQ.replace(_ONCE + ',', _ONCE + ',')}, k AS (SELECT qid, count(*) AS records, greatest(count(DISTINCT document_id), count(DISTINCT document_title)) AS documents, coalesce(string_agg(CASE WHEN seq <= 10 THEN lower(concat_ws(' ', document_title, content)) END, ' ' ORDER BY seq), '') AS text FROM numbered GROUP BY qid),
+    s AS (SELECT qid, kind, coalesce(records, 0) AS records, coalesce(documents, 0) AS documents, len(list_filter(names, lambda n: NOT contains(coalesce(text, ''), lower(n)))) AS missing, 1 - missing / greatest(len(names), 1) AS held FROM kinds LEFT JOIN k USING (qid))
+    SELECT qid, records, documents, missing::INT AS missing, level, CASE WHEN records = 0 THEN 0 WHEN kind = 'multi_hop' THEN CASE level WHEN 'HIGH' THEN 0.95 WHEN 'MEDIUM' THEN 0.65 WHEN 'LOW' THEN 0.4 ELSE 0.1 END ELSE CASE level WHEN 'HIGH' THEN 1.0 WHEN 'MEDIUM' THEN 0.6 ELSE 0.3 END END::DOUBLE AS coverage FROM (
+        SELECT *, CASE WHEN records = 0 THEN 'INSUFFICIENT' WHEN kind = 'multi_hop' THEN CASE WHEN documents >= 2 AND held >= 0.5 THEN 'MEDIUM' WHEN documents >= 1 AND held >= 0.5 THEN 'LOW' ELSE 'INSUFFICIENT' END WHEN held >= 0.8 THEN 'HIGH' WHEN held >= 0.5 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM s)""")
+def x6_state_sufficiency(spark, d):
+    """The evidence registered for each question, as one hop: composed questions never have enough of one hop alone."""
+    q = F.col("question")
+    states = asked(spark, d).select("qid", questions.kind(q, questions.names(q)).alias("kind"), questions.names(q).alias("names"), F.lit(1).alias("hops"))
+    have = evidence.registered(records(spark, d, "qid", "score", "content", "document_title", "document_id"))
+    return evidence.state_sufficiency(states, have.select("qid", F.col("seq").alias("rank"), "document_id", "document_title", "content"))
+
+
+def _of_source(values: tuple) -> str:
+    return "struct_pack(" + ", ".join(f"{n} := '{v}'" for n, v in zip(evidence.TRAITS, values, strict=True)) + ")"
+
+
+_KIND_OF = " ".join(f"WHEN stem LIKE '{p.replace('_', chr(92) + '_')}%' ESCAPE '{chr(92)}' THEN {_of_source(v)}" for p, v in evidence.PREFIXES.items())
+SQL["x1_sources"] = f"""
+    WITH s AS (SELECT DISTINCT source_file, source_category FROM evidence_records), n AS (SELECT *, coalesce(source_file, '') AS file, lower(coalesce(source_category, '')) AS kind, lower(trim(regexp_replace(list_extract(string_split(coalesce(source_file, ''), '/'), -1), '(?i)(\\.scan)?\\.(pdf|docx|md|txt|png|jpe?g)$', ''))) AS stem FROM s),
+    t AS (SELECT source_file, source_category, CASE {_KIND_OF} WHEN stem LIKE 'wiki\\_%' ESCAPE '\\' OR kind = 'wiki' OR contains(file, '/wiki/') THEN {_of_source(("wiki", "wiki_article", "assertion", "third_party", "retrospective"))}
+        WHEN stem LIKE 'codex\\_%' ESCAPE '\\' OR kind = 'codex' OR contains(file, '/codex/') THEN {_of_source(("codex", "codex_entry", "assertion", "official", "retrospective"))} WHEN contains(stem, 'chronicle') OR kind = 'chronicles' OR contains(file, '/chronicles/') THEN {_of_source(("chronicle", "chronicle_entry", "assertion", "narrative", "retrospective"))}
+        WHEN kind = 'ephemera' THEN {_of_source(("ephemera", "unknown", "assertion", "third_party", "retrospective"))} ELSE {_of_source(("unknown", "unknown", "assertion", "third_party", "retrospective"))} END AS t FROM n)
+    SELECT source_file, source_category, {", ".join(f"t.{n} AS {n}" for n in evidence.TRAITS)} FROM t"""
+_PLACE = """CASE WHEN json_extract_string(metadata, '$.line_start') = 'Plate' OR json_extract_string(metadata, '$.is_asset_chunk') = 'true' THEN 'Plate' WHEN json_extract_string(metadata, '$.reference_location') IS NOT NULL THEN json_extract_string(metadata, '$.reference_location')
+    WHEN page IS NOT NULL AND json_extract_string(metadata, '$.line_start') IS NOT NULL AND json_extract_string(metadata, '$.line_end') IS NOT NULL THEN 'p.' || page || ' (Lines ' || json_extract_string(metadata, '$.line_start') || '-' || json_extract_string(metadata, '$.line_end') || ')'
+    WHEN page IS NOT NULL AND json_extract_string(metadata, '$.paragraph_start') IS NOT NULL THEN 'p.' || page || ' (Para ' || json_extract_string(metadata, '$.paragraph_start') || ')' WHEN page IS NOT NULL THEN 'p.' || page WHEN json_extract_string(metadata, '$.line_start') IS NOT NULL THEN 'Line ' || json_extract_string(metadata, '$.line_start') ELSE 'p.1' END"""
+SQL["x12_resolved"] = f"""
+    WITH {_ONCE}, h AS (SELECT qid, number, arg_min(said, record_id) AS said FROM (SELECT qid, try_cast(regexp_extract(id, '(\\d+)', 1) AS BIGINT) AS number, record_id, coalesce(document_title, 'Archive Document') || ', ' || {_PLACE} AS said FROM once) WHERE number IS NOT NULL GROUP BY qid, number),
+    a AS (SELECT result_id, qid, string_split_regex(answer, 'EVIDENCE_\\d+') AS texts, regexp_extract_all(answer, 'EVIDENCE_(\\d+)', 1) AS numbers FROM hybrid_results WHERE answer <> ''),
+    p AS (SELECT result_id, qid, generate_subscripts(texts, 1) AS spot, unnest(texts) AS before, unnest(list_resize(numbers, len(texts))) AS n FROM a)
+    SELECT result_id, string_agg(before || coalesce(said, 'EVIDENCE_' || n, ''), '' ORDER BY spot) AS answer FROM p LEFT JOIN h ON h.qid = p.qid AND number = try_cast(n AS BIGINT) GROUP BY result_id"""
+SQL["m7_support"] = """
+    WITH r AS (SELECT result_id, regexp_extract_all(regexp_replace(regexp_replace(coalesce(answer, ''), '[\\p{L}_][\\p{L}\\p{N}_]*', 'x', 'g'), '\\d[\\d,]*[\\p{L}_]+', 'x', 'g'), '(\\d+(?:,\\d+)?)', 1) AS n, lower(array_to_string(list_transform(coalesce(citations, []), lambda c: coalesce(c.excerpt, '')), ' ')) AS said, coalesce(len(citations), 0) > 0 AND coalesce(answer, '') <> '' AS answers FROM hybrid_results),
+    f AS (SELECT *, len(list_filter(n, lambda x: contains(said, x) OR contains(said, replace(x, ',', '')))) AS found FROM r)
+    SELECT result_id, len(n)::INT AS numbers, found::INT AS found, answers AND (len(n) = 0 OR found > 0) AS supported FROM f"""
+
+
+def _ruled(i: int, pattern: str, predicate: str, strength: str) -> str:
+    both = [f"regexp_extract_all(content, {_re('(?i)' + pattern)}, {g})" for g in (1, 2)]
+    return f"SELECT record_id, own, {i} AS rule, generate_subscripts({both[0]}, 1) AS spot, unnest({both[0]}) AS s, unnest({both[1]}) AS o, '{predicate}' AS predicate, '{strength}' AS w FROM texts"
+
+
+SQL["x10_claims"] = f"""
+    WITH {_ONCE}, texts AS (SELECT record_id, content, coalesce(source_characteristics.claim_strength, 'assertion') AS own FROM once WHERE content IS NOT NULL), c AS ({" UNION ALL ".join(_ruled(i, *rule) for i, rule in enumerate(evidence.CLAIMS))})
+    SELECT record_id, row_number() OVER (PARTITION BY record_id ORDER BY rule, spot)::INT AS claim_no, trim(regexp_replace(trim(s), '(?i)\\s+\\b(was|is|were|are|been|had)\\b.*$', '')) AS subject, predicate, trim(o) AS object, CASE WHEN w <> 'assertion' THEN w ELSE own END AS strength FROM c"""

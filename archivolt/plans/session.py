@@ -35,10 +35,16 @@ def local_session(name: str = "archivolt", cpus: int | str = "*", partitions: in
 
 
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """``df`` read back from a checkpoint in the shared folder, so that later steps don't repeat what led to it."""
+    """``df`` read back from a checkpoint in the shared folder, so that later steps don't repeat what led to it.
+
+    On a cluster the session must name that folder: one of the driver's own machine, which executors don't see, is never taken.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="archivolt-checkpoint-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="archivolt-checkpoint-"))
     return df.checkpoint(eager)
 
 

@@ -99,3 +99,16 @@ def plate_notes(plates: DataFrame, key: str, text: str) -> DataFrame:
     source = F.col("line").rlike(PROVENANCE)
     unit = F.when(F.col("line").rlike(r"(?i)souls\s*under\s*arms"), "souls under arms").when(F.col("line").rlike(r"(?i)souls\s*lost"), "souls lost").when(F.col("line").rlike("(?i)vitae-grains"), "vitae-grains").otherwise(F.col("line"))
     return lines.groupBy(key).agg(F.max_by(unit, F.when(~source & F.col("line").rlike(UNIT), F.col("spot"))).alias("unit"), F.max_by("line", F.when(source, F.col("spot"))).alias("provenance"))
+
+
+def shown_document(name: Column) -> Column:
+    """The stem of the document that a picture belongs to, by the name of its file: what follows the picture's prefix; null where there is none."""
+    stem = F.regexp_replace(name, r"\.[^.]+$", "")
+    return F.when(stem.startswith("atmo_"), F.regexp_replace(stem, "^atmo_[a-z]+_[a-z]+_", "")).when(stem.startswith("plate_"), F.regexp_replace(stem, r"^plate_\d+_", ""))
+
+
+def attached(pictures: DataFrame, documents: DataFrame, path: str = "path") -> DataFrame:
+    """(path, id): each picture with the document (stem, id) it belongs to; null where there is none. Of several documents of one stem the first id."""
+    known = documents.filter("stem is not null").groupBy("stem").agg(F.min("id").alias("id"))
+    rows = pictures.select(F.col(path).alias("path")).filter("path is not null").distinct().withColumn("stem", shown_document(F.element_at(F.split("path", "/"), -1)))
+    return rows.join(known, "stem", "left").select("path", "id")
