@@ -8,9 +8,14 @@ from pyspark.sql import functions as F
 from archivolt.functions.text import pronouns, token_count
 
 
+def _bare(text: Column) -> Column:
+    """A text without white space at its ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def _fold(paragraphs: Column, most: int, overlap: int) -> Column:
     """Paragraphs gathered up to ``most`` tokens; a chunk begins with the last paragraphs of the one before, up to ``overlap`` tokens."""
-    pieces = F.transform(F.filter(F.transform(paragraphs, lambda p: F.trim(p)), lambda p: p != ""), lambda p: F.struct(p.alias("p"), token_count(p).alias("n")))
+    pieces = F.transform(F.filter(F.transform(paragraphs, _bare), lambda p: p != ""), lambda p: F.struct(p.alias("p"), token_count(p).alias("n")))
     kind = "array<struct<p:string,n:int>>"
     start = F.struct(F.array().cast(kind).alias("held"), F.lit(0).alias("size"), F.array().cast("array<string>").alias("done"))
 
@@ -56,7 +61,7 @@ def chunks_by_category(docs: DataFrame, key: str = "doc_id", most: int = 512, ov
     paragraphs = lambda t: _fold(F.split(t, "\n\n"), most, overlap)
     piece = lambda title, t: F.struct(title.alias("section_title"), t.alias("chunk"), t.alias("counted"))
     none = F.array().cast("array<struct<section_title:string,chunk:string,counted:string>>")
-    sections = F.transform(F.split("text", r"(?m)^(?=#{1,6}\s)"), lambda s: F.struct(F.nullif(F.trim(F.regexp_extract(s, r"^#{1,6}\s+([^\n]*)", 1)), F.lit("")).alias("title"), F.trim(F.regexp_replace(s, r"^#{1,6}\s[^\n]*\n?", "")).alias("body")))
+    sections = F.transform(F.split("text", r"(?m)^(?=#{1,6}\s)"), lambda s: F.struct(F.nullif(F.trim(F.regexp_extract(s, r"^#{1,6}\s+([^\n]*)", 1)), F.lit("")).alias("title"), _bare(F.regexp_replace(s, r"^#{1,6}\s[^\n]*\n?", "")).alias("body")))
     sections = F.filter(sections, lambda s: s["body"].rlike(r"\S"))
     of_section = lambda s: F.transform(paragraphs(s["body"]), lambda c: piece(s["title"], c))
     whole = lambda s: F.array(piece(s["title"], s["body"]))
@@ -67,7 +72,7 @@ def chunks_by_category(docs: DataFrame, key: str = "doc_id", most: int = 512, ov
         F.when(category == "wiki", F.flatten(F.transform(sections, lambda s: F.when(token_count(s["body"]) > most, of_section(s)).otherwise(whole(s)))))
         .when(category == "chronicles", F.flatten(F.transform(sections, of_section)))
         .when(category == "codex", F.concat(tabled, F.flatten(F.transform(sections, of_section))))
-        .otherwise(F.transform(paragraphs(F.trim("text")), lambda c: piece(F.col("title"), c)))
+        .otherwise(F.transform(paragraphs(_bare(F.col("text"))), lambda c: piece(F.col("title"), c)))
     )
     rows = docs.filter(F.col("text").rlike(r"\S")).select(F.col(key).alias(key), category.alias("category"), F.posexplode(F.coalesce(cut_up, none)).alias("position", "c")).select(key, "category", "position", "c.*")
     start = F.when(F.col("category") == "wiki", F.col("position") * 25 + 1)

@@ -34,6 +34,8 @@ class Config:
     k: int = 20
     context_tokens: float = 3500.0
     bridges: int = 5
+    hops: int = 2
+    paths: int = 20
     lexical: bool = True
     dense: bool = True
     contextual: bool = True
@@ -47,8 +49,9 @@ def mentioned(records: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def vectors(records: DataFrame, contextual: bool = False) -> DataFrame:
-    """(id, vector) of the records whose text has one, of the text itself or with its document's and section's title before it."""
-    text = F.concat_ws(" ", "document_title", "section_title", "content") if contextual else F.col("content")
+    """(id, vector) of the records whose text has one, of the text itself or with its document's and section's title before it (those that the records have)."""
+    before = [x for x in ("document_title", "section_title") if contextual and x in records.columns]
+    text = F.concat_ws(" ", *before, "content")
     rows = records.filter("trim(content) <> ''").select(F.col("record_id").alias("id"), embedded(text).alias("vector"))
     return rows.filter(F.exists("vector", lambda x: x != 0))
 
@@ -81,12 +84,12 @@ def streams(questions: DataFrame, records: DataFrame, names: DataFrame, said: Da
     return found
 
 
-def retrieved(questions: DataFrame, records: DataFrame, names: DataFrame, c: Config = Config(), said: DataFrame | None = None, known: dict[str, DataFrame] | None = None) -> DataFrame:
+def retrieved(questions: DataFrame, records: DataFrame, names: DataFrame, c: Config = Config(), said: DataFrame | None = None, known: dict[str, DataFrame] | None = None, more: tuple[DataFrame, ...] = ()) -> DataFrame:
     """(qid, chunk, score, rank, before): fused, diversified (where there are more than ``k``), reranked. Records that are null in content, or of
-    another category than the one that is set, aren't found."""
+    another category than the one that is set, aren't found. ``more``: further ranked lists (qid, chunk, rank) to fuse, before the others."""
     records = of_category(records.filter("content is not null"), c)
     said = mentioned(records, names) if said is None else said
-    fused = retrieval.fused(streams(questions, records, names, said, c, known), c.rrf_k, c.rrf_most)
+    fused = retrieval.fused([*more, *streams(questions, records, names, said, c, known)], c.rrf_k, c.rrf_most)
     about = records.select(F.col("record_id").alias("chunk"), F.coalesce("document_id", "document_title", F.lit("unknown")).alias("document"))
     diverse = diversified(fused.join(about, "chunk"), c)
     return retrieval.reranked(diverse, questions, records, "record_id", "content", max(c.pool, c.k), c.k)
@@ -103,12 +106,38 @@ def diversified(ranked: DataFrame, c: Config) -> DataFrame:
     return rows.withColumn("rank", F.when(F.col("n") > c.k, F.col("rank")).otherwise(F.col("turn"))).drop("turn", "n")
 
 
-def bridged(questions: DataFrame, first: DataFrame, said: DataFrame, names: DataFrame, c: Config = Config()) -> DataFrame:
-    """(qid, question): second-hop questions from the names that the first hop's records hold and the question doesn't: the first few by rank and name,
-    then the sub-questions but for the first, or the question if it has none. A question without such names or sub-questions has no second hop."""
-    asked = gazette_matches(questions, names, "qid", "question", MOST_WORDS).select("qid", "name")
-    new = first.select("qid", "chunk", "rank").join(said, "chunk").join(asked, ["qid", "name"], "left_anti").groupBy("qid", "name").agg(F.min("rank").alias("rank"))
-    kept = new.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("rank", "name"))).filter(F.col("n") <= c.bridges)
+def together(said: DataFrame) -> DataFrame:
+    """(a, b, chunk): the graph of names (chunk, name) that stand in one record, both ways, with the first such record of each pair.
+
+    A record is a passage of bounded length, so the names paired within one are few, however many records there are.
+    """
+    x, y = said.select("chunk", F.col("name").alias("a")), said.select("chunk", F.col("name").alias("b"))
+    return x.join(y, "chunk").filter("a <> b").groupBy("a", "b").agg(F.min("chunk").alias("chunk"))
+
+
+def discovered(asked: DataFrame, edges: DataFrame, c: Config = Config()) -> DataFrame:
+    """(qid, name, chunk, hops): the first ``paths`` names that trails of up to ``hops`` edges lead to from the names (qid, name) in each question,
+    by hops and name, each with the record of its last edge. The names in the question itself are none of them.
+
+    Names that are nearer come first, so no more than these few ever lead on to the next hop, however many edges a name has.
+    """
+    found, at = None, asked.select("qid", "name").distinct()
+    for n in range(1, c.hops + 1):
+        step = at.select("qid", F.col("name").alias("a")).join(edges, "a").groupBy("qid", F.col("b").alias("name")).agg(F.min("chunk").alias("chunk"))
+        new = step.join(asked.select("qid", "name").distinct(), ["qid", "name"], "left_anti").withColumn("hops", F.lit(n))
+        if found is not None:
+            new = found.unionByName(new.join(found.select("qid", "name"), ["qid", "name"], "left_anti"))
+        place = F.row_number().over(Window.partitionBy("qid").orderBy("hops", "name"))
+        found = cut(new.withColumn("place", place).filter(F.col("place") <= c.paths).drop("place"))
+        at = found.filter(F.col("hops") == n)
+    return found
+
+
+def bridged(questions: DataFrame, found: DataFrame, c: Config = Config()) -> DataFrame:
+    """(qid, question): second-hop questions: the first few names that were discovered (qid, name, hops), by hops and name, then the sub-questions but for
+    the first, or the question if it has none. A question without such names or sub-questions has no second hop."""
+    place = F.row_number().over(Window.partitionBy("qid").orderBy("hops", "name"))
+    kept = found.select("qid", "name", place.alias("n")).filter(F.col("n") <= c.bridges)
     more = kept.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "name"))), lambda x: x["name"]), " ").alias("names"))
     parts = sub_questions(F.col("question"))
     rows = questions.join(more, "qid", "left").withColumn("parts", parts).filter("names is not null or size(parts) > 1")
@@ -117,12 +146,19 @@ def bridged(questions: DataFrame, first: DataFrame, said: DataFrame, names: Data
 
 
 def multi_hop(questions: DataFrame, records: DataFrame, names: DataFrame, c: Config = Config()) -> DataFrame:
-    """(qid, chunk, rank): the first hop's records and those of the second hop by turns; of more than ``k`` those beyond a document's share go last, but for the first two."""
+    """(qid, chunk, rank): the first hop's records and those of the second hop by turns; of more than ``k`` those beyond a document's share go last, but for the first two.
+
+    The second hop asks for the names that the graph of names leads to from those in the question and its sub-questions, and has the records of the edges
+    passed on the way as a stream of its own. With a category set, the graph is that of its records.
+    """
     records = of_category(records, c)
     said = mentioned(records, names)
     known = known_vectors(records, c)
     first = cut(retrieved(questions, records, names, c, said, known))
-    second = retrieved(cut(bridged(questions, first, said, names, c)), records, names, c, said, known)
+    parts = questions.select("qid", F.array_join(F.array_append(sub_questions(F.col("question")), F.col("question")), " . ").alias("question"))
+    found = discovered(gazette_matches(parts, names, "qid", "question", MOST_WORDS).select("qid", "name"), together(said), c)
+    passed = found.groupBy("qid", "chunk").agg(F.min(F.struct("hops", "name")).alias("at")).select("qid", "chunk", F.row_number().over(Window.partitionBy("qid").orderBy("at", "chunk")).alias("rank"))
+    second = retrieved(cut(bridged(questions, found, c)), records, names, c, said, known, (passed,))
     every = retrieval.interleaved(first, second, 2 * c.k).withColumn("turn", F.col("rank")).withColumn("n", F.count("*").over(Window.partitionBy("qid")))
     about = records.select(F.col("record_id").alias("chunk"), F.coalesce("document_id", "document_title", F.lit("unknown")).alias("document"))
     diverse = retrieval.diversified(every.join(about, "chunk"), "document", c.per_document, 2)

@@ -645,11 +645,15 @@ def _counted(text: str) -> str:
     return f"greatest(1, floor(len(regexp_extract_all({text}, '\\S+')) * 1.3))::BIGINT"
 
 
+def _bare(text: str) -> str:
+    return f"regexp_replace({text}, '^\\s+|\\s+$', '', 'g')"
+
+
 def _folded(paragraphs: str, most: int = 512, overlap: int = 100) -> str:
     """SQL of a list of paragraphs gathered into chunks, with overlap."""
     held = "list_transform({}.held, lambda h: h.p)"
     joined = lambda a: f"array_to_string({held.format(a)}, chr(10) || chr(10))"
-    pieces = f"list_transform(list_filter(list_transform({paragraphs}, lambda p: trim(p)), lambda p: p <> ''), lambda p: struct_pack(held := [struct_pack(p := p, n := {_counted('p')})], size := {_counted('p')}, done := []::VARCHAR[]))"
+    pieces = f"list_transform(list_filter(list_transform({paragraphs}, lambda p: {_bare('p')}), lambda p: p <> ''), lambda p: struct_pack(held := [struct_pack(p := p, n := {_counted('p')})], size := {_counted('p')}, done := []::VARCHAR[]))"
     tail = f"a.held[list_min(list_filter(range(1, len(a.held) + 2), lambda i: coalesce(list_sum(list_transform(a.held[i:], lambda h: h.n)), 0) <= {overlap})):]"
     state = "struct_pack(held := list_concat({0}, x.held), size := (coalesce(list_sum(list_transform({0}, lambda h: h.n)), 0) + x.size)::BIGINT, done := {1})"
     step = f"CASE WHEN len(a.held) > 0 AND a.size + x.size > {most} THEN {state.format(tail, f'list_append(a.done, {joined("a")})')} ELSE {state.format('a.held', 'a.done')} END"
@@ -666,12 +670,12 @@ _PIECES = "list_transform({c}, lambda c: struct_pack(section_title := {t}, chunk
 
 
 @query("t3_chunks_by_category", f"""
-    WITH d AS (SELECT doc_id, title, lower(coalesce(source_category, '')) AS category, text, list_filter(list_transform(string_split(regexp_replace(text, '(?m)^(#{{1,6}}\\s)', chr(1) || '\\1', 'g'), chr(1)), lambda s: struct_pack(title := nullif(trim(regexp_extract(s, '^#{{1,6}}\\s+([^\\n]*)', 1)), ''), body := trim(regexp_replace(s, '^#{{1,6}}\\s[^\\n]*\\n?', '')))), lambda s: regexp_matches(s.body, '\\S')) AS sections,
+    WITH d AS (SELECT doc_id, title, lower(coalesce(source_category, '')) AS category, text, list_filter(list_transform(string_split(regexp_replace(text, '(?m)^(#{{1,6}}\\s)', chr(1) || '\\1', 'g'), chr(1)), lambda s: struct_pack(title := nullif(trim(regexp_extract(s, '^#{{1,6}}\\s+([^\\n]*)', 1)), ''), body := {_bare("regexp_replace(s, '^#{1,6}\\s[^\\n]*\\n?', '')")})), lambda s: regexp_matches(s.body, '\\S')) AS sections,
         list_transform(regexp_extract_all(text, '(?m)((?:^[ \\t]*\\|[^\\n]*\\|[ \\t]*(?:\\n|$))+)', 1), lambda t: array_to_string(list_transform(list_filter(string_split(t, chr(10)), lambda r: regexp_matches(r, '\\S')), lambda r: array_to_string(list_transform(string_split(regexp_replace(trim(r), '^\\||\\|$', '', 'g'), '|'), lambda c: trim(c)), ' | ')), chr(10))) AS tables FROM documents WHERE regexp_matches(text, '\\S')),
     p AS (SELECT doc_id, category, CASE category WHEN 'wiki' THEN flatten(list_transform(sections, lambda s: CASE WHEN {_counted('s.body')} > 512 THEN {_PIECES.format(c=_folded("string_split(s.body, chr(10) || chr(10))"), t='s.title')} ELSE [struct_pack(section_title := s.title, chunk := s.body, counted := s.body)] END))
         WHEN 'chronicles' THEN flatten(list_transform(sections, lambda s: {_PIECES.format(c=_folded("string_split(s.body, chr(10) || chr(10))"), t='s.title')}))
         WHEN 'codex' THEN list_concat(list_transform(tables, lambda t: struct_pack(section_title := 'Data Table', chunk := 'Table: ' || coalesce(title, '') || chr(10) || t, counted := t)), flatten(list_transform(sections, lambda s: {_PIECES.format(c=_folded("string_split(s.body, chr(10) || chr(10))"), t='s.title')})))
-        ELSE {_PIECES.format(c=_folded("string_split(trim(text), chr(10) || chr(10))"), t='title')} END AS pieces FROM d),
+        ELSE {_PIECES.format(c=_folded(f"string_split({_bare('text')}, chr(10) || chr(10))"), t='title')} END AS pieces FROM d),
     u AS (SELECT doc_id, category, unnest(pieces) AS c, (generate_subscripts(pieces, 1) - 1)::INT AS position FROM p)
     SELECT doc_id, position, c.section_title AS section_title, c.chunk AS chunk, {_counted('c.counted')}::INT AS token_count, greatest(1, position // 2 + 1)::INT AS page, CASE WHEN category = 'wiki' THEN position * 25 + 1 END::INT AS line_start,
         CASE WHEN category = 'wiki' THEN position * 25 + 1 + len(string_split(c.chunk, chr(10))) END::INT AS line_end FROM u""")

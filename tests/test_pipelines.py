@@ -84,8 +84,10 @@ def test_dense_stream_and_depth(spark, tables):
 
 def test_second_hop_goes_over_a_name(spark, tables):
     asked = spark.createDataFrame([("a", "Where is the key of whom Ser Vael met?")], "qid string, question string")
-    first = answering.retrieved(asked, *tables)
-    assert "Mara Oren" in answering.bridged(asked, first, answering.mentioned(*tables), tables[1]).first().question
+    edges = answering.together(answering.mentioned(*tables))
+    found = answering.discovered(spark.createDataFrame([("a", "Ser Vael")], "qid string, name string"), edges)
+    assert [(r.name, r.chunk, r.hops) for r in found.collect()] == [("Mara Oren", 2, 1)]
+    assert "Mara Oren" in answering.bridged(asked, found).first().question
     assert 3 in {r.chunk for r in answering.multi_hop(asked, *tables).collect()}
 
 
@@ -94,13 +96,23 @@ def test_second_hop_asks_the_other_sub_questions_and_spreads_documents(spark, ta
     rows = [(i, "d" if i < 10 else f"d{i}", None, "iron key holds today" if i < 10 else "hall founded") for i in range(20)]
     records = spark.createDataFrame(rows, "record_id long, document_id string, document_title string, content string")
     c = answering.Config(per_document=1, preserve=30, k=5)
-    first = answering.retrieved(asked, records, tables[1], c)
-    assert answering.bridged(asked, first, answering.mentioned(records, tables[1]), tables[1]).first().question == "Who founded the hall that entity?"
+    found = spark.createDataFrame([], "qid string, name string, hops int")
+    assert answering.bridged(asked, found).first().question == "Who founded the hall that entity?"
     got = {r.rank: r.chunk for r in answering.multi_hop(asked, records, tables[1], c).collect()}
     # the first hop finds records of one document only, of which one stays
     assert set(got) == {1, 2, 3, 4, 5} and [n for n, chunk in got.items() if chunk < 10] == [1]
 
 
+def test_trails_keep_the_nearest_names(spark):
+    said = spark.createDataFrame([(1, "A"), (1, "B"), (2, "B"), (2, "C"), (3, "C"), (3, "D"), (4, "A"), (4, "B"), (5, "E"), (6, None)], "chunk long, name string")
+    edges = answering.together(said)
+    asked = spark.createDataFrame([("q", "A"), ("q", "A"), ("r", "E"), ("s", "nobody")], "qid string, name string")
+    got = lambda c: sorted((r.qid, r.name, r.chunk, r.hops) for r in answering.discovered(asked, edges, c).collect())
+    assert got(answering.Config()) == [("q", "B", 1, 1), ("q", "C", 2, 2)]
+    assert got(answering.Config(hops=3)) == [("q", "B", 1, 1), ("q", "C", 2, 2), ("q", "D", 3, 3)]
+    assert got(answering.Config(hops=3, paths=2)) == [("q", "B", 1, 1), ("q", "C", 2, 2)]
+
+
 def test_streamed_deliveries(spark, tmp_path):
     day = dt.datetime(2025, 1, 1)
     rows = [(1, "codex", day), (1, "codex", day + dt.timedelta(hours=2)), (2, "wiki", day + dt.timedelta(hours=1)), (None, "wiki", day), (3, "wiki", None)]
