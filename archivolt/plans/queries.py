@@ -882,3 +882,7 @@ def _ruled(i: int, pattern: str, predicate: str, strength: str) -> str:
 SQL["x10_claims"] = f"""
     WITH {_ONCE}, texts AS (SELECT record_id, content, coalesce(source_characteristics.claim_strength, 'assertion') AS own FROM once WHERE content IS NOT NULL), c AS ({" UNION ALL ".join(_ruled(i, *rule) for i, rule in enumerate(evidence.CLAIMS))})
     SELECT record_id, row_number() OVER (PARTITION BY record_id ORDER BY rule, spot)::INT AS claim_no, trim(regexp_replace(trim(s), '(?i)\\s+\\b(was|is|were|are|been|had)\\b.*$', '')) AS subject, predicate, trim(o) AS object, CASE WHEN w <> 'assertion' THEN w ELSE own END AS strength FROM c"""
+SQL["v6_reranked"] = f"""
+    WITH {_ASKED}, {_SEQ}, {_TERMS}, t AS (SELECT qid, list(term) AS terms FROM terms GROUP BY qid),
+    r AS (SELECT qid, record_id AS chunk, seq AS before, round(len(list_filter(coalesce(terms, []), lambda x: list_contains(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+'), x))) / greatest(len(coalesce(terms, [])), 1), 6) AS score FROM numbered JOIN asked USING (qid) LEFT JOIN t USING (qid) WHERE seq <= 30 AND content IS NOT NULL)
+    SELECT qid, chunk, score, rank, before FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, before) AS rank FROM r) WHERE rank <= 20"""
