@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,18 +21,66 @@ def source_rank(source: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), source), F.lit(0))
 
 
+#: Bits of the bitmap of names (its logarithm) that spares looking up most runs of words. Its size influences cost, never the result.
+BITS = 25
+
+
+def _runs(x: pa.RecordBatch, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each number of words up to ``most``: it, and the text, the place among all words of the batch and the bit of each run of so many words (hashes ``h``)."""
+    length = pc.list_value_length(x.column("h")).to_numpy(zero_copy_only=False).astype(np.int64)
+    words = x.column("h").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    text = np.repeat(np.arange(len(length)), length)
+    left = np.repeat(np.cumsum(length), length) - np.arange(len(words))  # words from each place to the end of its text
+    at, run = np.arange(len(words)), np.zeros(len(words), np.uint64)
+    for size in range(1, most + 1):
+        here = left[at] >= size
+        at, run = at[here], run[here]
+        run = run * np.uint64(0x9E3779B97F4A7C15) + words[at + size - 1]
+        yield size, text[at], at, ((run ^ (run >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def _bitmap(known: DataFrame, most: int) -> np.ndarray:
+    """The bits of all names (said, size), as bytes."""
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            length = x.column("size").to_numpy()
+            for size, text, _, bit in _runs(x, most):
+                yield pa.RecordBatch.from_arrays([pa.array(bit[length[text] == size] + 1)], ["bit"])
+
+    # counted from one, so that a bit's number in its bucket is the rest
+    rows = known.select(F.transform(F.split("said", " "), lambda w: F.xxhash64(w)).alias("h"), "size").mapInArrow(bits, "bit long")
+    out = np.zeros(1 << (BITS - 3), np.uint8)
+    for r in rows.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect():
+        part = np.frombuffer(r.bits, np.uint8)
+        out[(r.bucket - 1) * len(part) : r.bucket * len(part)] = part
+    return out
+
+
 def gazette_matches(texts: DataFrame, names: DataFrame, key: str, text: str, most: int = 4) -> DataFrame:
     """(key, name, n): how often each name of the gazette (a column ``name``) stands in each text, by words, in any case.
 
     Every run of up to ``most`` words is looked up; of matches that overlap the longest stands, then the first.
-    Names that are null or longer aren't found. The gazette is joined on equality, so it may be of any size.
+    Names that are null or longer aren't found. The gazette is joined on equality, so it may be of any size; runs that no name can equal by a
+    bitmap of fixed size aren't written out for the join.
     """
     words = F.array_remove(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), "")
     known = names.select(F.array_join(F.array_remove(F.split(F.lower("name"), r"[^\p{L}\p{N}]+"), ""), " ").alias("said"), "name").filter("said <> ''").groupBy("said").agg(F.min("name").alias("name"), (F.size(F.split("said", " "))).alias("size")).filter(F.col("size") <= most)
     rows = texts.select(F.col(key).alias("key"), words.alias("w")).filter("size(w) > 0")
-    # all runs in one array: what is exploded carries no more than the run and its place
-    runs = F.expr(f"flatten(transform(sequence(0, size(w) - 1), i -> transform(sequence(1, least({most}, size(w) - i)), g -> struct(i AS at, array_join(slice(w, i + 1, g), ' ') AS said))))")
-    grams = rows.select("key", F.explode(runs).alias("g")).select("key", "g.at", "g.said")
+    bits = texts.sparkSession.sparkContext.broadcast(_bitmap(known, most))
+
+    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            length = pc.list_value_length(x.column("w")).to_numpy(zero_copy_only=False).astype(np.int64)
+            begins, words = np.cumsum(length) - length, x.column("w").flatten()
+            for size, text, at, bit in _runs(x, most):
+                here = np.flatnonzero(bits.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+                text, at = text[here], at[here]
+                said = pc.binary_join_element_wise(*[words.take(pa.array(at + i)).cast(pa.string()) for i in range(size)], " ")
+                yield pa.RecordBatch.from_arrays([x.column("key").take(pa.array(text)), pa.array((at - begins[text]).astype(np.int32)), said], ["key", "at", "said"])
+
+    hashed = rows.select("key", "w", F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
+    grams = hashed.mapInArrow(looked_up, f"key {dict(rows.dtypes)['key']}, at int, said string")
     hits = grams.join(known, "said")
     # a hit goes if a longer one, or one as long that begins earlier, covers part of it
     spans = hits.groupBy("key").agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("long"), "at", "size", "name"))).alias("all"))

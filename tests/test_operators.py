@@ -162,6 +162,22 @@ def test_bm25_makes_no_row_per_question_and_text(spark):
     assert {(r.qid, r.chunk, r.score, r.rank) for r in frame_.collect()} == want
 
 
+def test_cover_density_takes_no_words_out_of_texts(spark):
+    rng = random.Random(16)
+    words = ["red", "fox", "ran", "xxx", "yyy"]
+    texts = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 9)))) for i in range(120)] + [(990, None), (991, "")]
+    asked = [(f"q{i}", " ".join(rng.sample(words, rng.randint(1, 3)))) for i in range(20)] + [("r", "none red"), ("s", ""), ("t", None)]
+    found = retrieval.cover_density(frame(spark, asked, "qid string, question string"), frame(spark, texts, "id long, text string"), "id", "text", 5, block=8)
+    assert "posexplode" not in found._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for q, t in asked:
+        terms = set((t or "").split())
+        scores = [(-covers(x, terms), i) for i, x in texts if x and terms and terms <= set(x.split())]
+        want |= {(q, i, n + 1): -s for n, (s, i) in enumerate(sorted(scores)[:5])}
+    got = {(r.qid, r.chunk, r.rank): r.score for r in found.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
 def test_the_best_of_a_stream_are_those_of_all(spark):
     rng = np.random.default_rng(3)
     state, tables = retrieval.Best(5, 4), []
@@ -200,6 +216,25 @@ def test_gazette_takes_the_longest(spark):
     assert got == {(1, "Ashen Vanguard", 1), (1, "Ashen", 1)}
 
 
+def test_gazette_writes_out_only_runs_that_may_be_names(spark):
+    rng = random.Random(15)
+    words = [f"w{i}" for i in range(30)] + ["Çava", "漢字"]
+    names = sorted({" ".join(rng.choice(words) for _ in range(rng.randint(1, 4))) for _ in range(60)})
+    texts = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 25)))) for i in range(80)]
+    found = entities.gazette_matches(frame(spark, texts, "id long, text string"), frame(spark, [(n,) for n in names], "name string"), "id", "text", 3)
+    assert "explode(flatten(" not in found._jdf.queryExecution().executedPlan().toString()
+    want, known = set(), {tuple(n.lower().split()): n for n in names if len(n.split()) <= 3}
+    for i, t in texts:
+        w = t.lower().split()
+        spans, kept = sorted((-g, a, known[tuple(w[a : a + g])]) for a in range(len(w)) for g in (1, 2, 3) if a + g <= len(w) and tuple(w[a : a + g]) in known), []
+        for g, a, n in spans:
+            if all(a - g <= b or b - h <= a for h, b, _ in kept):
+                kept.append((g, a, n))
+        said = [n for _, _, n in kept]
+        want |= {(i, n, said.count(n)) for n in said}
+    assert {(r.id, r.name, r.n) for r in found.collect()} == want
+
+
 def test_lookup_prefers_names(spark):
     known = frame(spark, [(1, "Vael", ["Ser Vael"], 5), (2, "Ser Vael", [], 1), (3, "Lord", None, None)], "entity_id long, name string, aliases array<string>, mention_count int")
     got = {r.asked: (r.entity_id, r.exact) for r in entities.looked_up(frame(spark, [("ser vael",), ("VAEL",), (None,), ("nobody",)], "name string"), known).collect()}
