@@ -22,6 +22,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import islice
 
 import pyarrow as pa
@@ -35,14 +36,19 @@ UNMARKED = 5.0
 #: Counts of a word's class that are added to its own.
 BACK_OFF = 12
 
-_PARAGRAPH = re.compile(r"\S(?:[^\n]|\n(?![^\S\n]*\n))*")
+_PARAGRAPH = re.compile(r"\S[^\n]*(?:\n(?![^\S\n]*\n)[^\n]*)*")
 _SPAN = re.compile(r"\"[^\"]*\"|“[^“”]*”|„[^„“”]*[“”]|«[^«»]*»|「[^」]*」|『[^』]*』|\([^()]*\)|（[^（）]*）|\[[^\[\]]*\]|(?<!\w)'[^']*?[.!?,]'(?!\w)|(?<!\w)‘[^‘’]*?’(?!\w)")
 _OPENS_SPAN = re.compile(r"[\"“„«「『(（\['‘]")
 _END = "[.!?…。！？．।॥؟۔]"
-_SLOT = re.compile(rf"(?:\s?{_END})+")
+# without the space that may stand before it: a pattern that begins with a set of characters is looked for fast
+_SLOT = re.compile(rf"{_END}(?:\s?{_END})*")
 _WORD = re.compile(r"\w[\ẁ-ͯऀ-ॿ฀-๿]*")
+#: What may stand within a word only, and an opening mark right before one.
+_TAIL = re.compile(r"[\ẁ-ͯऀ-ॿ฀-๿]")
+_OPENED = re.compile(r"[\"“„«「¿¡(](?=\w)")
 _CLOSE = frozenset("\"”“»」』)）]'’")
 _OPEN = "\"“„«「『(（['‘¿¡—–-"
+_APART = re.compile(rf"[\s{_OPEN}]")
 _NO_SPACE = re.compile(r"[฀-๿຀-໿က-႟ក-៿]")
 _TOGETHER = re.compile(r"[\d฀-๿຀-໿က-႟ក-៿]")
 _SPACES = re.compile(r"(?<=\S)\s+(?=\S)")
@@ -50,8 +56,8 @@ _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 _JOINED = re.compile(r"[^\s.,_/@\d]*[.,_/@\d]+[^\s.,!?;:]")
 #: The beginning of a left side without an end mark.
 _NO_MARK = "~"
-# Behind a small letter or a digit, before a word; and spaces between characters of scripts without them.
-_BEHIND, _WITHIN = r"\s(?<=[a-z0-9ß-öø-ÿа-яёα-ωά-ώ]\s)\s*", r"[ \u3000](?<=[\u3041-\u30ff\u3400-\u9fff].)[ \u3000]*(?=[\u3041-\u30ff\u3400-\u9fff])"
+# After a space: behind a small letter or a digit, before a word; and spaces between characters of scripts without them.
+_BEHIND, _WITHIN = r"(?<=[a-z0-9ß-öø-ÿа-яёα-ωά-ώ]\s)\s*", r"(?<=[ \u3000])(?<=[\u3041-\u30ff\u3400-\u9fff].)[ \u3000]*(?=[\u3041-\u30ff\u3400-\u9fff])"
 _DIGITS = re.compile(r"\d+(?:[.,:]\d+)*")
 
 
@@ -79,10 +85,11 @@ def _shape(word: str) -> str:
 
 def _left(text: str, low: int, at: int) -> str:
     """What stands before ``at``, up to a space or an opening mark, lower-cased but for single letters, digits as #."""
-    i = at
-    while i > low and at - i < 20 and not text[i - 1].isspace() and text[i - 1] not in _OPEN:
-        i -= 1
-    chunk = text[i:at]
+    return _said(_APART.split(text[max(low, at - 20) : at])[-1])
+
+
+@lru_cache(maxsize=1 << 16)
+def _said(chunk: str) -> str:
     if _CJK.search(chunk):
         return "cjk"
     return _DIGITS.sub("#", chunk if len(chunk) == 1 else chunk.lower())
@@ -120,7 +127,9 @@ def slots(text: str, low: int, high: int, bare: re.Pattern | None = None) -> lis
     spans = _spans(text, low, high)
     k = 0
     for m in _SLOT.finditer(text, low, high):
-        at, end = m.start(), m.end()
+        at, end = m.span()
+        if at > low and text[at - 1].isspace():
+            at -= 1
         while k < len(spans) and spans[k][1] <= at:
             k += 1
         mark = text[end - 1]
@@ -217,7 +226,8 @@ class Model:
         self.cache: dict[tuple[str, str, bool], float] = {}
         # words that stand at beginnings so much more than within that they tell one also where no mark is
         openers = sorted(w for w, n in self.first.items() if n >= 5 and w[:1].isupper() and self._ratio(w, False) > UNMARKED)
-        self.bare = re.compile((rf"{_BEHIND}(?=(?:{'|'.join(map(re.escape, openers))})(?!\w))|" if openers else "") + _WITHIN)
+        letters = "".join(sorted({re.escape(w[0]) for w in openers}))
+        self.bare = re.compile(r"\s(?:" + (rf"(?=[\s{letters}]){_BEHIND}(?=(?:{'|'.join(map(re.escape, openers))})(?!\w))|" if openers else "") + _WITHIN + ")")
 
     def _p(self, ends: int, n: int, token: str, all_ends: Counter) -> float:
         kind, share = _kind(token), self.share[token[:1]]
@@ -326,6 +336,7 @@ def _count(texts: Iterator[str]) -> Counter:
     """What the model is estimated from: left sides and those at paragraph ends, words that begin paragraphs and words within."""
     counts: Counter = Counter()
     within: Counter = Counter()
+    said: Counter = Counter()  # words as they stand, those that aren't within taken off again
     for text in texts:
         for m in _PARAGRAPH.finditer(text):
             low, high = m.start(), m.end()
@@ -344,14 +355,22 @@ def _count(texts: Iterator[str]) -> Counter:
                     counts["end", left] += 1
             behind = {nxt for _, nxt, _, _ in here}
             spaced = any(left[:1] == " " for _, _, left, _ in here)
-            words = islice(_WORD.finditer(text, low, high), 1, None)
-            if spaced:
-                words = (w for w in words if not text[w.start() - 1].isspace())
-            within.update([_token(w.group()) for w in words if w.start() not in behind and text[w.start() - 1] not in "\"“„«「¿¡("])
+            if spaced or any(end == nxt < high and _TAIL.match(text[nxt - 1]) for end, nxt, _, _ in here):
+                words = islice(_WORD.finditer(text, low, high), 1, None)
+                if spaced:
+                    words = (w for w in words if not text[w.start() - 1].isspace())
+                within.update([_token(w.group()) for w in words if w.start() not in behind and text[w.start() - 1] not in "\"“„«「¿¡("])
+            elif first := _WORD.search(text, low, high):
+                said.update(_WORD.findall(text, low, high))
+                out = {first.start(), *behind, *(m.end() for m in _OPENED.finditer(text, low, high))}
+                said.subtract([w.group() for at in out if (w := _WORD.match(text, at, high))])
             if spaced:  # scripts that write words together: what stands behind a digit is within
                 for _, _, left, right in here:
                     if right == "#" or left.endswith("#"):
                         within[right] += 1
+    for word, n in said.items():
+        if n:
+            within[_token(word)] += n
     counts.update({("inner", word): n for word, n in within.items()})
     return counts
 

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from archivolt.llm.sentences import FIT_DOCS, divide, fit, sentences
+from archivolt.llm.sentences import FIT_DOCS, _count, divide, fit, sentences
 
 
 @pytest.fixture(scope="module")
@@ -74,3 +74,19 @@ def test_boundaries_without_marks(spark):
     assert sorted(got[630]) == sorted(["The miller of Mopu Heath sold a bell", "According to Vedi Oar no bell was lost", "The bell rang for Ann Reed"])
     assert len(got[631]) == 3
     assert sorted(got[632]) == sorted(spaced.split(" "))
+
+
+def test_words_within_are_counted_as_a_whole():
+    """Words are counted by findall, so those that a slot, an opening mark or the beginning takes out are taken off again."""
+    counts = _count(['The rope of Nar (the old one) "was" lost.He left. Then the rope broke!'])
+    assert {word: n for (what, word), n in counts.items() if what == "inner"} == {"rope": 2, "of": 1, "Nar": 1, "old": 1, "one": 1, "lost": 1, "left": 1, "the": 1, "broke": 1}
+
+
+def test_words_are_not_looked_at_one_by_one(monkeypatch):
+    """Counting takes only different words apart, not each occurrence (that took half of the time)."""
+    from archivolt.llm import sentences as module
+
+    seen, token = [], module._token
+    monkeypatch.setattr(module, "_token", lambda word: seen.append(word) or token(word))
+    counts = _count(["The rope " + "and the rope " * 500 + "broke."])
+    assert counts["inner", "rope"] == 501 and len(seen) < 10
