@@ -153,3 +153,22 @@ def test_bounds_hold():
                 if o >= 0.8 * (n + m - o) - 1e-9:
                     assert n + m - 2 * o <= min(breaks(n, 0.8), breaks(m, 0.8))
                     assert (n + m - 2 * o + 1) * (sure_length(n, 0.8) - 1) + 1 <= o
+
+
+def test_a_word_has_one_hash_as_bytes_or_not():
+    texts = ["The Old-rope_of 12 ports\x1f!", "The Old-rope_of 12 ports é!", "the old rope of 12 ports É"]
+    ids, sids, sizes, tokens = near_duplicates._hashed([1, 2, 3], texts, {})
+    parts = np.split(tokens, np.cumsum(sizes)[:-1])
+    assert sizes.tolist() == [6, 7, 7] and set(parts[0]) < set(parts[1]) and parts[1].tolist() == parts[2].tolist() and sids[1] == sids[2] != sids[0]
+
+
+def test_pairs_that_differ_in_too_many_words_are_left_out_first(monkeypatch):
+    """Most pairs of one n-gram fail on the parities of their words, which are looked at before all else."""
+    seen, similar = [], near_duplicates._similar
+    monkeypatch.setattr(near_duplicates, "_similar", lambda a, *rest: seen.append(len(a)) or similar(a, *rest))
+    rng = np.random.default_rng(3)
+    sig = (rng.integers(0, 1 << 54, 300, np.int64).view(np.uint64) << np.uint64(10)) | np.uint64(40)
+    sig[7] = sig[8] = sig[250]
+    x = pa.RecordBatch.from_arrays([pa.array(np.zeros(300, np.int64)), pa.array(np.arange(300)), pa.array(sig.view(np.int64))], ["key", "sid", "sig"])
+    found = [(a, b) for y in near_duplicates._pairs(0.8, 16, 8192)(iter([x])) for a, b in zip(y.column("a").to_pylist(), y.column("b").to_pylist(), strict=True)]
+    assert sorted(found) == [(7, 8), (7, 250), (8, 250)] and sum(seen) == 3
