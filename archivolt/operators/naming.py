@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from archivolt.functions.text import core_name
 from archivolt.operators.entities import gazette_matches, source_rank
-from archivolt.plans.session import cut
+from archivolt.plans.session import cut, width
 
 # What the beginnings of pictures' and wiki pages' names, the categories of plates and the fields of
 # information boxes tell of an entity's type.
@@ -104,6 +107,55 @@ def entities_of(texts: DataFrame, forms: DataFrame, key: str, text: str, most: i
 
 #: Names of more letters are compared by their thirds instead of by what is left without one or two letters.
 LONG = 48
+#: Rows of forms and links that are settled in one task; more are made fewer by rounds first. Cost only.
+AT_ONCE = 2_000_000
+_BASE, _MIX = 0xD6E8FEB86659FD93, 0x9E3779B97F4A7C15
+
+
+def _rests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(x, key): hashes of what is left of each string without up to two of its letters: a polynomial over the letters, as differences of prefix sums."""
+    back = np.uint64(pow(_BASE, -1, 1 << 64))
+    for x in batches:
+        said = x.column("x").to_pylist()
+        length = np.array([len(t) for t in said], np.int64)
+        for size in np.unique(length).tolist():
+            i, j = np.triu_indices(size, 1)
+            every, one = np.flatnonzero(length == size), np.arange(size)
+            powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, _BASE, np.uint64)]), dtype=np.uint64)
+            step = max(1, 1_000_000 // (1 + size + len(i)))
+            for at in (every[k : k + step] for k in range(0, len(every), step)):
+                letters = np.frombuffer("".join(said[k] for k in at).encode("utf-32-le"), np.uint32).reshape(-1, size).astype(np.uint64)
+                mixed = (letters + np.uint64(1)) * np.uint64(_MIX)
+                sums = np.zeros((len(at), size + 1), np.uint64)
+                np.cumsum((mixed ^ (mixed >> np.uint64(29))) * powers, axis=1, out=sums[:, 1:])
+                whole = sums[:, -1:]
+                keys = np.concatenate([whole, sums[:, one] + back * (whole - sums[:, one + 1]), sums[:, i] + back * (sums[:, j] - sums[:, i + 1] + back * (whole - sums[:, j + 1]))], axis=1)
+                keys.sort(axis=1)
+                new = np.ones(keys.shape, bool)
+                new[:, 1:] = keys[:, 1:] != keys[:, :-1]
+                row, column = np.nonzero(new)
+                yield pa.RecordBatch.from_arrays([x.column("x").take(pa.array(at[row])).cast(pa.string()), pa.array(keys[row, column].view(np.int64))], ["x", "key"])
+
+
+def _sharing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b): strings with a key in common, in a stream of (x, key) sorted by key."""
+
+    def pairs(key, said):
+        at, step = np.arange(len(key)), 1
+        while len(at := at[at + step < len(key)]) and len(at := at[key[at] == key[at + step]]):
+            for i in range(0, len(at), 100_000):
+                part = at[i : i + 100_000]
+                yield pa.RecordBatch.from_arrays([said.take(pa.array(part)), said.take(pa.array(part + step))], ["a", "b"])
+            step += 1
+
+    keys, said = np.empty(0, np.int64), pa.array([], pa.string())
+    for x in batches:
+        keys, said = np.concatenate([keys, x.column("key").to_numpy()]), pa.concat_arrays([said, x.column("x").cast(pa.string())])
+        if len(keys):
+            last = int(np.searchsorted(keys, keys[-1]))  # the last key may go on
+            yield from pairs(keys[:last], said.slice(0, last))
+            keys, said = keys[last:], said.slice(last)
+    yield from pairs(keys, said)
 
 
 def near_names(names: DataFrame, name: str = "core") -> DataFrame:
@@ -114,10 +166,10 @@ def near_names(names: DataFrame, name: str = "core") -> DataFrame:
     one third of the one stands unchanged in the other, at most two places aside. Each pair is verified once; no pair is lost.
     """
     rows = names.select(F.col(name).alias("x")).filter("length(x) >= 5").distinct()
-    one = "transform(sequence(1, length(x)), i -> concat(substring(x, 1, i - 1), substring(x, i + 1)))"
-    rests = f"array_distinct(transform(concat(array(x), {one}, flatten(transform({one}, y -> transform(sequence(1, length(y)), i -> concat(substring(y, 1, i - 1), substring(y, i + 1)))))), r -> xxhash64(r)))"
-    keys = rows.filter(F.length("x") <= LONG + 2).select("x", F.explode(F.expr(rests)).alias("key"))
-    pairs = keys.select(F.col("x").alias("a"), "key").join(keys.select(F.col("x").alias("b"), "key"), "key").filter("a < b").select("a", "b")
+    spark = names.sparkSession
+    keys = rows.filter(F.length("x") <= LONG + 2).repartition(width(spark)).mapInArrow(_rests, "x string, key long")
+    met = keys.repartition(width(spark), "key").sortWithinPartitions("key").mapInArrow(_sharing, "a string, b string")
+    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b")
     third = lambda n, i, d: f"substring(x, int(({i} * {n}) div 3) + 1 + {d}, int((({i} + 1) * {n}) div 3) - int(({i} * {n}) div 3))"
     wide = rows.filter(F.length("x") > LONG)
     own = wide.select(F.col("x").alias("a"), F.explode(F.expr(f"transform(sequence(0, 2), i -> struct(length(x) AS n, i AS i, {third('length(x)', 'i', '0')} AS said))")).alias("k"))
@@ -133,7 +185,7 @@ def resolved(mentions: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
     First come the names of the gazette ``known`` (name), those with "the" last, shorter ones first; then those of the best source, shorter ones first;
     ties go by name. Null and blank names are left out. The order is kept by rounds: a name is settled as soon as all names before it that are near are,
-    or one of them stands for itself; as chains of near names are short, so are the rounds.
+    or one of them stands for itself. What is few enough for one task is settled there, in order, without further rounds.
     """
     own = mentions.select(F.trim("name").alias("name"), source_rank(F.col("source")).alias("r")).filter("name <> ''").groupBy("name").agg(F.max("r").alias("r"))
     names = own.select("name", F.struct(F.lit(1).alias("turn"), (-F.col("r")).alias("late"), F.length("name").alias("size"), "name").alias("place"))
@@ -150,6 +202,14 @@ def resolved(mentions: DataFrame, known: DataFrame | None = None) -> DataFrame:
     first = lambda df, n: near.join(df.groupBy(F.col("form").alias("b")).agg(F.min("place").alias(n)), "b").groupBy(F.col("a").alias("form")).agg(F.min(n).alias(n))
     settled, heads, left = None, forms.filter("place.turn = 0"), forms.filter("place.turn = 1")
     while True:
+        links = near.join(left.select(F.col("form").alias("a")).distinct(), "a", "left_semi")
+        above = heads.groupBy("form").agg(F.min("place").alias("place")).join(links.select(F.col("b").alias("form")).distinct(), "form", "left_semi")
+        place, none = [f"place.{c} AS {c}" for c in ("late", "size", "turn", "name")], [f"cast(null AS {t}) AS {c}" for t, c in (("int", "late"), ("int", "size"), ("int", "turn"), ("string", "name"))]
+        known = left.selectExpr("0 AS kind", "form", "cast(null AS string) AS other", *place).unionByName(above.selectExpr("1 AS kind", "form", "cast(null AS string) AS other", *place)).unionByName(links.selectExpr("2 AS kind", "a AS form", "b AS other", *none))
+        known = cut(known)
+        if known.count() <= AT_ONCE:
+            done = known.coalesce(1).mapInArrow(_settled, "name string, canonical string")
+            return done if settled is None else settled.select("name", "canonical").unionByName(done)
         # around each name the first that stands for itself and the first that isn't settled; the name itself is one of these
         view = left.join(first(left, "open"), "form").join(first(heads, "head"), "form", "left").groupBy("name", "place").agg(F.min("open").alias("open"), F.min("head").alias("head"))
         done = view.filter("head < open or open = place").select("name", F.when(F.col("head") < F.col("open"), F.col("head.name")).otherwise(F.col("name")).alias("canonical"), (F.coalesce(F.col("head") >= F.col("open"), F.lit(True))).alias("itself"))
@@ -158,3 +218,29 @@ def resolved(mentions: DataFrame, known: DataFrame | None = None) -> DataFrame:
         left = cut(forms.filter("place.turn = 1").join(settled.select("name"), "name", "left_anti"))
         if left.isEmpty():
             return settled.select("name", "canonical")
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(name, canonical) of the names that are left: their forms (kind 0), the first that stands for itself of each form near them (1), links of forms (2)."""
+    forms: dict[tuple, list[str]] = {}
+    first: dict[str, tuple] = {}
+    near: dict[str, list[str]] = {}
+    for x in batches:
+        for kind, form, other, *place in zip(*(x.column(c).to_pylist() for c in ("kind", "form", "other", "turn", "late", "size", "name")), strict=True):
+            if kind == 0:
+                forms.setdefault(tuple(place), []).append(form)
+            elif kind == 1:
+                first[form] = tuple(place)
+            else:
+                near.setdefault(form, []).append(other)
+    names, canonical = [], []
+    for place in sorted(forms):
+        head = min((first[b] for a in forms[place] for b in near.get(a, ()) if b in first), default=place)
+        if head >= place:
+            head = place
+            for a in forms[place]:
+                first[a] = min(first.get(a, place), place)
+        names.append(place[-1])
+        canonical.append(head[-1])
+    for i in range(0, len(names), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000], pa.string()) for c in (names, canonical)], ["name", "canonical"])

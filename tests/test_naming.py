@@ -73,6 +73,18 @@ def test_aliases_are_those_of_an_ordered_fold(spark):
     assert naming.resolved(df.limit(0)).count() == 0
 
 
+def test_a_chain_of_near_names_is_settled_in_one_task(spark, monkeypatch):
+    """Names each near the one before took a round each, with jobs and plans of their own: what fits one task has none; in rounds the rows are the same."""
+    rows = [("abcdefgh" + "xyz"[i % 3] * (2 * i + 1), "rules") for i in range(8)]
+    df = spark.createDataFrame(rows, "name string, source string")
+    cuts, cut = [], naming.cut
+    monkeypatch.setattr(naming, "cut", lambda x: cuts.append(x) or cut(x))
+    together = {r.name: r.canonical for r in naming.resolved(df).collect()}
+    assert len(cuts) == 3 and len(together) == 8
+    monkeypatch.setattr(naming, "AT_ONCE", 0)
+    assert {r.name: r.canonical for r in naming.resolved(df).collect()} == together
+
+
 def test_gazette_of_files(spark):
     box = "# The Hall (location)\n| Elevation | 9 |\n| Role | x |"
     rows = [
