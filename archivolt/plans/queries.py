@@ -444,7 +444,9 @@ def v8_hybrid(spark, d):
     WITH {_BM25}, {_ENTITY}, i AS (SELECT qid, chunk, min(struct_pack(rank := rank, stream := stream)) AS first_ FROM (SELECT qid, chunk, rank, 0 AS stream FROM lexical UNION ALL SELECT qid, chunk, rank, 1 FROM entity_list) GROUP BY qid, chunk)
     SELECT qid, chunk, rank FROM (SELECT qid, chunk, row_number() OVER (PARTITION BY qid ORDER BY first_.rank, first_.stream) AS rank FROM i) WHERE rank <= 40""")
 def v10_interleaved(spark, d):
-    return retrieval.interleaved(v1_bm25(spark, d), v3_entity_search(spark, d), 40)
+    rows, names = cut(records(spark, d, "content").filter("content is not null")), gazette(spark, d)
+    only = answering.Config(dense=False, contextual=False)
+    return retrieval.interleaved(*answering.streams(asked(spark, d), rows, names, answering.mentioned(rows, names), only, {}), 40)
 
 
 @query("v9_multi_hop")

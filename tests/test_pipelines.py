@@ -121,3 +121,22 @@ def test_streamed_deliveries(spark, tmp_path):
     stream = ingest.first_deliveries(ingest.arriving(spark, str(tmp_path / "in"), df.schema))
     ingest.written(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     assert sorted(r.record_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2]
+
+
+def test_answers_store_what_is_read_several_times(spark, data, monkeypatch):
+    """The records that all streams read, and what was retrieved, which three later steps read."""
+    from archivolt.plans import queries
+
+    stored, cut = [], answering.cut
+    monkeypatch.setattr(answering, "cut", lambda df: stored.append(df.columns) or cut(df))
+    queries.QUERIES["x18_answers"](spark, data)
+    assert stored[0] == ["record_id", "content", "document_id", "document_title", "section_title", "source_category"] and stored[-1] == ["qid", "record_id", "seq"]
+
+
+def test_interleaved_streams_share_their_records(spark, data, monkeypatch):
+    from archivolt.plans import queries
+
+    read, once = [], queries.evidence.once
+    monkeypatch.setattr(queries.evidence, "once", lambda rows: read.append(1) or once(rows))
+    queries.QUERIES["v10_interleaved"](spark, data)
+    assert len(read) == 1
