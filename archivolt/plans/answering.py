@@ -167,7 +167,9 @@ def multi_hop(questions: DataFrame, records: DataFrame, names: DataFrame, c: Con
 
 def answers(questions: DataFrame, records: DataFrame, names: DataFrame, c: Config = Config()) -> DataFrame:
     """(qid, answer, level): what the retrieved evidence says about each question, cited by evidence number; where it isn't sufficient, a refusal."""
-    found = retrieved(questions, records, names, c).select("qid", F.col("chunk").alias("record_id"), F.col("rank").alias("seq"))
+    read = [x for x in ("record_id", "content", "document_id", "document_title", "section_title", "source_category") if x in records.columns]
+    # both stored: the streams read the records several times, and what follows the result
+    found = cut(retrieved(questions, cut(records.select(*read)), names, c).select("qid", F.col("chunk").alias("record_id"), F.col("rank").alias("seq")))
     about = records.drop("qid", "score")
     numbered = found.join(about, "record_id").withColumn("evidence_id", F.format_string("EVIDENCE_%03d", "seq"))
     held = evidence.in_context(numbered, c.context_tokens).select("qid", "evidence_id")
