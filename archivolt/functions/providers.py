@@ -7,8 +7,10 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Callable
 from hashlib import md5
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -18,28 +20,58 @@ from pyspark.sql import functions as F
 from archivolt.functions.text import query_terms, tokens
 
 
-def _hashed_vectors(texts: pd.Series, size: int) -> pd.Series:
-    """Counts of words and pairs of words, hashed to ``size`` cells with signs."""
-    out, known = [], {}
-    for text in texts:
-        v = np.zeros(size, np.float32)
-        words = re.findall(r"[^\W_]+", (text or "").lower())
-        for gram in [*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))]:
-            if gram not in known:
-                known[gram] = int.from_bytes(md5(gram.encode()).digest()[:4])
-            h = known[gram]
-            v[h % size] += 1.0 if h >> 31 else -1.0
-        if len(known) > 500_000:  # bounded; words come again
-            known.clear()
-        out.append(v.tolist())
-    return pd.Series(out)
+#: Letters and digits of ASCII in lower case, all else as spaces.
+_PLAIN = bytes(c if chr(c).isalnum() and c < 128 else 32 for c in range(256))
+#: Hashes of words and pairs of words that a worker has met; bounded, as words come again.
+_HASHES: dict[bytes, int] = {}
+
+
+def _words(text: str | None) -> list[bytes]:
+    """The runs of letters and digits, lower-cased."""
+    text = text or ""
+    if text.isascii():
+        return text.encode().lower().translate(_PLAIN).split()
+    return [w.encode() for w in re.findall(r"[^\W_]+", text.lower())]
+
+
+def _hash(gram: bytes) -> int:
+    if gram not in _HASHES:
+        if len(_HASHES) > 500_000:
+            _HASHES.clear()
+        _HASHES[gram] = int.from_bytes(md5(gram).digest()[:4])
+    return _HASHES[gram]
+
+
+def hashed_vectors(texts: list[str | None], size: int, before: list[str | None] | None = None) -> list[np.ndarray]:
+    """Counts of words and pairs of words, hashed to ``size`` cells with signs: of the texts, and if there are texts to stand before them, of both as one, too.
+
+    A word or pair is hashed once for all texts."""
+    own = [_words(t) for t in texts]
+    words = own if before is None else [_words(b) + w for b, w in zip(before, own, strict=True)]
+    size_of = lambda x: np.fromiter(map(len, x), np.int64, len(x))
+    length, flat = size_of(words), [w for x in words for w in x]
+    number: dict[bytes, int] = defaultdict(count().__next__)
+    code = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
+    known = list(number)
+    text = np.repeat(np.arange(len(words)), length)
+    spot = np.arange(len(flat)) - np.repeat(np.cumsum(length) - length, length)
+    two = np.flatnonzero(text[:-1] == text[1:])
+    pairs, pair = np.unique(code[two] * len(known) + code[two + 1], return_inverse=True)
+    one = np.fromiter(map(_hash, known), np.int64, len(known))[code]
+    both = np.fromiter((_hash(known[p // len(known)] + b" " + known[p % len(known)]) for p in pairs.tolist()), np.int64, len(pairs))[pair]
+    h, text, spot = np.concatenate([one, both]), np.concatenate([text, text[two]]), np.concatenate([spot, spot[two]])
+    cell, sign = text * size + h % size, np.where(h >> 31, 1.0, -1.0)
+    sums = lambda at: np.bincount(cell[at], sign[at], len(words) * size).reshape(-1, size).astype(np.float32)
+    if before is None:
+        return [sums(slice(None))]
+    return [sums(spot >= (length - size_of(own))[text]), sums(slice(None))]
 
 
 def embedded(text: Column, size: int = 64, provider: Callable[[pd.Series], pd.Series] | None = None) -> Column:
     """The vector of a text; texts without words have a zero vector."""
 
     def run(texts: pd.Series) -> pd.Series:
-        return provider(texts) if provider else _hashed_vectors(texts, size)
+        return provider(texts) if provider else pd.Series(list(hashed_vectors(list(texts), size)[0]))
 
     return F.pandas_udf(run, "array<float>")(text)
 

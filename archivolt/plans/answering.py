@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from archivolt.functions.providers import composed, embedded
+from archivolt.functions.providers import composed, embedded, hashed_vectors
 from archivolt.operators import evidence, retrieval
 from archivolt.operators.entities import gazette_matches
 from archivolt.operators.questions import sub_questions
@@ -16,6 +19,8 @@ from archivolt.plans.session import cut
 
 #: Words of the longest names that are looked up.
 MOST_WORDS = 6
+#: Numbers of a text's vector.
+SIZE = 64
 
 
 @dataclass(frozen=True)
@@ -57,8 +62,22 @@ def vectors(records: DataFrame, contextual: bool = False) -> DataFrame:
 
 
 def known_vectors(records: DataFrame, c: Config) -> dict[str, DataFrame]:
-    """The vectors that the dense streams need: computed once for all hops."""
-    return {name: cut(vectors(records, name == "contextual")) for name, on in (("dense", c.dense), ("contextual", c.contextual)) if on}
+    """The vectors that the dense streams need: computed once for all hops, and those of a text with its titles along with its own."""
+    if not (c.dense and c.contextual):
+        return {name: cut(vectors(records, name == "contextual")) for name, on in (("dense", c.dense), ("contextual", c.contextual)) if on}
+    before = F.concat_ws(" ", *[x for x in ("document_title", "section_title") if x in records.columns])
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 4096):
+                x = batch.slice(i, 4096)
+                found = hashed_vectors(x.column("content").to_pylist(), SIZE, x.column("before").to_pylist())
+                ends = pa.array(np.arange(0, x.num_rows * SIZE + 1, SIZE, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([x.column("id"), *[pa.ListArray.from_arrays(ends, pa.array(v.ravel())) for v in found]], ["id", "dense", "contextual"])
+
+    rows = records.filter("trim(content) <> ''").select(F.col("record_id").alias("id"), before.alias("before"), "content")
+    known = cut(rows.mapInArrow(both, f"id {dict(rows.dtypes)['id']}, dense array<float>, contextual array<float>"))
+    return {name: known.select("id", F.col(name).alias("vector")).filter(F.exists("vector", lambda x: x != 0)) for name in ("dense", "contextual")}
 
 
 def by_vector(questions: DataFrame, known: DataFrame, k: int) -> DataFrame:
