@@ -72,12 +72,11 @@ def known_vectors(records: DataFrame, c: Config) -> dict[str, DataFrame]:
             for i in range(0, batch.num_rows, 4096):
                 x = batch.slice(i, 4096)
                 found = hashed_vectors(x.column("content").to_pylist(), SIZE, x.column("before").to_pylist())
-                ends = pa.array(np.arange(0, x.num_rows * SIZE + 1, SIZE, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([x.column("id"), *[pa.ListArray.from_arrays(ends, pa.array(v.ravel())) for v in found]], ["id", "dense", "contextual"])
+                yield pa.RecordBatch.from_arrays([x.column("id"), *[pa.array(retrieval.small(v), pa.binary()) for v in found]], ["id", "dense", "contextual"])
 
     rows = records.filter("trim(content) <> ''").select(F.col("record_id").alias("id"), before.alias("before"), "content")
-    known = cut(rows.mapInArrow(both, f"id {dict(rows.dtypes)['id']}, dense array<float>, contextual array<float>"))
-    return {name: known.select("id", F.col(name).alias("vector")).filter(F.exists("vector", lambda x: x != 0)) for name in ("dense", "contextual")}
+    known = cut(rows.mapInArrow(both, f"id {dict(rows.dtypes)['id']}, dense binary, contextual binary"))
+    return {name: known.select("id", F.col(name).alias("vector")).filter("vector is not null") for name in ("dense", "contextual")}
 
 
 def by_vector(questions: DataFrame, known: DataFrame, k: int) -> DataFrame:

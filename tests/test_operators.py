@@ -209,6 +209,20 @@ def test_no_text_of_the_best_is_passed_over():
     assert list(zip(r.tolist(), c.tolist(), strict=True)) == [(i, j) for i in range(30) for j in range(40) if (weights[terms[i], j] > 0).all()]
 
 
+def test_single_precision_passes_over_none_of_the_best():
+    rng = np.random.default_rng(5)
+    exact = np.round(rng.random((6, 80)), 2)  # many ties
+    state = retrieval.Best(6, 7)
+    for at in range(0, 80, 20):
+        r, c = state.near((exact[:, at : at + 20] + rng.uniform(-1e-5, 1e-5, (6, 20))).astype(np.float32), 0, 1.1e-5)
+        state.add_some(r, exact[r, at + c], at + c, -np.inf)
+        state.cut()
+    q, score, place = state.cut()
+    for i in range(6):
+        assert place[q == i].tolist() == sorted(range(80), key=lambda x: (-exact[i, x], x))[:7]
+    assert retrieval._order(np.array([1, 0, 1]), np.array([0.5, 1e30, 0.5])).tolist() == [1, 0, 2]
+
+
 def test_the_best_of_a_stream_are_those_of_all(spark):
     rng = np.random.default_rng(3)
     state, tables = retrieval.Best(5, 4), []

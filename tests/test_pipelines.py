@@ -2,12 +2,16 @@
 
 import datetime as dt
 import io
+import re
 import zipfile
+from hashlib import md5
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from archivolt.functions import providers
+from archivolt.operators import retrieval
 from archivolt.plans import answering
 from archivolt.sources import documents
 from archivolt.streaming import ingest
@@ -44,6 +48,26 @@ def test_vectors_are_deterministic(spark):
     assert rows[0].v == rows[1].v and any(rows[0].v) and not any(rows[2].v) and not any(rows[3].v)
 
 
+def test_vectors_of_texts_and_with_titles_in_one_pass():
+    texts = ["The red fox, the red_fox ran", None, "", "Straße ÇAVA 12", "漢字 a" * 3, "fox " * 200]
+    before = ["A red", "only", "", "İ", "", "the fox"]
+    plain = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+
+    def vector(words):
+        v = [0.0] * 8
+        for g in [*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))]:
+            h = int.from_bytes(md5(g.encode()).digest()[:4])
+            v[h % 8] += 1.0 if h >> 31 else -1.0
+        return v
+
+    own, both = providers.hashed_vectors(texts, 8, before)
+    assert own.tolist() == [vector(plain(t)) for t in texts] == providers.hashed_vectors(texts, 8)[0].tolist()
+    assert both.tolist() == [vector(plain(b) + plain(t)) for b, t in zip(before, texts, strict=True)]
+    stored = retrieval.small(own)
+    assert stored[1] is None and len(stored[0]) == 8 and len(stored[5]) == 32  # a byte a number, if it fits
+    assert retrieval._wide(pa.array([v for v in stored if v]), 8).tolist() == own[own.any(axis=1)].tolist()
+
+
 def test_cache(spark):
     rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b"), (4, None)], "id long, t string")
     cache = spark.createDataFrame([("a", "old")], "t string, value string").select(F.sha2("t", 256).alias("hash"), "value")
