@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +29,39 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
+def plain_or_tokens(text: Column) -> tuple[Column, Column]:
+    """The two columns that ``words_of`` reads: a text of ASCII as it stands, and the ``tokens`` of others."""
+    ascii_ = F.length(text) == F.octet_length(text)
+    return F.when(ascii_, text).alias("plain"), F.when(~ascii_, tokens(text)).alias("w")
+
+
+#: Letters and digits of ASCII in lower case, all else as 0.
+_LOWER = bytes(ord(chr(c).lower()) if c < 128 and chr(c).isalnum() else 0 for c in range(256))
+
+
+def words_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
+    """Of a batch with ``plain_or_tokens``: rows, their numbers of words, and these words in order, as ``tokens`` has them: first of the texts of ASCII, then of the others."""
+    plain, w = batch.column("plain"), batch.column("w")
+    rows = np.flatnonzero(pc.is_valid(plain).to_numpy(zero_copy_only=False))
+    if len(rows):
+        texts = plain.take(pa.array(rows)).cast(pa.large_binary())
+        ends = np.frombuffer(texts.buffers()[1], np.int64)[: len(rows) + 1]
+        data = np.frombuffer(bytes(texts.buffers()[2] or b"")[: ends[-1]].translate(_LOWER), np.uint8)
+        inside = data != 0
+        begins = inside.copy()
+        begins[1:] &= ~inside[:-1]
+        first = ends[:-1][ends[:-1] < ends[1:]]  # a word ends with its text
+        begins[first] = inside[first]
+        at = np.flatnonzero(begins)
+        offsets = np.append(np.flatnonzero(begins[inside]), np.count_nonzero(inside)).astype(np.int32)
+        words = pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])])
+        yield rows, np.diff(np.searchsorted(at, ends)), words
+    rows = np.flatnonzero(pc.is_valid(w).to_numpy(zero_copy_only=False))
+    if len(rows):
+        some = w.take(pa.array(rows))
+        yield rows, pc.list_value_length(some).to_numpy(zero_copy_only=False).astype(np.int64), some.flatten().cast(pa.string())
+
+
 def query_terms(text: Column) -> Column:
     """The different terms of a question that are worth looking up."""
     return F.array_distinct(F.filter(tokens(text), lambda w: ~w.isin(STOP_WORDS) & (F.length(w) > 2)))

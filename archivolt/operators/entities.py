@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from archivolt.functions.text import entity_id
+from archivolt.functions.text import entity_id, plain_or_tokens, words_of
 
 # How much a source of mentions is trusted.
 SOURCE_RANK = {"gazette": 3, "gemini_ner": 2, "rules": 1, "unknown": 0}
@@ -25,10 +28,15 @@ def source_rank(source: Column) -> Column:
 BITS = 25
 
 
-def _runs(x: pa.RecordBatch, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each number of words up to ``most``: it, and the text, the place among all words of the batch and the bit of each run of so many words (hashes ``h``)."""
-    length = pc.list_value_length(x.column("h")).to_numpy(zero_copy_only=False).astype(np.int64)
-    words = x.column("h").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+def _hashed(words: pa.Array) -> np.ndarray:
+    """A hash of each word; a word that comes again is hashed once."""
+    coded = words.cast(pa.binary()).dictionary_encode()
+    known = np.fromiter(map(crc32, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    return (known * np.uint64(0xD6E8FEB86659FD93))[coded.indices.to_numpy()]
+
+
+def _runs(length: np.ndarray, words: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each number of words up to ``most``: it, and the text, the place among all words of the batch and the bit of each run of so many words; ``length``: the texts' numbers of words, ``words``: these as hashes."""
     text = np.repeat(np.arange(len(length)), length)
     left = np.repeat(np.cumsum(length), length) - np.arange(len(words))  # words from each place to the end of its text
     at, run = np.arange(len(words)), np.zeros(len(words), np.uint64)
@@ -44,12 +52,12 @@ def _bitmap(known: DataFrame, most: int) -> np.ndarray:
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            length = x.column("size").to_numpy()
-            for size, text, _, bit in _runs(x, most):
+            length = x.column("size").to_numpy().astype(np.int64)
+            for size, text, _, bit in _runs(length, _hashed(x.column("w").flatten()), most):
                 yield pa.RecordBatch.from_arrays([pa.array(bit[length[text] == size] + 1)], ["bit"])
 
     # counted from one, so that a bit's number in its bucket is the rest
-    rows = known.select(F.transform(F.split("said", " "), lambda w: F.xxhash64(w)).alias("h"), "size").mapInArrow(bits, "bit long")
+    rows = known.select(F.split("said", " ").alias("w"), "size").mapInArrow(bits, "bit long")
     out = np.zeros(1 << (BITS - 3), np.uint8)
     for r in rows.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect():
         part = np.frombuffer(r.bits, np.uint8)
@@ -57,30 +65,44 @@ def _bitmap(known: DataFrame, most: int) -> np.ndarray:
     return out
 
 
-def gazette_matches(texts: DataFrame, names: DataFrame, key: str, text: str, most: int = 4) -> DataFrame:
+@dataclass(frozen=True)
+class Gazette:
+    """Names (said, name, size) as they are looked up, and the bitmap of them: made once for several tables of texts."""
+
+    known: DataFrame
+    bits: Broadcast
+    most: int
+
+
+def gazette(names: DataFrame, most: int = 4, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> Gazette:
+    """Of a column ``name`` those of up to ``most`` words; ``keep``: what stores them, if they are to be used more than once."""
+    known = names.select(F.array_join(F.array_remove(F.split(F.lower("name"), r"[^\p{L}\p{N}]+"), ""), " ").alias("said"), "name").filter("said <> ''").groupBy("said").agg(F.min("name").alias("name"), (F.size(F.split("said", " "))).alias("size")).filter(F.col("size") <= most)
+    known = keep(known)
+    return Gazette(known, names.sparkSession.sparkContext.broadcast(_bitmap(known, most)), most)
+
+
+def gazette_matches(texts: DataFrame, names: DataFrame | Gazette, key: str, text: str, most: int = 4) -> DataFrame:
     """(key, name, n): how often each name of the gazette (a column ``name``) stands in each text, by words, in any case.
 
     Every run of up to ``most`` words is looked up; of matches that overlap the longest stands, then the first.
     Names that are null or longer aren't found. The gazette is joined on equality, so it may be of any size; runs that no name can equal by a
     bitmap of fixed size aren't written out for the join.
     """
-    words = F.array_remove(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), "")
-    known = names.select(F.array_join(F.array_remove(F.split(F.lower("name"), r"[^\p{L}\p{N}]+"), ""), " ").alias("said"), "name").filter("said <> ''").groupBy("said").agg(F.min("name").alias("name"), (F.size(F.split("said", " "))).alias("size")).filter(F.col("size") <= most)
-    rows = texts.select(F.col(key).alias("key"), words.alias("w")).filter("size(w) > 0")
-    bits = texts.sparkSession.sparkContext.broadcast(_bitmap(known, most))
+    held = names if isinstance(names, Gazette) else gazette(names, most)
+    known, bits, most = held.known, held.bits, held.most
+    rows = texts.select(F.col(key).alias("key"), *plain_or_tokens(F.col(text))).filter("plain is not null or w is not null")
 
     def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            length = pc.list_value_length(x.column("w")).to_numpy(zero_copy_only=False).astype(np.int64)
-            begins, words = np.cumsum(length) - length, x.column("w").flatten()
-            for size, text, at, bit in _runs(x, most):
-                here = np.flatnonzero(bits.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
-                text, at = text[here], at[here]
-                said = pc.binary_join_element_wise(*[words.take(pa.array(at + i)).cast(pa.string()) for i in range(size)], " ")
-                yield pa.RecordBatch.from_arrays([x.column("key").take(pa.array(text)), pa.array((at - begins[text]).astype(np.int32)), said], ["key", "at", "said"])
-
-    hashed = rows.select("key", "w", F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
-    grams = hashed.mapInArrow(looked_up, f"key {dict(rows.dtypes)['key']}, at int, said string")
+            for row, length, words in words_of(x):
+                begins = np.cumsum(length) - length
+                for size, text, at, bit in _runs(length, _hashed(words), most):
+                    here = np.flatnonzero(bits.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+                    text, at = text[here], at[here]
+                    said = pc.binary_join_element_wise(*[words.take(pa.array(at + i)) for i in range(size)], " ")
+                    yield pa.RecordBatch.from_arrays([x.column("key").take(pa.array(row[text])), pa.array((at - begins[text]).astype(np.int32)), said], ["key", "at", "said"])
+
+    grams = rows.mapInArrow(looked_up, f"key {dict(rows.dtypes)['key']}, at int, said string")
     hits = grams.join(known, "said")
     # a hit goes if a longer one, or one as long that begins earlier, covers part of it
     spans = hits.groupBy("key").agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("long"), "at", "size", "name"))).alias("all"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from archivolt.functions.providers import composed, embedded, hashed_vectors
 from archivolt.operators import evidence, retrieval
-from archivolt.operators.entities import gazette_matches
+from archivolt.operators.entities import Gazette, gazette, gazette_matches
 from archivolt.operators.questions import sub_questions
 from archivolt.plans.session import cut
 
@@ -48,7 +48,7 @@ class Config:
     category: str | None = None
 
 
-def mentioned(records: DataFrame, names: DataFrame) -> DataFrame:
+def mentioned(records: DataFrame, names: DataFrame | Gazette) -> DataFrame:
     """(chunk, name): which names each record holds: computed once for all hops."""
     return cut(gazette_matches(records.filter("content is not null"), names, "record_id", "content", MOST_WORDS).select(F.col("record_id").alias("chunk"), "name"))
 
@@ -79,14 +79,22 @@ def known_vectors(records: DataFrame, c: Config) -> dict[str, DataFrame]:
     return {name: known.select("id", F.col(name).alias("vector")).filter("vector is not null") for name in ("dense", "contextual")}
 
 
+def asked_vectors(questions: DataFrame) -> DataFrame:
+    """(id, vector) of the questions that have words."""
+    return questions.select(F.col("qid").alias("id"), embedded(F.col("question")).alias("vector")).filter(F.exists("vector", lambda x: x != 0))
+
+
 def by_vector(questions: DataFrame, known: DataFrame, k: int) -> DataFrame:
     """The k records with the nearest vectors to each question's; a question without words has none."""
-    ids = questions.select("qid", F.xxhash64("qid").alias("id"), embedded(F.col("question")).alias("vector")).filter(F.exists("vector", lambda x: x != 0))
-    found = retrieval.dense(ids.select("id", "vector"), known, k).withColumnRenamed("qid", "id")
-    return found.join(questions.select("qid", F.xxhash64("qid").alias("id")), "id").select("qid", "chunk", "score", "rank")
+    return retrieval.dense(asked_vectors(questions), known, k).select("qid", "chunk", "score", "rank")
+
 
+def by_entities(questions: DataFrame, names: DataFrame | Gazette, said: DataFrame, k: int) -> DataFrame:
+    named = gazette_matches(questions, names, "qid", "question", MOST_WORDS).select("qid", F.col("name").alias("entity"), F.lit(True).alias("exact"))
+    return retrieval.entity_search(named, said.select(F.col("name").alias("entity"), "chunk", F.lit(1.0).alias("confidence")), k)
 
-def streams(questions: DataFrame, records: DataFrame, names: DataFrame, said: DataFrame, c: Config, known: dict[str, DataFrame] | None = None) -> list[DataFrame]:
+
+def streams(questions: DataFrame, records: DataFrame, names: DataFrame | Gazette, said: DataFrame, c: Config, known: dict[str, DataFrame] | None = None) -> list[DataFrame]:
     """The ranked lists that are switched on, in the order lexical, dense, contextual, entities; ``known``: the records' vectors, if they are there already."""
     known = known_vectors(records, c) if known is None else known
     found = []
@@ -97,20 +105,36 @@ def streams(questions: DataFrame, records: DataFrame, names: DataFrame, said: Da
     if c.contextual:
         found.append(by_vector(questions, known["contextual"], c.contextual_k))
     if c.entities:
-        named = gazette_matches(questions, names, "qid", "question", MOST_WORDS).select("qid", F.col("name").alias("entity"), F.lit(True).alias("exact"))
-        found.append(retrieval.entity_search(named, said.select(F.col("name").alias("entity"), "chunk", F.lit(1.0).alias("confidence")), c.entity_k))
+        found.append(by_entities(questions, names, said, c.entity_k))
     return found
 
 
-def retrieved(questions: DataFrame, records: DataFrame, names: DataFrame, c: Config = Config(), said: DataFrame | None = None, known: dict[str, DataFrame] | None = None, more: tuple[DataFrame, ...] = ()) -> DataFrame:
-    """(qid, chunk, score, rank, before): fused, diversified (where there are more than ``k``), reranked. Records that are null in content, or of
-    another category than the one that is set, aren't found. ``more``: further ranked lists (qid, chunk, rank) to fuse, before the others."""
+def as_lists(ranked: DataFrame) -> list[DataFrame]:
+    """A ranked list in the form in which tasks find lists."""
+    return [ranked.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct(F.col("rank").cast("long").alias("less"), "chunk"))).alias("x")).select("qid", "x.less", "x.chunk")]
+
+
+def retrieved(questions: DataFrame, records: DataFrame, names: DataFrame | Gazette, c: Config = Config(), said: DataFrame | None = None, more: tuple[tuple[DataFrame, int], ...] = (), documents: bool = False) -> DataFrame:
+    """(qid, chunk, score, rank, before, and a hash of the ``document`` if wanted): fused, diversified (where there are more than ``k``), reranked. Records that are null in content, or of
+    another category than the one that is set, aren't found. ``more``: further ranked lists (qid, chunk, rank) with their depths to fuse, before the others.
+
+    The streams are those of ``streams``, from questions and texts that are stored as numbers, and fused from what tasks find."""
     records = of_category(records.filter("content is not null"), c)
     said = mentioned(records, names) if said is None else said
-    fused = retrieval.fused([*more, *streams(questions, records, names, said, c, known)], c.rrf_k, c.rrf_most)
-    about = records.select(F.col("record_id").alias("chunk"), F.coalesce("document_id", "document_title", F.lit("unknown")).alias("document"))
-    diverse = diversified(fused.join(about, "chunk"), c)
-    return retrieval.reranked(diverse, questions, records, "record_id", "content", max(c.pool, c.k), c.k)
+    terms = retrieval.encoded(questions, records, "record_id", "content", cut)
+    found = [(as_lists(x), n) for x, n in more]
+    if c.lexical:
+        found.append((retrieval.bm25_lists(terms, c.bm25_k), c.bm25_k))
+    if c.dense or c.contextual:
+        known, asked = known_vectors(records, c), cut(asked_vectors(questions))
+        found += [(retrieval.dense_lists(asked, known[name], k), k) for name, k in (("dense", c.dense_k), ("contextual", c.contextual_k)) if name in known]
+    if c.entities:
+        found.append((as_lists(by_entities(questions, names, said, c.entity_k)), c.entity_k))
+    fused = retrieval.fused_lists(found, c.rrf_k, c.rrf_most).select("qid", "chunk", "rank")
+    # documents are told apart only within the few rows of a question, for which 64 bits of a hash are enough
+    document = F.xxhash64(F.coalesce("document_id", "document_title", F.lit("unknown")))
+    diverse = diversified(fused.join(records.select(F.col("record_id").alias("chunk"), document.alias("document")), "chunk"), c)
+    return retrieval.by_share(diverse, terms.questions, terms.texts.select("chunk", F.array_distinct("codes").alias("words")), max(c.pool, c.k), c.k, ("document",) * documents)
 
 
 def of_category(records: DataFrame, c: Config) -> DataFrame:
@@ -130,24 +154,31 @@ def together(said: DataFrame) -> DataFrame:
     A record is a passage of bounded length, so the names paired within one are few, however many records there are.
     """
     x, y = said.select("chunk", F.col("name").alias("a")), said.select("chunk", F.col("name").alias("b"))
-    return x.join(y, "chunk").filter("a <> b").groupBy("a", "b").agg(F.min("chunk").alias("chunk"))
+    return x.join(y, "chunk").filter("a <> b").repartition("a").groupBy("a", "b").agg(F.min("chunk").alias("chunk"))
 
 
 def discovered(asked: DataFrame, edges: DataFrame, c: Config = Config()) -> DataFrame:
     """(qid, name, chunk, hops): the first ``paths`` names that trails of up to ``hops`` edges lead to from the names (qid, name) in each question,
     by hops and name, each with the record of its last edge. The names in the question itself are none of them.
 
-    Names that are nearer come first, so no more than these few ever lead on to the next hop, however many edges a name has.
+    Names that are nearer come first, so no more than these few ever lead on to the next hop, however many edges a name has; and of a name's neighbours
+    only as many, by name, as are wanted or can be left out because they are asked for or found already. A question with enough names has no further hop.
     """
-    found, at = None, asked.select("qid", "name").distinct()
+    asked = asked.select("qid", "name").distinct()
+    most = asked.groupBy("qid").count().agg(F.max("count")).first()[0] or 0
+    near = F.row_number().over(Window.partitionBy("a").orderBy("b"))
+    edges = cut(edges.withColumn("near", near).filter(F.col("near") <= c.paths + most).drop("near"))
+    found, at = None, asked
     for n in range(1, c.hops + 1):
         step = at.select("qid", F.col("name").alias("a")).join(edges, "a").groupBy("qid", F.col("b").alias("name")).agg(F.min("chunk").alias("chunk"))
-        new = step.join(asked.select("qid", "name").distinct(), ["qid", "name"], "left_anti").withColumn("hops", F.lit(n))
+        new = step.join(asked, ["qid", "name"], "left_anti").withColumn("hops", F.lit(n))
         if found is not None:
             new = found.unionByName(new.join(found.select("qid", "name"), ["qid", "name"], "left_anti"))
         place = F.row_number().over(Window.partitionBy("qid").orderBy("hops", "name"))
-        found = cut(new.withColumn("place", place).filter(F.col("place") <= c.paths).drop("place"))
-        at = found.filter(F.col("hops") == n)
+        found = cut(new.withColumn("place", place).filter(F.col("place") <= c.paths))
+        full = found.filter(F.col("place") == c.paths).select("qid")
+        found = found.drop("place")
+        at = found.filter(F.col("hops") == n).join(full, "qid", "left_anti")
     return found
 
 
@@ -167,19 +198,24 @@ def multi_hop(questions: DataFrame, records: DataFrame, names: DataFrame, c: Con
     """(qid, chunk, rank): the first hop's records and those of the second hop by turns; of more than ``k`` those beyond a document's share go last, but for the first two.
 
     The second hop asks for the names that the graph of names leads to from those in the question and its sub-questions, and has the records of the edges
-    passed on the way as a stream of its own. With a category set, the graph is that of its records.
+    passed on the way as a stream of its own. With a category set, the graph is that of its records. As it doesn't depend on what the first hop
+    finds, the questions of both hops are numbered (``key``) and retrieved at once.
     """
     records = of_category(records, c)
+    names = gazette(names, MOST_WORDS, cut)
     said = mentioned(records, names)
-    known = known_vectors(records, c)
-    first = cut(retrieved(questions, records, names, c, said, known))
     parts = questions.select("qid", F.array_join(F.array_append(sub_questions(F.col("question")), F.col("question")), " . ").alias("question"))
-    found = discovered(gazette_matches(parts, names, "qid", "question", MOST_WORDS).select("qid", "name"), together(said), c)
+    found = discovered(gazette_matches(parts, names, "qid", "question").select("qid", "name"), together(said), c)
     passed = found.groupBy("qid", "chunk").agg(F.min(F.struct("hops", "name")).alias("at")).select("qid", "chunk", F.row_number().over(Window.partitionBy("qid").orderBy("at", "chunk")).alias("rank"))
-    second = retrieved(cut(bridged(questions, found, c)), records, names, c, said, known, (passed,))
-    every = retrieval.interleaved(first, second, 2 * c.k).withColumn("turn", F.col("rank")).withColumn("n", F.count("*").over(Window.partitionBy("qid")))
-    about = records.select(F.col("record_id").alias("chunk"), F.coalesce("document_id", "document_title", F.lit("unknown")).alias("document"))
-    diverse = retrieval.diversified(every.join(about, "chunk"), "document", c.per_document, 2)
+    hops = questions.select("qid", "question", F.lit(1).alias("hop")).unionByName(bridged(questions, found, c).withColumn("hop", F.lit(2)))
+    hops = cut(hops.withColumn("key", F.monotonically_increasing_id()))
+    passed = passed.join(hops.filter("hop = 2").select("qid", "key"), "qid").select(F.col("key").alias("qid"), "chunk", "rank")
+    both = retrieved(hops.select(F.col("key").alias("qid"), "question"), records, names, c, said, ((passed, c.paths),), True).withColumnRenamed("qid", "key").join(hops.select("key", "qid", "hop"), "key")
+    # by turns, in one shuffle
+    every = both.select("qid", "chunk", "document", "rank", "hop").repartition("qid").groupBy("qid", "chunk", "document").agg(F.min(F.struct("rank", "hop")).alias("at"))
+    every = every.select("qid", "chunk", "document", F.row_number().over(Window.partitionBy("qid").orderBy("at")).alias("rank")).filter(F.col("rank") <= 2 * c.k)
+    every = every.withColumn("turn", F.col("rank")).withColumn("n", F.count("*").over(Window.partitionBy("qid")))
+    diverse = retrieval.diversified(every, "document", c.per_document, 2)
     return diverse.select("qid", "chunk", F.when(F.col("n") > c.k, F.col("rank")).otherwise(F.col("turn")).alias("rank")).filter(F.col("rank") <= c.k)
 
 

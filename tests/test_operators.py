@@ -398,3 +398,30 @@ def test_relations_are_checked(spark):
     assert graph.checked(good).count() == 1
     with pytest.raises(Exception, match="not a relation"):
         graph.checked(frame(spark, [("a", "member of", "b")], "src string, relation string, dst string")).collect()
+
+
+def test_lists_of_tasks_are_fused_as_ranked_lists_are(spark):
+    """Of what three tasks found for a stream the first few by score, then chunk; the same rows as of merged and ranked lists."""
+    rng = random.Random(5)
+    streams = []
+    for depth in (4, 3):
+        tasks = [[("ab"[q], sorted((-rng.randint(1, 3), c) for c in rng.sample(range(t, 30, 3), rng.randint(1, 6)))) for q in range(2)] for t in range(3)]
+        streams.append(([spark.createDataFrame([(q, [x for x, _ in rows], [c for _, c in rows]) for q, rows in task], "qid string, less array<long>, chunk array<long>") for task in tasks], depth))
+    got = retrieval.fused_lists(streams, most=5).collect()
+    want = retrieval.fused([retrieval._merged(found, depth) for found, depth in streams], most=5).collect()
+    assert sorted(tuple(r) for r in got) == sorted(tuple(r) for r in want) and len(got) == 10
+
+
+def test_words_of_plain_and_other_texts(spark):
+    """Words as ``tokens`` has them, whether split in batches or by Spark."""
+    from archivolt.functions.text import plain_or_tokens, tokens, words_of
+
+    texts = ["The Iron-Key_7 of X9", "", "...", "end", "start", "\u00c4ra D\u00c9J\u00c0 vu", "no", "  two  words\n", "\u4e2d\u6587 42", "\u2014"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    want = {r.id: r.w for r in rows.select("id", tokens(F.col("text")).alias("w")).collect()}
+    got = {}
+    for x in rows.select("id", *plain_or_tokens(F.col("text"))).toArrow().to_batches():
+        for row, length, words in words_of(x):
+            ends = length.cumsum()
+            got |= {x.column("id")[int(i)].as_py(): words.to_pylist()[e - n : e] for i, n, e in zip(row, length, ends, strict=True)}
+    assert got == want

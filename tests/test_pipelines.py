@@ -137,6 +137,30 @@ def test_trails_keep_the_nearest_names(spark):
     assert got(answering.Config(hops=3, paths=2)) == [("q", "B", 1, 1), ("q", "C", 2, 2)]
 
 
+def test_both_hops_are_retrieved_at_once(spark, tables, monkeypatch):
+    """The second hop doesn't depend on what the first finds: texts are read, numbered and looked through once for both."""
+    asked = spark.createDataFrame([("a", "Where is the key of whom Ser Vael met?"), ("b", "iron")], "qid string, question string")
+    calls, retrieved = [], answering.retrieved
+    monkeypatch.setattr(answering, "retrieved", lambda questions, *rest: calls.append(questions.count()) or retrieved(questions, *rest))
+    got = answering.multi_hop(asked, *tables).collect()
+    assert calls == [3] and {r.qid for r in got} == {"a", "b"}
+
+
+def test_trails_of_a_name_with_many_neighbours(spark, monkeypatch):
+    """Of a hub's neighbours only those that can be kept are joined, and the names found are the first ones nevertheless."""
+    name = lambda i: f"n{i:03d}"
+    said = [(i, n) for i in range(1, 200) for n in ("hub", name(i))] + [(1000, "edge"), (1000, "hub"), (1001, name(1)), (1001, "edge")]
+    stored, cut = [], answering.cut
+    monkeypatch.setattr(answering, "cut", lambda df: stored.append(out := cut(df)) or out)
+    asked = spark.createDataFrame([("q", "hub"), ("q", name(2)), ("r", "edge"), ("s", name(7))], "qid string, name string")
+    got = answering.discovered(asked, answering.together(spark.createDataFrame(said, "chunk long, name string")), answering.Config(paths=5)).collect()
+    assert stored[0].filter("a = 'hub'").count() == 7
+    found = {q: [(r.name, r.hops, r.chunk) for r in sorted(got, key=lambda r: (r.hops, r.name)) if r.qid == q] for q in "qrs"}
+    assert found["q"] == [("edge", 1, 1000), (name(1), 1, 1), (name(3), 1, 3), (name(4), 1, 4), (name(5), 1, 5)]
+    assert found["r"] == [("hub", 1, 1000), (name(1), 1, 1001), (name(2), 2, 2), (name(3), 2, 3), (name(4), 2, 4)]
+    assert found["s"] == [("hub", 1, 7), ("edge", 2, 1000), (name(1), 2, 1), (name(2), 2, 2), (name(3), 2, 3)]
+
+
 def test_streamed_deliveries(spark, tmp_path):
     day = dt.datetime(2025, 1, 1)
     rows = [(1, "codex", day), (1, "codex", day + dt.timedelta(hours=2)), (2, "wiki", day + dt.timedelta(hours=1)), (None, "wiki", day), (3, "wiki", None)]
